@@ -277,13 +277,13 @@ def e11(spark, sf):
 q AS (SELECT Features, metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
   quantile_cont(value, 0.75) AS q3 FROM v GROUP BY ALL),
 w AS (SELECT *, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside FROM v JOIN q USING (Features, metric))
-SELECT Features, metric, {r6('q1', 'median', 'q3')}, min(value) FILTER (WHERE inside) AS whisker_low,
+SELECT Features, metric, {r6('q1', 'median', 'q3', digits=9)}, min(value) FILTER (WHERE inside) AS whisker_low,
   max(value) FILTER (WHERE inside) AS whisker_high, count(*) AS n, count(*) FILTER (WHERE NOT inside) AS n_outliers
 FROM w GROUP BY Features, metric, q1, median, q3""")
 def e12(spark, sf):
     rows = report.model_label(selected(spark, sf, "kept"))
     return rounded(report.boxplot_stats(rows, ["Features"], ["Validation_Set_Concordance", "Test_Set_Concordance"]),
-                   "q1", "median", "q3")
+                   "q1", "median", "q3", digits=9)
 
 
 @query("H1_union_rows", f"""{W}, {split_sql()} SELECT id, split FROM sp UNION ALL

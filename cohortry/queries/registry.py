@@ -42,5 +42,5 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) + F.lit(0.0) for c in cols})
 
 
-def r6(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) + 0.0 AS {n.split('.')[-1]}" for n in names)
+def r6(*names: str, digits: int = 6) -> str:
+    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n.split('.')[-1]}" for n in names)

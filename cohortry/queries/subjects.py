@@ -17,9 +17,9 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.datediff(F.max("l_shipdate"), F.min("l_shipdate")).cast("double").alias("time"),
         F.count(F.lit(1)).cast("double").alias("n_lines"),
         F.sum("l_quantity").alias("qty_sum"),
-        F.round(F.avg("l_extendedprice"), 4).alias("price_avg"),
-        F.round(F.avg("l_discount"), 6).alias("disc_avg"),
-        F.round(F.avg("l_tax"), 6).alias("tax_avg"))
+        F.round(F.avg("l_extendedprice"), 8).alias("price_avg"),
+        F.round(F.avg("l_discount"), 10).alias("disc_avg"),
+        F.round(F.avg("l_tax"), 10).alias("tax_avg"))
     orders = read_table(spark, f"{sf_dir}/orders.parquet").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     customers = read_table(spark, f"{sf_dir}/customer.parquet").select(
@@ -44,8 +44,8 @@ SELECT o_orderkey AS id, o_orderpriority AS prio, c_mktsegment AS seg,
   CAST(max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS INT) AS event,
   CAST(date_diff('day', min(l_shipdate), max(l_shipdate)) AS DOUBLE) AS time,
   CAST(count(*) AS DOUBLE) AS n_lines, sum(l_quantity) AS qty_sum,
-  round(avg(l_extendedprice), 4) AS price_avg, round(avg(l_discount), 6) AS disc_avg,
-  round(avg(l_tax), 6) AS tax_avg, c_acctbal AS acctbal, o_totalprice AS total,
+  round(avg(l_extendedprice), 8) AS price_avg, round(avg(l_discount), 10) AS disc_avg,
+  round(avg(l_tax), 10) AS tax_avg, c_acctbal AS acctbal, o_totalprice AS total,
   CAST(1 AS DOUBLE) AS const_col,
   CASE WHEN o_orderkey % 50 = 0 THEN 'No Data' WHEN o_orderkey % 53 = 0 THEN '#VALUE!'
        WHEN o_orderkey % 59 = 0 THEN NULL ELSE CAST(o_totalprice AS VARCHAR) END AS total_txt

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from cohortry.operators.design import Design, Prep, batch_matrix, scan
 from cohortry.operators.running import durable
 
-COX_PARTITION_ROWS = 200_000
+COX_PARTITION_ROWS = 200_000   # rows per time partition, until there are COX_PARTITIONS of them
+COX_PARTITIONS = 4096
 COX_DRIVER_BYTES = 128 << 20   # models are taken in chunks whose partition totals fit in this
 
 
@@ -141,37 +142,51 @@ def logistic_fitter(d: Design, response: str, c: float = 1.0):
 
 @dataclass
 class TimeOrder:
-    """Subjects range-partitioned by falling time; equal times may span partitions."""
+    """Subjects range-partitioned by falling time; equal times may span partitions.
+
+    ``shared`` names, per partition, its edge times that a neighbour also holds.
+    """
     rows: DataFrame
     parts: int
     p: int
     width: int
+    edges: list[tuple[int, float, float]]
+    shared: dict[int, list[float]]
 
 
 def time_ordered(d: Design, event: str, time: str, partition_rows: int | None = None) -> TimeOrder:
-    parts = max(1, math.ceil(d.n / (partition_rows or COX_PARTITION_ROWS)))
+    """Sort once for all models: the order depends on time only.
+
+    The id hash is part of the range key, so a time that many subjects share is cut into several
+    partitions like any other.
+    """
+    wanted = math.ceil(d.n / (partition_rows or COX_PARTITION_ROWS))
+    parts = min(COX_PARTITIONS, max(1, wanted))
     rows = d.rows.select("id", "x", "folds", F.col(event).cast("int").alias("event"),
                          (-F.col(time).cast("double")).alias("late"))
     if parts == 1:
         placed = rows.repartition(1)
     else:
         placed = rows.repartitionByRange(parts, "late", F.xxhash64("id"))
-    placed = placed.sortWithinPartitions("late").withColumn("part", F.spark_partition_id())
-    return TimeOrder(durable(placed), parts, len(d.features), len(d.seeds))
-
-
-def _load(batches, p: int, width: int):
-    """A whole range partition (its size is bounded by the layout) as arrays."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return None
-    x = np.concatenate([batch_matrix(b.column(0), p) for b in got])
-    n = len(x)
-    folds = np.concatenate([batch_matrix(b.column(1), width) for b in got]) if width \
-        else np.zeros((n, 0), dtype=int)
-    event, late, part = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in got])
-                         for i in (2, 3, 4))
-    return x, folds, event.astype(float), late, int(part[0])
+    placed = durable(placed.sortWithinPartitions("late").withColumn("part", F.spark_partition_id()))
+    edges, shared = [], {}
+    if parts > 1:
+        edges = [tuple(r) for r in placed.groupBy("part").agg(F.min("late"), F.max("late")).collect()]
+        edges.sort()
+        ties = {a[2] for a, b in zip(edges, edges[1:]) if a[2] == b[1]}
+        shared = {part: sorted({first, last} & ties) for part, first, last in edges}
+    return TimeOrder(placed, parts, len(d.features), len(d.seeds), edges, shared)
+
+
+def _arrays(batches, p: int, width: int):
+    """Arrow batches of one time partition as arrays, in falling time."""
+    for b in batches:
+        n = b.num_rows
+        if n:
+            folds = batch_matrix(b.column(1), width) if width else np.zeros((n, 0), dtype=int)
+            yield (batch_matrix(b.column(0), p), folds,
+                   b.column(2).to_numpy(zero_copy_only=False).astype(float),
+                   b.column(3).to_numpy(zero_copy_only=False), b.column(4)[0].as_py())
 
 
 def _moments(z: np.ndarray, w: np.ndarray, q: int) -> np.ndarray:
@@ -184,135 +199,193 @@ def _moments(z: np.ndarray, w: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+def _weights(model: Model, beta: np.ndarray, x: np.ndarray, folds: np.ndarray):
+    z = model.matrix(x)
+    eta = z @ beta
+    train = model.training(folds)
+    return z, eta, np.where(train, np.exp(eta), 0.0), train
+
+
 def _cox_carries(order: TimeOrder, jobs, q: int):
     """First pass: what each partition needs from the others.
 
-    Returns, per partition, the sums over all later times, and for an edge time shared with a
-    neighbour the complete risk-set sums, event sums, event count and how many of those events
-    earlier partitions hold.
+    Returns, per partition, the sums over all later times, and for a time shared with a neighbour
+    the complete risk-set sums, event sums, event count and how many of those events the
+    partitions before hold.
     """
     size = 1 + q + q * q
-    p, width = order.p, order.width
+    p, width, shared = order.p, order.width, order.shared
 
     def kernel(batches):
-        data = _load(batches, p, width)
-        if data is None:
-            return
-        x, folds, event, late, part = data
-        out = np.zeros((len(jobs), 5 * size + 2))
-        edges = (late == late[0], late == late[-1])
-        for i, (model, beta) in enumerate(jobs):
-            z = model.matrix(x)
-            w = np.where(model.training(folds), np.exp(z @ beta), 0.0)
-            out[i, :size] = _moments(z, w, q)
-            for e, rows in enumerate(edges):
-                at, died = size * (1 + 2 * e), w[rows] * event[rows]
-                out[i, at:at + size] = _moments(z[rows], w[rows], q)
-                out[i, at + size:at + 2 * size] = _moments(z[rows], died, q)
-                out[i, 5 * size + e] = np.count_nonzero(died)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([late[0]]), pa.array([late[-1]]),
-             pa.array([out.tobytes()], pa.binary())], names=["part", "first", "last", "v"])
-
-    got = sorted(order.rows.select("x", "folds", "event", "late", "part").mapInArrow(
-        kernel, "part int, first double, last double, v binary").collect(), key=lambda r: r.part)
-    sums = [np.frombuffer(r.v).reshape(len(jobs), -1) for r in got]
-    whole = [s[:, :size] for s in sums]
+        out = part = None
+        for x, folds, event, late, part in _arrays(batches, p, width):
+            ties = shared[part]
+            if out is None:
+                out = np.zeros((len(jobs), size + len(ties) * (2 * size + 1)))
+            for i, (model, beta) in enumerate(jobs):
+                z, _, w, train = _weights(model, beta, x, folds)
+                out[i, :size] += _moments(z, w, q)
+                for e, t in enumerate(ties):
+                    rows, at = late == t, size + e * (2 * size + 1)
+                    died = rows & train & (event > 0)
+                    out[i, at:at + size] += _moments(z[rows], w[rows], q)
+                    out[i, at + size:at + 2 * size] += _moments(z[died], w[died], q)
+                    out[i, at + 2 * size] += np.count_nonzero(died)
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()),
+                                              pa.array([out.tobytes()], pa.binary())], names=["part", "v"])
+
+    got = {r.part: np.frombuffer(r.v).reshape(len(jobs), -1) for r in order.rows.select(
+        "x", "folds", "event", "late", "part").mapInArrow(kernel, "part int, v binary").collect()}
     carry, running = {}, np.zeros((len(jobs), size))
-    for r, w in zip(got, whole):
-        carry[r.part] = running.copy()
-        running = running + w
-    shared: dict[tuple[int, float], tuple] = {}
-    for t in {a.last for a, b in zip(got, got[1:]) if a.last == b.first}:
-        risk = np.zeros((len(jobs), size))
-        died = np.zeros((len(jobs), size))
-        count = np.zeros(len(jobs))
-        holders = []
-        for i, r in enumerate(got):
-            if r.last <= t:
-                risk += whole[i]
-            elif r.first == t:
-                risk += sums[i][:, size:2 * size]
-            if t in (r.first, r.last):
-                e = 0 if r.first == t else 1
-                holders.append((r.part, count.copy()))
-                died += sums[i][:, size * (2 + 2 * e):size * (3 + 2 * e)]
-                count = count + sums[i][:, 5 * size + e]
-        for part, earlier in holders:
-            shared[(part, t)] = (risk, died, count, earlier)
-    return carry, shared
-
-
-def _cox_evaluate(order: TimeOrder, jobs, q: int, efron: bool) -> np.ndarray:
-    """Second pass: log likelihood, gradient and curvature per model, summed over partitions.
-
-    The risk-set second moments are never accumulated over time: swapping the two sums turns
-    them into one product per partition, weighted by the hazard gathered up to each row's time.
+    complete: dict[float, list] = {}
+    for part, _, last in order.edges:
+        carry[part] = running
+        for e, t in enumerate(order.shared[part]):
+            at = size + e * (2 * size + 1)
+            risk, died, count, holders = complete.setdefault(
+                t, [running.copy(), np.zeros((len(jobs), size)), np.zeros(len(jobs)), []])
+            holders.append((part, count.copy()))
+            risk += got[part][:, :size] if last == t else got[part][:, at:at + size]
+            died += got[part][:, at + size:at + 2 * size]
+            count += got[part][:, at + 2 * size]
+        running = running + got[part][:, :size]
+    ties = {(part, t): (risk, died, count, earlier)
+            for t, (risk, died, count, holders) in complete.items() for part, earlier in holders}
+    return carry, ties
+
+
+def _tie_sums(s0: float, d0: float, total: float, first: float, own: float, efron: bool):
+    """Sums over the ``own`` events of one time, numbered from ``first`` out of ``total``."""
+    if not efron:
+        return own / s0, 0.0, own / s0 ** 2, 0.0, 0.0, own * math.log(s0)
+    out = np.zeros(6)
+    for at in range(0, int(own), 1_000_000):
+        u = (first + np.arange(at, min(at + 1_000_000, int(own)))) / total
+        v = 1 / (s0 - u * d0)
+        out += [v.sum(), (u * v).sum(), (v * v).sum(), (u * v * v).sum(), (u * u * v * v).sum(), -np.log(v).sum()]
+    return tuple(out)
+
+
+class _Sweep:
+    """One model's likelihood over one partition, batch by batch in falling time.
+
+    Times that lie whole within a batch are handled together.  The time a batch ends in stays open
+    as sums only, so neither a long tie nor a large partition is ever held in memory.
     """
-    if order.parts == 1:
-        carry, shared = {}, {}
-    else:
-        carry, shared = _cox_carries(order, jobs, q)
-    size, p, width = 1 + q + q * q, order.p, order.width
 
-    def one(model, beta, i, x, folds, event, group, ends, part, edge):
-        have = len(beta)
-        z = model.matrix(x)
-        train = model.training(folds)
-        eta = z @ beta
-        w = np.where(train, np.exp(eta), 0.0)
-        rows = np.flatnonzero(train & (event > 0))
-        before = carry.get(part)
-        before = np.zeros(size) if before is None else before[i]
+    def __init__(self, q: int, have: int, before: np.ndarray, ties: dict[float, tuple], efron: bool):
+        self.q, self.have, self.efron, self.ties = q, have, efron, ties
+        self.before = before.copy()
+        self.time = None
+        self.value, self.grad, self.curve = 0.0, np.zeros(have), np.zeros((have, have))
+
+    def _parts(self, sums):
+        q, have = self.q, self.have
+        return sums[0], sums[1:1 + have], sums[1 + q:].reshape(q, q)[:have, :have]
+
+    def add(self, z, eta, w, died, late, starts):
+        ends = np.append(starts[1:], len(late))
+        at = 0
+        if self.time is None or self.time == late[0]:
+            self._extend(late[0], z[:ends[0]], eta[:ends[0]], w[:ends[0]], died[:ends[0]])
+            at = 1
+        if at < len(starts):
+            self._close()
+            if at < len(starts) - 1:
+                rows = slice(starts[at], starts[-1])
+                self._whole(z[rows], eta[rows], w[rows], died[rows],
+                            np.repeat(np.arange(len(starts) - 1 - at), (ends - starts)[at:-1]))
+            rows = slice(starts[-1], None)
+            self._extend(late[-1], z[rows], eta[rows], w[rows], died[rows])
+
+    def _extend(self, time, z, eta, w, died):
+        if self.time is None:
+            self.time, self.risk = time, np.zeros(1 + self.q + self.q ** 2)
+            self.dead, self.count = np.zeros_like(self.risk), 0
+            self.eta, self.z = 0.0, np.zeros(self.have)
+        self.risk += _moments(z, w, self.q)
+        if died.any():
+            self.dead += _moments(z[died], w[died], self.q)
+            self.count += int(np.count_nonzero(died))
+            self.eta += eta[died].sum()
+            self.z += z[died].sum(axis=0)
+
+    def _close(self):
+        if self.time is None:
+            return
+        if self.count:
+            risk, dead, total, first = self.before + self.risk, self.dead, self.count, 0
+            if self.time in self.ties:
+                risk, dead, total, first = self.ties[self.time]
+            s0, s1, s2 = self._parts(risk)
+            d0, d1, d2 = self._parts(dead)
+            r0, r1, c0, c1, c2, logs = _tie_sums(s0, d0, total, first, self.count, self.efron)
+            self.value += self.eta - logs
+            self.grad += self.z - r0 * s1 + r1 * d1
+            cross = c1 * np.outer(s1, d1)
+            self.curve += (r0 * s2 - r1 * d2 - c0 * np.outer(s1, s1) + cross + cross.T - c2 * np.outer(d1, d1))
+        self.before += self.risk
+        self.time = None
+
+    def _whole(self, z, eta, w, died, group):
+        """Complete times.  Risk-set second moments are not accumulated time by time: swapping the
+        two sums turns them into one product weighted by the hazard gathered up to each row."""
+        b0, b1, b2 = self._parts(self.before)
+        ends = np.flatnonzero(np.append(group[1:] != group[:-1], True))
         groups = len(ends)
-        s0 = before[0] + np.cumsum(w)[ends]
-        s1 = before[1:1 + have] + np.cumsum(z * w[:, None], axis=0)[ends]
+        s0 = b0 + np.cumsum(w)[ends]
+        s1 = b1 + np.cumsum(z * w[:, None], axis=0)[ends]
+        rows = np.flatnonzero(died)
         g = group[rows]
+        u = np.zeros(len(rows))
+        if self.efron:
+            d = np.bincount(g, minlength=groups)
+            u = (np.arange(len(rows)) - (np.cumsum(d) - d)[g]) / np.maximum(d, 1)[g]
         d0 = np.bincount(g, w[rows], groups)
-        d1 = np.column_stack([np.bincount(g, w[rows] * z[rows, c], groups) for c in range(have)])
-        d = np.bincount(g, minlength=groups).astype(float)
-        place = np.arange(len(rows)) - np.concatenate([[0], np.cumsum(d)])[g] if len(rows) else np.zeros(0)
-        inner = np.ones(groups)
-        for e, (risk, died, count, earlier) in edge.items():
-            inner[e] = 0.0
-            s0[e], s1[e] = risk[i, 0], risk[i, 1:1 + have]
-            d0[e], d1[e] = died[i, 0], died[i, 1:1 + have]
-            d[e] = count[i]
-            place[g == e] += earlier[i]
-        u = place / d[g] if efron else np.zeros(len(rows))
-        denom = s0[g] - u * d0[g]
-        r0, r1 = np.bincount(g, 1 / denom, groups), np.bincount(g, u / denom, groups)
-        c0, c1, c2 = (np.bincount(g, f / denom ** 2, groups) for f in (np.ones(len(rows)), u, u * u))
-        value = eta[rows].sum() - np.log(denom).sum()
-        grad = z[rows].sum(axis=0) - r0 @ s1 + r1 @ d1
-        ahead = np.cumsum((r0 * inner)[::-1])[::-1][group]
-        curve = (z * (w * ahead)[:, None]).T @ z
-        curve += before[1 + q:].reshape(q, q)[:have, :have] * (r0 * inner).sum()
-        curve -= (z[rows] * (w[rows] * (r1 * inner)[g])[:, None]).T @ z[rows]
-        for e, (risk, died, _, _) in edge.items():
-            curve += r0[e] * risk[i, 1 + q:].reshape(q, q)[:have, :have]
-            curve -= r1[e] * died[i, 1 + q:].reshape(q, q)[:have, :have]
-        cross = (s1 * c1[:, None]).T @ d1
-        curve -= (s1 * c0[:, None]).T @ s1 - cross - cross.T + (d1 * c2[:, None]).T @ d1
-        out = np.zeros(size)
-        out[0], out[1:1 + have] = value, grad
-        out[1 + q:].reshape(q, q)[:have, :have] = curve
+        v = 1 / (s0[g] - u * d0[g])
+        r0, c0 = np.bincount(g, v, groups), np.bincount(g, v * v, groups)
+        self.value += eta[rows].sum() + np.log(v).sum()
+        self.grad += z[rows].sum(axis=0) - r0 @ s1
+        ahead = np.cumsum(r0[::-1])[::-1][group]
+        self.curve += (z * (w * ahead)[:, None]).T @ z + b2 * r0.sum() - (s1 * c0[:, None]).T @ s1
+        if self.efron:
+            zd, wd = z[rows], w[rows]
+            d1 = np.column_stack([np.bincount(g, wd * zd[:, c], groups) for c in range(self.have)])
+            r1, c1, c2 = (np.bincount(g, f, groups) for f in (u * v, u * v * v, u * u * v * v))
+            self.grad += r1 @ d1
+            cross = (s1 * c1[:, None]).T @ d1
+            self.curve += cross + cross.T - (d1 * c2[:, None]).T @ d1 - (zd * (wd * r1[g])[:, None]).T @ zd
+        self.before += _moments(z, w, self.q)
+
+    def total(self) -> np.ndarray:
+        self._close()
+        out = np.zeros(1 + self.q + self.q ** 2)
+        out[0], out[1:1 + self.have] = self.value, self.grad
+        out[1 + self.q:].reshape(self.q, self.q)[:self.have, :self.have] = self.curve
         return out
 
+
+def _cox_evaluate(order: TimeOrder, jobs, q: int, efron: bool) -> np.ndarray:
+    """Second pass: log likelihood, gradient and curvature per model, summed over partitions."""
+    carry, ties = _cox_carries(order, jobs, q) if order.parts > 1 else ({}, {})
+    size, p, width = 1 + q + q * q, order.p, order.width
+
     def kernel(batches):
-        data = _load(batches, p, width)
-        if data is None:
-            return
-        x, folds, event, late, part = data
-        starts = np.flatnonzero(np.concatenate([[True], late[1:] != late[:-1]]))
-        ends = np.append(starts[1:], len(late)) - 1
-        group = np.repeat(np.arange(len(starts)), ends - starts + 1)
-        edge = {}
-        for g in {0, len(starts) - 1}:
-            if (part, late[starts[g]]) in shared:
-                edge[g] = shared[(part, late[starts[g]])]
-        for i, (model, beta) in enumerate(jobs):
-            yield i, one(model, beta, i, x, folds, event, group, ends, part, edge)
+        sweeps = None
+        for x, folds, event, late, part in _arrays(batches, p, width):
+            if sweeps is None:
+                before = carry.get(part, np.zeros((len(jobs), size)))
+                sweeps = [_Sweep(q, len(beta), before[i], {
+                    t: (risk[i], dead[i], total[i], earlier[i])
+                    for (at, t), (risk, dead, total, earlier) in ties.items() if at == part}, efron)
+                    for i, (_, beta) in enumerate(jobs)]
+            starts = np.flatnonzero(np.append(True, late[1:] != late[:-1]))
+            for sweep, (model, beta) in zip(sweeps, jobs):
+                z, eta, w, train = _weights(model, beta, x, folds)
+                sweep.add(z, eta, w, train & (event > 0), late, starts)
+        if sweeps is not None:
+            yield from ((i, s.total()) for i, s in enumerate(sweeps))
 
     return scan(order.rows, ["x", "folds", "event", "late", "part"], kernel, (len(jobs), size), order.parts)
 
@@ -327,7 +400,8 @@ def cox_fitter(order: TimeOrder, alpha: float = 0.05, ties: str = "breslow"):
 
         def evaluate(asked):
             q = max(len(b) for _, b in asked)
-            per_model = 8 * order.parts * 6 * (1 + q + q * q)
+            most = max([len(t) for t in order.shared.values()], default=0)
+            per_model = 8 * order.parts * (1 + 2 * most) * (1 + q + q * q)
             chunk = max(1, COX_DRIVER_BYTES // per_model)
             out = []
             for at in range(0, len(asked), chunk):

@@ -85,14 +85,15 @@ def average_ranks(df: DataFrame, id_col: str, cols: list[str], **limits) -> tupl
     The way back to the ids is a broadcast when the distinct values are few; otherwise frequent
     values are broadcast (at most HOT_SHARE of them per column) and only rare ones are shuffled.
     """
-    n = df.count()
     long = df.select(col(id_col).alias("_id"), F.posexplode(
         F.array(*[col(c).cast("double") + F.lit(0.0) for c in cols])).alias("_j", "_v"))
     cells = long.groupBy("_j", "_v").agg(F.count(F.lit(1)).alias("_n"))
     ranks = hold(running_totals(cells, ["_j"], ["_v"], ["_n"], **limits).select(
         "_j", "_v", "_n", (F.col("_n_before") + (F.col("_n") + 1) / 2).alias("_rank")))
     on = ["_j", "_v"]
-    if ranks.count() <= BROADCAST_CELLS:
+    distinct, n = ranks.agg(F.count(F.lit(1)), F.sum(F.when(F.col("_j") == 0, F.col("_n")))).first()
+    n = n or 0
+    if distinct <= BROADCAST_CELLS:
         ranked = long.join(F.broadcast(ranks.drop("_n")), on)
     else:
         hot = ranks.where(F.col("_n") > max(1, n // HOT_SHARE)).drop("_n")

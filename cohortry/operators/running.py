@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from cohortry.functions.columns import col
 
 WINDOW_ROWS = 1_000_000       # at most this many rows in all may go through plain windows
+BROADCAST_ROWS = 100_000      # tables of keys up to this many rows are broadcast
 PARTITION_ROWS = 1_000_000    # rows per range partition above that
 
 _held: list[DataFrame] = []
@@ -38,6 +39,15 @@ def release() -> None:
         _held.pop().unpersist()
 
 
+def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join to a table of one row per key: broadcast once its counted size is known to be small.
+
+    Beyond that an ordinary shuffled join, where adaptive execution splits skewed keys.
+    """
+    small = hold(small)
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint to the folder the cluster names, so partition layout survives lost executors."""
     spark = df.sparkSession

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.columns import col
-from cohortry.operators.running import hold, running_totals
+from cohortry.operators.running import hold, join_small, running_totals
 
 RISK_TIE = 1e-8        # Fixed value: scores at most this far apart count as tied.
 LOCAL_ROWS = 200_000   # a key with at most this many subjects may be counted inside one task
@@ -44,7 +44,7 @@ def linear_score(df: DataFrame, features: list[str], coefs: DataFrame, by: list[
     """
     extra = [c for c in (intercept, center) if c]
     small = coefs.select(*[col(k) for k in by], beta, *extra)
-    joined = df.join(F.broadcast(small) if coefs.count() <= 100_000 else small, by)
+    joined = join_small(df, small, by)
     score = dot(F.array(*[col(c) for c in features]), col(beta))
     if intercept:
         score = score + col(intercept)

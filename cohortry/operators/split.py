@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.columns import col, seeded_hash
-from cohortry.operators.running import running_totals
+from cohortry.operators.running import join_small, running_totals
 
 SLICE_ROWS = 500_000
 
@@ -69,7 +69,7 @@ def stratified_split(df: DataFrame, id_col: str, strat_col: str, test_size: floa
     quotas = train_quotas(sizes, strat_col, n, n - n_test).drop("n_rows")
     placed = hashed_positions(df.withColumn("_hash", seeded_hash(id_col, seed)), [strat_col],
                               "_hash", id_col, n, slice_rows)
-    return (placed.join(quotas, on=strat_col)
+    return (join_small(placed, quotas, [strat_col])
             .withColumn("split", F.when(F.col("_pos") < F.col("n_train"), "train").otherwise("test"))
             .select(*[col(c) for c in df.columns], "split"))
 
@@ -90,7 +90,7 @@ def fold_rows(df: DataFrame, id_col: str, label: str, k: int, seeds: list[int],
     spread = spread.withColumn("_hash", seeded_hash(id_col, F.col("seed")))
     placed = hashed_positions(spread, ["seed", label], "_hash", id_col, n * len(seeds), slice_rows)
     fold = ((F.col("_start") + F.col("_pos")) % F.lit(k)).cast("int")
-    return placed.join(starts, on=label).select(col(id_col), col(label), "seed", fold.alias("fold"))
+    return join_small(placed, starts, [label]).select(col(id_col), col(label), "seed", fold.alias("fold"))
 
 
 def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int, seeds: list[int],

@@ -227,8 +227,8 @@ def centred_sql(table):
 
 
 @query("C5_attach_scores", f"""{W}, {COEF_SQL}, {COEF_SQL.replace('co AS', 'ce AS').replace('response', 'event')}
-SELECT id, time AS followup, event AS dead, round(exp({centred_sql('co')}), 8) AS RelativeRisk_1,
-  round(exp({centred_sql('ce')}), 8) AS RelativeRisk_2 FROM f JOIN co USING (seg) JOIN ce USING (seg)""")
+SELECT id, time AS followup, event AS dead, round(exp({centred_sql('co')}), 6) AS RelativeRisk_1,
+  round(exp({centred_sql('ce')}), 6) AS RelativeRisk_2 FROM f JOIN co USING (seg) JOIN ce USING (seg)""")
 def c5(spark, sf):
     f = order_features(spark, sf)
     scores = report.union_rows(*[
@@ -236,7 +236,7 @@ def c5(spark, sf):
         .select("id", F.lit(name).alias("model"), "relative_risk")
         for name, label in (("m1", "response"), ("m2", "event"))])
     base = f.select("id", F.col("time").alias("followup"), F.col("event").alias("dead"))
-    return rounded(scoring.attach_scores(base, scores, "id", ["m1", "m2"]), "RelativeRisk_1", "RelativeRisk_2", digits=8)
+    return rounded(scoring.attach_scores(base, scores, "id", ["m1", "m2"]), "RelativeRisk_1", "RelativeRisk_2")
 
 
 # --- metrics of a fixed score -------------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.columns import col
-from cohortry.operators.running import hold
+from cohortry.operators.running import durable, hold
 
 DRIVER_BYTES = 64 << 20   # partial arrays up to this size are added on the driver
 
@@ -54,13 +54,12 @@ def design_table(df: DataFrame, id_col: str, features: list[str], outcome: list[
     rows = df.select(col(id_col).alias("id"), F.array(*[col(c).cast("double") for c in features]).alias("x"),
                      F.col("folds") if seeds else F.array().cast("array<int>").alias("folds"),
                      *[col(c) for c in outcome])
-    rows = hold(rows)
-    n = rows.count()
-    parts = rows.rdd.getNumPartitions()
+    rows = durable(rows)
+    n, parts = rows.count(), rows.rdd.getNumPartitions()
     wanted = df.sparkSession.sparkContext.defaultParallelism
     if parts < wanted and n > 10_000:
-        rows = hold(rows.repartition(wanted))
-        parts = wanted
+        rows, parts = rows.repartition(wanted), wanted
+    rows = hold(rows)
     return Design(rows, list(features), list(seeds or []), k, parts, n)
 
 

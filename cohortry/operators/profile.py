@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.columns import col
 from cohortry.functions.pvalues import t_two_sided
-from cohortry.operators.running import hold, running_totals
+from cohortry.operators.running import durable, running_totals
 
 # Skewness bounds and the advice texts that go with them.
 SKEW_BOUND = 0.75
@@ -53,12 +53,12 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
         step = (hi - lo) / bins
         at = F.least(F.floor((col(c) - F.lit(lo)) / F.lit(step)).cast("int"), F.lit(bins - 1))
         # Rounding may put a value next to an edge one bin off: the edges decide.
-        at = (at - (col(c) < F.lit(lo) + at * step).cast("int")
-              + ((at < bins - 1) & (col(c) >= F.lit(lo) + (at + 1) * step)).cast("int"))
-        placed.append(F.struct(F.lit(c).alias("feature"), at.alias("bin"),
-                               col(c).isNotNull().alias("known")))
-    counts = (df.select(F.inline(F.array(*placed))).where("known")
-              .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n")))
+        placed.append(at - (col(c) < F.lit(lo) + at * step).cast("int")
+                      + ((at < bins - 1) & (col(c) >= F.lit(lo) + (at + 1) * step)).cast("int"))
+    names = F.array(*[F.lit(c) for c in edges])
+    counts = (df.select(F.posexplode(F.array(*placed)).alias("_j", "bin")).where(F.col("bin").isNotNull())
+              .groupBy("_j", "bin").agg(F.count(F.lit(1)).alias("n"))
+              .select(F.get(names, F.col("_j")).alias("feature"), "bin", "n"))
     frame = df.sparkSession.createDataFrame(
         [(c, b, float(lo + b * ((hi - lo) / bins)), float(lo + (b + 1) * ((hi - lo) / bins)))
          for c, (lo, hi) in edges.items() for b in range(bins)],
@@ -88,7 +88,7 @@ def average_ranks(df: DataFrame, id_col: str, cols: list[str], **limits) -> tupl
     long = df.select(col(id_col).alias("_id"), F.posexplode(
         F.array(*[col(c).cast("double") + F.lit(0.0) for c in cols])).alias("_j", "_v"))
     cells = long.groupBy("_j", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    ranks = hold(running_totals(cells, ["_j"], ["_v"], ["_n"], **limits).select(
+    ranks = durable(running_totals(cells, ["_j"], ["_v"], ["_n"], **limits).select(
         "_j", "_v", "_n", (F.col("_n_before") + (F.col("_n") + 1) / 2).alias("_rank")))
     on = ["_j", "_v"]
     distinct, n = ranks.agg(F.count(F.lit(1)), F.sum(F.when(F.col("_j") == 0, F.col("_n")))).first()

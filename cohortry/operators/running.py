@@ -1,6 +1,6 @@
 """Exact running totals along a global order, with no window that holds a whole key in one task.
 
-Small inputs (row count checked) use an ordinary window.  Larger ones are range-partitioned on
+Where the largest key is small (counted), an ordinary window does.  Otherwise rows are range-partitioned on
 (keys, order); each partition reports only its edge key, the handful of edge rows is turned into
 one carry-in per partition, and a second pass adds local sums.  A key holding most of the rows
 is therefore spread over as many partitions as its rows need.
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from cohortry.functions.columns import col
 
-WINDOW_ROWS = 1_000_000       # at most this many rows in all may go through plain windows
+WINDOW_ROWS = 1_000_000       # a key with at most this many rows may go through a plain window
 BROADCAST_ROWS = 100_000      # tables of keys up to this many rows are broadcast
 PARTITION_ROWS = 1_000_000    # rows per range partition above that
 
@@ -49,7 +49,8 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster names, so partition layout survives lost executors."""
+    """Checkpoint to the folder the cluster names: the partition layout survives lost executors, and
+    long chains of steps stay short plans."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     return df.checkpoint(eager=True)
@@ -75,9 +76,12 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], sums: list[
     """
     window_rows = WINDOW_ROWS if window_rows is None else window_rows
     partition_rows = PARTITION_ROWS if partition_rows is None else partition_rows
-    df = hold(df)
+    df = durable(df)
     n = df.count()
-    if n <= window_rows:
+    largest = n
+    if keys and n > window_rows:
+        largest = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if largest <= window_rows:
         w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(o) for o in order])
         w = w.rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.columns import col
-from cohortry.operators.running import hold, join_small, running_totals
+from cohortry.operators.running import durable, hold, join_small, running_totals
 
 RISK_TIE = 1e-8        # Fixed value: scores at most this far apart count as tied.
 LOCAL_ROWS = 200_000   # a key with at most this many subjects may be counted inside one task
@@ -141,23 +141,22 @@ def _count_pairs(s: np.ndarray, t: np.ndarray, e: np.ndarray) -> tuple[int, int,
     died = np.flatnonzero(e == 1)
     # Rows in front of an event that are comparable with it form a prefix of this order.
     stop = ahead[died]
-    low = _prefix_counts(rank, stop, below[died], len(levels))
-    not_high = _prefix_counts(rank, stop, upto[died], len(levels))
+    low, not_high = _prefix_counts(rank, stop, (below[died], upto[died]), len(levels))
     total = int(stop.sum())
     return int(low.sum()), total - int(not_high.sum()), int((not_high - low).sum())
 
 
-def _prefix_counts(rank: np.ndarray, stop: np.ndarray, bound: np.ndarray, size: int) -> np.ndarray:
-    """For each query: how many of ``rank[:stop]`` are below ``bound``; one sort per bit."""
-    out = np.zeros(len(stop), dtype="int64")
-    place = np.arange(len(rank))
+def _prefix_counts(rank: np.ndarray, stop: np.ndarray, bounds: tuple[np.ndarray, ...], size: int):
+    """Per bound and query: how many of ``rank[:stop]`` are below the bound; one sort per bit."""
+    out = np.zeros((len(bounds), len(stop)), dtype="int64")
+    span = len(rank) + 1
+    place = np.arange(len(rank), dtype="int64")
     for b in range(max(1, int(size).bit_length())):
-        node = rank >> b
-        order = np.lexsort((place, node))
-        key = node[order].astype("int64") * (len(rank) + 1) + place[order]
-        asks = np.flatnonzero((bound >> b) & 1)
-        want = ((bound[asks] >> b) - 1).astype("int64") * (len(rank) + 1)
-        out[asks] += np.searchsorted(key, want + stop[asks]) - np.searchsorted(key, want)
+        key = np.sort((rank >> b).astype("int64") * span + place)
+        for total, bound in zip(out, bounds):
+            asks = np.flatnonzero((bound >> b) & 1)
+            want = ((bound[asks] >> b) - 1).astype("int64") * span
+            total[asks] += np.searchsorted(key, want + stop[asks]) - np.searchsorted(key, want)
     return out
 
 
@@ -181,7 +180,7 @@ def _dyadic_pairs(base: DataFrame, keys: list[str], **limits) -> DataFrame:
     subjects have a rank below this bound", and running counts do not mind how large a key is.
     """
     k = [col(c) for c in keys]
-    cells = hold(base.groupBy(*k, "_s", "_t", "_e").agg(F.count(F.lit(1)).alias("_n")))
+    cells = durable(base.groupBy(*k, "_s", "_t", "_e").agg(F.count(F.lit(1)).alias("_n")))
     # Ranks of the scores and of the two tie bounds, by one running count over all three.
     asked = cells.groupBy(*k, "_s").agg(F.lit(1).cast("bigint").alias("_one"))
     marks = asked.select(*k, F.inline(F.array(
@@ -192,7 +191,7 @@ def _dyadic_pairs(base: DataFrame, keys: list[str], **limits) -> DataFrame:
     ranks = run.groupBy(*k, "_s").agg(*[
         F.max(F.when(F.col("_side") == i, F.col("_one_before"))).alias(name)
         for i, name in enumerate(("_below", "_rank", "_upto"))])
-    ranked = hold(cells.join(ranks, keys + ["_s"]))
+    ranked = durable(cells.join(ranks, keys + ["_s"]))
     top = ranked.agg(F.max("_upto")).first()[0]
     bits = max(1, int(top).bit_length()) if top is not None else 1
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import clean, profile, report, scoring, split, survival
 from cohortry.queries.registry import query, r6, rounded, scratch
-from cohortry.queries.subjects import (CLEAN_SQL, F_SQL, FEATURES, order_features, spearman_sql,
+from cohortry.queries.subjects import (CLEAN_SQL, F_SQL, FEATURES, held_features, order_features, spearman_sql,
                                        split_sql)
 from cohortry.sources import tables
 
@@ -46,7 +46,7 @@ def a2(spark, sf):
                           "dataset string, featureset string, cols_to_balance string, folds int") \
         .coalesce(1).write.option("header", True).csv(path)
     sets = {"small": FEATURES[:4], "all": FEATURES}
-    f = order_features(spark, sf)
+    f = held_features(spark, sf, "id", *FEATURES)
 
     def analysis(run):
         matrix = profile.spearman_matrix(f, "id", tables.resolve_features(f, sets[run["featureset"]], True))
@@ -105,8 +105,8 @@ def a4(spark, sf):
 @query("A5_write_split", f"{W}, {split_sql()} SELECT id, split, qty_sum, acctbal, response FROM sp")
 def a5(spark, sf):
     path = scratch(spark)
-    placed = split.stratified_split(clean.strat_key(order_features(spark, sf), ["prio", "seg"]), "id",
-                                    "strat_col", seed=7)
+    f = held_features(spark, sf, "id", "prio", "seg", "qty_sum", "acctbal", "response")
+    placed = split.stratified_split(clean.strat_key(f, ["prio", "seg"]), "id", "strat_col", seed=7)
     sides = {s: placed.where(F.col("split") == s).drop("split") for s in ("train", "test")}
     tables.write_split(sides["train"], sides["test"], path, "id", ["qty_sum", "acctbal"], ["response"])
     return report.union_rows(*[scoring.attach_outcome(
@@ -122,7 +122,7 @@ A6_COLS = ["qty_sum", "price_avg", "acctbal", "const_col"]
     + " FROM rho GROUP BY feat1")
 def a6(spark, sf):
     path = scratch(spark)
-    tables.write_corr_matrix(profile.spearman_matrix(order_features(spark, sf), "id", A6_COLS), A6_COLS, path)
+    tables.write_corr_matrix(profile.spearman_matrix(held_features(spark, sf, "id", *A6_COLS), "id", A6_COLS), A6_COLS, path)
     back = tables.read_table(spark, path, None) if path.endswith(".csv") else \
         spark.read.option("header", True).csv(path)
     return back.select("feature", *[(F.col(c).cast("double") + 0.0).alias(c) for c in A6_COLS])
@@ -171,8 +171,8 @@ def b5(spark, sf):
 
 @query("B6_align_columns", f"{W}, {split_sql()} SELECT acctbal, qty_sum, id FROM sp WHERE split = 'test'")
 def b6(spark, sf):
-    placed = split.stratified_split(clean.strat_key(order_features(spark, sf), ["prio", "seg"]), "id",
-                                    "strat_col", seed=7)
+    f = held_features(spark, sf, "id", "prio", "seg", "qty_sum", "acctbal")
+    placed = split.stratified_split(clean.strat_key(f, ["prio", "seg"]), "id", "strat_col", seed=7)
     like = placed.where("split = 'train'").select("acctbal", "qty_sum", "id")
     return clean.align_columns(placed.where("split = 'test'"), like)
 
@@ -189,7 +189,7 @@ SELECT id, acctbal, round(ln(acctbal + CASE WHEN a <= 0 THEN abs(a) + 1e-6 ELSE
   round(ln(time + CASE WHEN t <= 0 THEN abs(t) + 1e-6 ELSE 0 END), 6) + 0.0 AS time_log,
   round(ln(total + CASE WHEN p <= 0 THEN abs(p) + 1e-6 ELSE 0 END), 6) + 0.0 AS total_log FROM f CROSS JOIN lo""")
 def b8(spark, sf):
-    f = clean.log_transform(order_features(spark, sf), ["acctbal", "time", "total"])
+    f = clean.log_transform(held_features(spark, sf, "id", "acctbal", "time", "total"), ["acctbal", "time", "total"])
     return rounded(f.select("id", "acctbal", "acctbal_log", "time_log", "total_log"),
                    "acctbal_log", "time_log", "total_log")
 
@@ -244,7 +244,7 @@ def b12(spark, sf):
 SELECT id, seg, round(threshold, 6) + 0.0 AS threshold, CASE WHEN total > threshold THEN 'Upper' ELSE 'Lower' END AS grp
 FROM f JOIN q USING (seg)""")
 def b13(spark, sf):
-    f = order_features(spark, sf).select("id", "seg", "total")
+    f = held_features(spark, sf, "id", "seg", "total")
     return rounded(survival.split_at_quantile(f, ["seg"], "total").drop("total"), "threshold")
 
 
@@ -289,7 +289,7 @@ def e12(spark, sf):
 @query("H1_union_rows", f"""{W}, {split_sql()} SELECT id, split FROM sp UNION ALL
 SELECT id, 'again' FROM sp WHERE split = 'test'""")
 def h1(spark, sf):
-    placed = split.stratified_split(clean.strat_key(order_features(spark, sf), ["prio", "seg"]), "id",
-                                    "strat_col", seed=7).select("id", "split")
+    f = held_features(spark, sf, "id", "prio", "seg")
+    placed = split.stratified_split(clean.strat_key(f, ["prio", "seg"]), "id", "strat_col", seed=7).select("id", "split")
     train, test = placed.where("split = 'train'"), placed.where("split = 'test'")
     return report.union_rows(train, test, test.withColumn("split", F.lit("again")))

@@ -10,11 +10,12 @@ from cohortry.plans.preparation import prepare_logistic, prepare_survival
 from cohortry.plans.survival_report import survival_report
 from cohortry.queries.registry import query, r6, rounded
 from cohortry.queries.statistics import SCORE_SQL, fixed_score
-from cohortry.queries.subjects import F_SQL, FEATURES, order_features
+from cohortry.queries.subjects import F_SQL, FEATURES, held_features, order_features
 from cohortry.operators.split import stratified_kfold
 
 W = f"WITH {F_SQL}"
 SEEDS, K = [1, 2, 3], 3
+BASE = ["id", "prio", "seg", "response", "event", "time", *FEATURES]
 BREAKS = [0.0, 500.0, 1000.0, 1500.0, 2000.0, 2500.0]
 
 
@@ -89,7 +90,7 @@ def g4(spark, sf):
 # --- fits ---------------------------------------------------------------------------------------
 
 def folded(spark, sf, label):
-    f = order_features(spark, sf).select("id", *FEATURES, "response", "event", "time")
+    f = held_features(spark, sf, "id", *FEATURES, "response", "event", "time")
     kept = stratified_kfold(f, "id", label, K, SEEDS)
     return design.design_table(kept, "id", FEATURES, ["response", "event", "time"], SEEDS, K)
 
@@ -150,21 +151,21 @@ def f5(spark, sf):
 
 @query("F12_cross_validate_rfe_logistic")
 def f12(spark, sf):
-    ready = prepare_logistic(order_features(spark, sf), "id", FEATURES, "response", ["prio", "seg"], seed=7,
+    ready = prepare_logistic(held_features(spark, sf, *BASE), "id", FEATURES, "response", ["prio", "seg"], seed=7,
                              drop=("total", "qty_sum"), protect="qty_sum", log_cols=("acctbal",))
     return cross_validate_rfe_logistic(ready.train, ready.test, "id", ready.features, "response", K, SEEDS)
 
 
 @query("F13_cross_validate_rfe_cox")
 def f13(spark, sf):
-    ready = prepare_survival(order_features(spark, sf), "id", FEATURES, "event", "time", ["prio", "seg"], seed=7,
+    ready = prepare_survival(held_features(spark, sf, *BASE), "id", FEATURES, "event", "time", ["prio", "seg"], seed=7,
                              drop=("total", "qty_sum"), protect="qty_sum", log_cols=("acctbal",))
     return cross_validate_rfe_cox(ready.train, ready.test, "id", ready.features, "event", "time", K, SEEDS,
                                   mandatory="qty_sum")
 
 
 def report(spark, sf):
-    ready = prepare_survival(order_features(spark, sf), "id", FEATURES, "event", "time", ["prio", "seg"], seed=7)
+    ready = prepare_survival(held_features(spark, sf, *BASE), "id", FEATURES, "event", "time", ["prio", "seg"], seed=7)
     markers = [c for c in FEATURES if c != "qty_sum"]
     return survival_report(ready.train, ready.test, "id", "qty_sum", markers, "event", "time", BREAKS)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortry.operators import clean, design, profile, report, scoring, split
 from cohortry.plans.preparation import prepare_logistic
 from cohortry.queries.registry import query, r6, rounded
-from cohortry.queries.subjects import (F_SQL, FEATURES, fold_sql, order_features, spearman_sql, split_sql,
+from cohortry.queries.subjects import (F_SQL, FEATURES, fold_sql, held_features, order_features, spearman_sql, split_sql,
                                        unpivot_sql)
 
 W = f"WITH {F_SQL}"
@@ -17,7 +17,7 @@ WITH_CONST = FEATURES + ["const_col"]
 
 
 def strata(spark, sf):
-    return clean.strat_key(order_features(spark, sf), ["prio", "seg"])
+    return clean.strat_key(held_features(spark, sf, "id", "prio", "seg"), ["prio", "seg"])
 
 
 @query("D1_stratified_split", f"{W}, {split_sql()} SELECT id, strat_col, split FROM sp")
@@ -28,7 +28,7 @@ def d1(spark, sf):
 @query("D2_stratified_kfold", f"""{W}, {fold_sql('f', 'event', 5, [1, 2, 3])}
 SELECT id, event, seed, fold FROM fo""")
 def d2(spark, sf):
-    folded = split.stratified_kfold(order_features(spark, sf).select("id", "event"), "id", "event", 5, [1, 2, 3])
+    folded = split.stratified_kfold(held_features(spark, sf, "id", "event"), "id", "event", 5, [1, 2, 3])
     return folded.select("id", "event", F.posexplode("folds").alias("seed", "fold")) \
                  .withColumn("seed", F.col("seed") + 1)
 
@@ -54,8 +54,8 @@ sc AS (SELECT seed, fold, feature, avg(least(greatest(v, low), high)) AS mean,
 
 
 def folds(spark, sf, features=PREP):
-    f = order_features(spark, sf)
-    folded = split.stratified_kfold(f.select("id", "response", *features), "id", "response", K, SEEDS)
+    f = held_features(spark, sf, "id", "response", *features)
+    folded = split.stratified_kfold(f, "id", "response", K, SEEDS)
     return design.design_table(folded, "id", features, ["response"], SEEDS, K)
 
 
@@ -102,14 +102,14 @@ def c2(spark, sf):
 @query("E4_spearman_matrix", f"""{W}, {spearman_sql('f', WITH_CONST)}
 SELECT feat1, feat2, n, {r6('rho')} FROM rho""")
 def e4(spark, sf):
-    matrix = profile.spearman_matrix(order_features(spark, sf), "id", WITH_CONST)
+    matrix = profile.spearman_matrix(held_features(spark, sf, "id", *WITH_CONST), "id", WITH_CONST)
     return rounded(matrix.select("feat1", "feat2", "n", "rho"), "rho")
 
 
 @query("E5_top_correlations", f"""{W}, {spearman_sql('f', WITH_CONST)} SELECT feat1, feat2, round(abs(rho), 6) AS abs_rho
 FROM rho WHERE i < j AND rho IS NOT NULL ORDER BY abs(rho) DESC, feat1, feat2 LIMIT 10""")
 def e5(spark, sf):
-    return rounded(profile.top_correlations(profile.spearman_matrix(order_features(spark, sf), "id", WITH_CONST)),
+    return rounded(profile.top_correlations(profile.spearman_matrix(held_features(spark, sf, "id", *WITH_CONST), "id", WITH_CONST)),
                    "abs_rho")
 
 
@@ -124,7 +124,7 @@ s AS (SELECT feat1, feat2, rho, n, t, sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k
   FROM g CROSS JOIN range(0, 4001) AS r(k) GROUP BY ALL)
 SELECT feat1, feat2, n, round(rho, 6) + 0.0 AS rho, round(t, 5) + 0.0 AS t, round(least(p, 1), 6) + 0.0 AS p_value FROM s""")
 def e6(spark, sf):
-    f = order_features(spark, sf)
+    f = held_features(spark, sf, "id", *FEATURES)
     tests = profile.spearman_test(profile.spearman_matrix(f, "id", FEATURES), profile.feature_pairs(f, FEATURES))
     return rounded(rounded(tests, "rho", "p_value"), "t", digits=5)
 
@@ -140,7 +140,7 @@ walk AS (SELECT list_reduce(list_prepend({{'i': -1, 'js': []::BIGINT[]}}, list({
     ELSE list_concat(acc.js, x.js) END}}).js AS gone FROM each)
 SELECT feat1 AS feature, NOT list_contains(gone, i) AS kept FROM each CROSS JOIN walk""")
 def e7(spark, sf):
-    f = order_features(spark, sf).withColumn("total_copy", F.col("total") * 2 + 1)
+    f = held_features(spark, sf, "id", *FEATURES).withColumn("total_copy", F.col("total") * 2 + 1)
     kept = profile.drop_correlated(profile.spearman_matrix(f, "id", NEAR), NEAR, 0.8, ("qty_sum",))
     return spark.createDataFrame([(c, c in kept) for c in NEAR], "feature string, kept boolean")
 
@@ -164,13 +164,13 @@ SELECT feature, bin, round(lo + bin * ((hi - lo) / 30), 6) + 0.0 AS lower, round
   coalesce(n, 0) AS n FROM (SELECT feature, lo, hi, CAST(k AS INT) AS bin FROM e CROSS JOIN range(0, 30) AS r(k))
 LEFT JOIN b USING (feature, bin)""")
 def e9(spark, sf):
-    return rounded(profile.histogram(order_features(spark, sf), WITH_CONST), "lower", "upper")
+    return rounded(profile.histogram(held_features(spark, sf, *WITH_CONST), WITH_CONST), "lower", "upper")
 
 
 @query("H2_top_k", f"""{W}, {split_sql()}, tr AS (SELECT * FROM sp WHERE split = 'train'), {spearman_sql('tr', FEATURES)}
 SELECT feat1, feat2, round(abs(rho), 6) AS abs_rho FROM rho WHERE i < j ORDER BY abs(rho) DESC, feat1, feat2 LIMIT 20""")
 def h2(spark, sf):
-    ready = prepare_logistic(order_features(spark, sf), "id", FEATURES, "response", ["prio", "seg"], seed=7,
+    ready = prepare_logistic(held_features(spark, sf, "id", "prio", "seg", "response", *FEATURES), "id", FEATURES, "response", ["prio", "seg"], seed=7,
                              drop=("total",), protect="qty_sum", report=True)
     return rounded(ready.top_pairs, "abs_rho")
 

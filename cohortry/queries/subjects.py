@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortry.operators.running import hold
 from cohortry.sources.tables import read_table
 
 FEATURES = ["n_lines", "qty_sum", "price_avg", "disc_avg", "tax_avg", "acctbal", "total"]
@@ -37,6 +38,11 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(1.0).alias("const_col"), dirty.alias("total_txt")))
 
 
+def held_features(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Chosen columns, cached: for queries that read the subjects more than once."""
+    return hold(order_features(spark, sf_dir).select(*cols))
+
+
 # The same table for the oracle, as the first common table expression of every statement.
 F_SQL = """f AS (
 SELECT o_orderkey AS id, o_orderpriority AS prio, c_mktsegment AS seg,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,8 @@ def seeded_hash(id_col: str, seed) -> Column:
     return F.md5(F.concat_ws(":", col(id_col).cast("string"), seed.cast("string")))
 
 
-def missing(name: str) -> Column:
+def missing(df: DataFrame, name: str) -> Column:
     """True for NULL and, on floating columns, for NaN."""
-    return col(name).isNull() | F.isnan(col(name).cast("double"))
+    if df.schema[name].dataType.typeName() in ("double", "float"):
+        return col(name).isNull() | F.isnan(col(name))
+    return col(name).isNull()

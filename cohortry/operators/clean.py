@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.columns import col, missing
@@ -35,18 +35,23 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame, subset: list[str]) -> DataFrame:
-    """Rows in which every listed column is present (neither NULL nor NaN)."""
-    return df.na.drop("any", subset=subset)
+    """Rows in which every listed column is present (neither NULL nor NaN).
+
+    One condition per column, so the NULL checks reach the Parquet scan.
+    """
+    for c in subset:
+        df = df.where(~missing(df, c))
+    return df
 
 
-def any_missing(cols: list[str]):
-    return reduce(lambda a, b: a | b, [missing(c) for c in cols])
+def any_missing(df: DataFrame, cols: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [missing(df, c) for c in cols])
 
 
 def na_profile(df: DataFrame, cols: list[str], top: int = 10) -> DataFrame:
     """Missing cells per column, most first, beside the shape before and after dropping."""
-    counted = df.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(any_missing(cols)).alias("_any"),
-                     *[F.count_if(missing(c)).alias(c) for c in cols])
+    counted = df.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(any_missing(df, cols)).alias("_any"),
+                     *[F.count_if(missing(df, c)).alias(c) for c in cols])
     return (counted.unpivot(["_rows", "_any"], [col(c) for c in cols], "feature", "n_missing")
             .select("feature", "n_missing", F.col("_rows").alias("rows_before"),
                     F.lit(len(cols)).alias("n_cols"), F.col("_any").alias("rows_with_missing"),

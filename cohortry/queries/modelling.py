@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortry.operators import design, newton, survival
 from cohortry.plans.crossval import cross_validate_rfe_cox, cross_validate_rfe_logistic
 from cohortry.plans.preparation import prepare_logistic, prepare_survival
-from cohortry.plans.survival_report import survival_report
+from cohortry.plans.survival_report import fit_biomarkers, survival_report
 from cohortry.queries.registry import query, r6, rounded
 from cohortry.queries.statistics import SCORE_SQL, fixed_score
 from cohortry.queries.subjects import F_SQL, FEATURES, held_features, order_features
@@ -124,7 +124,9 @@ def f2(spark, sf):
 
 @query("F3_fit_cox_efron")
 def f3(spark, sf):
-    return report(spark, sf).coefficients.select(
+    ready = survival_sides(spark, sf)
+    fits = fit_biomarkers(ready.train, "id", "qty_sum", MARKERS, "event", "time")
+    return fits.coefficients().select(
         "biomarker", "model_no", "formula", F.array_join("features", ", ").alias("features"), "beta", "ratio")
 
 
@@ -164,12 +166,14 @@ def f13(spark, sf):
                                   mandatory="qty_sum")
 
 
-def report(spark, sf):
-    ready = prepare_survival(held_features(spark, sf, *BASE), "id", FEATURES, "event", "time", ["prio", "seg"], seed=7)
-    markers = [c for c in FEATURES if c != "qty_sum"]
-    return survival_report(ready.train, ready.test, "id", "qty_sum", markers, "event", "time", BREAKS)
+MARKERS = [c for c in FEATURES if c != "qty_sum"]
+
+
+def survival_sides(spark, sf):
+    return prepare_survival(held_features(spark, sf, *BASE), "id", FEATURES, "event", "time", ["prio", "seg"], seed=7)
 
 
 @query("G5_survival_report")
 def g5(spark, sf):
-    return report(spark, sf).summary
+    ready = survival_sides(spark, sf)
+    return survival_report(ready.train, ready.test, "id", "qty_sum", MARKERS, "event", "time", BREAKS).summary

@@ -169,7 +169,7 @@ def fold_quantiles(d: Design, probs: tuple[float, ...], sizes: np.ndarray) -> np
                     digit = ((kj[rows] >> np.uint64(after)) & np.uint64(digits - 1)).astype("int64")
                     for s, i in wants:
                         seen[i] += np.bincount(folds[rows, s] * digits + digit, minlength=k * digits)
-            yield from enumerate(seen)
+            yield from ((i, counts) for i, counts in enumerate(seen) if counts.any())
 
         d_seeds = d.seeds
         counts = scan(d.rows, ["x", "folds"], kernel, (len(slot_of), k * digits), d.parts)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.columns import col
 from cohortry.functions.pvalues import t_two_sided
-from cohortry.operators.running import durable, running_totals
+from cohortry.operators.running import durable, join_values, running_totals
 
 # Skewness bounds and the advice texts that go with them.
 SKEW_BOUND = 0.75
@@ -17,8 +17,6 @@ NEAR_NORMAL = "≈ Normal"
 RIGHT_SKEWED = "Right-skewed → try log(x) or sqrt(x)"
 LEFT_SKEWED = "Left-skewed → try x² or exp(x)"
 
-BROADCAST_CELLS = 500_000   # rank tables up to this many rows are broadcast
-HOT_SHARE = 1000            # a value is hot when it fills more than 1/HOT_SHARE of a column
 
 
 def skew_profile(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -82,24 +80,15 @@ def average_ranks(df: DataFrame, id_col: str, cols: list[str], **limits) -> tupl
     """Wide table of average ranks (ties share theirs), one row per id, and the row count.
 
     Values are counted before they are ordered, so a frequent value is one row of the ordering.
-    The way back to the ids is a broadcast when the distinct values are few; otherwise frequent
-    values are broadcast (at most HOT_SHARE of them per column) and only rare ones are shuffled.
+    The way back to the ids shuffles rare values only.
     """
     long = df.select(col(id_col).alias("_id"), F.posexplode(
         F.array(*[col(c).cast("double") + F.lit(0.0) for c in cols])).alias("_j", "_v"))
     cells = long.groupBy("_j", "_v").agg(F.count(F.lit(1)).alias("_n"))
     ranks = durable(running_totals(cells, ["_j"], ["_v"], ["_n"], **limits).select(
         "_j", "_v", "_n", (F.col("_n_before") + (F.col("_n") + 1) / 2).alias("_rank")))
-    on = ["_j", "_v"]
-    distinct, n = ranks.agg(F.count(F.lit(1)), F.sum(F.when(F.col("_j") == 0, F.col("_n")))).first()
-    n = n or 0
-    if distinct <= BROADCAST_CELLS:
-        ranked = long.join(F.broadcast(ranks.drop("_n")), on)
-    else:
-        hot = ranks.where(F.col("_n") > max(1, n // HOT_SHARE)).drop("_n")
-        cold = ranks.where(F.col("_n") <= max(1, n // HOT_SHARE)).drop("_n")
-        ranked = long.join(F.broadcast(hot), on).unionByName(
-            long.join(F.broadcast(hot), on, "left_anti").join(cold, on))
+    n = ranks.agg(F.sum(F.when(F.col("_j") == 0, F.col("_n")))).first()[0] or 0
+    ranked = join_values(long, ranks, ["_j", "_v"], "_n", n)
     wide = ranked.groupBy("_id").agg(*[F.max(F.when(F.col("_j") == j, F.col("_rank"))).alias(f"_r{j}")
                                        for j in range(len(cols))])
     return wide, n

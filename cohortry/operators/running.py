@@ -21,6 +21,8 @@ from cohortry.functions.columns import col
 
 WINDOW_ROWS = 1_000_000       # a key with at most this many rows may go through a plain window
 BROADCAST_ROWS = 100_000      # tables of keys up to this many rows are broadcast
+BROADCAST_CELLS = 500_000     # tables of values up to this many rows are broadcast
+HOT_SHARE = 1000              # a value is hot when it fills more than 1/HOT_SHARE of the rows
 PARTITION_ROWS = 1_000_000    # rows per range partition above that
 
 _held: list[DataFrame] = []
@@ -48,6 +50,22 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
+def join_values(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Join ``left`` to one row per value, where a few values may fill most of ``left``.
+
+    ``weight`` counts the left rows of a value.  Few values in all: broadcast.  Otherwise the values
+    with more than ``total / HOT_SHARE`` rows, of which there can only be few, are broadcast and leave
+    the shuffle; the rest is joined by shuffling.
+    """
+    right = hold(right)
+    if right.count() <= BROADCAST_CELLS:
+        return left.join(F.broadcast(right.drop(weight)), on)
+    line = max(1, total // HOT_SHARE)
+    hot = F.broadcast(right.where(col(weight) > line).drop(weight))
+    cold = right.where(col(weight) <= line).drop(weight)
+    return left.join(hot, on).unionByName(left.join(hot, on, "left_anti").join(cold, on))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint to the folder the cluster names: the partition layout survives lost executors, and
     long chains of steps stay short plans."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.columns import col
-from cohortry.operators.running import durable, hold, join_small, running_totals
+from cohortry.operators.running import durable, hold, join_small, join_values, running_totals
 
 RISK_TIE = 1e-8        # Fixed value: scores at most this far apart count as tied.
 LOCAL_ROWS = 200_000   # a key with at most this many subjects may be counted inside one task
@@ -117,10 +117,10 @@ def comparable_pairs(df: DataFrame, keys: list[str], score: str, time: str, even
     parts = []
     if smallest is not None and smallest <= local_rows:
         small = base if largest <= local_rows else \
-            base.join(sizes.where(F.col("_n") <= local_rows).drop("_n"), keys, "left_semi")
+            join_small(base, sizes.where(F.col("_n") <= local_rows).drop("_n"), keys, "left_semi")
         parts.append(_local_pairs(small, keys))
     if largest is None or largest > local_rows:
-        big = base.join(sizes.where(F.col("_n") > local_rows).drop("_n"), keys, "left_semi")
+        big = join_small(base, sizes.where(F.col("_n") > local_rows).drop("_n"), keys, "left_semi")
         parts.append(_dyadic_pairs(big, keys, **limits))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.drop("_all")
@@ -182,7 +182,8 @@ def _dyadic_pairs(base: DataFrame, keys: list[str], **limits) -> DataFrame:
     k = [col(c) for c in keys]
     cells = durable(base.groupBy(*k, "_s", "_t", "_e").agg(F.count(F.lit(1)).alias("_n")))
     # Ranks of the scores and of the two tie bounds, by one running count over all three.
-    asked = cells.groupBy(*k, "_s").agg(F.lit(1).cast("bigint").alias("_one"))
+    scores = durable(cells.groupBy(*k, "_s").agg(F.count(F.lit(1)).alias("_cells")))
+    asked = scores.select(*k, "_s", F.lit(1).cast("bigint").alias("_one"))
     marks = asked.select(*k, F.inline(F.array(
         F.struct((F.col("_s") - RISK_TIE).alias("_at"), F.lit(0).alias("_side"), F.col("_s"), F.lit(0).cast("bigint").alias("_one")),
         F.struct(F.col("_s").alias("_at"), F.lit(1).alias("_side"), F.col("_s"), F.col("_one")),
@@ -191,7 +192,8 @@ def _dyadic_pairs(base: DataFrame, keys: list[str], **limits) -> DataFrame:
     ranks = run.groupBy(*k, "_s").agg(*[
         F.max(F.when(F.col("_side") == i, F.col("_one_before"))).alias(name)
         for i, name in enumerate(("_below", "_rank", "_upto"))])
-    ranked = durable(cells.join(ranks, keys + ["_s"]))
+    ranks = ranks.join(scores, keys + ["_s"])
+    ranked = durable(join_values(cells, ranks, keys + ["_s"], "_cells", cells.count()))
     top = ranked.agg(F.max("_upto")).first()[0]
     bits = max(1, int(top).bit_length()) if top is not None else 1
 

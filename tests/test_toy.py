@@ -111,8 +111,8 @@ def test_spearman(toy, limits):
 
 
 def test_spearman_without_broadcast(toy, monkeypatch):
-    monkeypatch.setattr(profile, "BROADCAST_CELLS", 0)
-    monkeypatch.setattr(profile, "HOT_SHARE", 5)
+    monkeypatch.setattr(running, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(running, "HOT_SHARE", 5)
     got = profile.spearman_matrix(toy, "id", ["x1", "x2"]).where("i < j").first()
     assert got.rho == pytest.approx(.1641344968)
 
@@ -146,6 +146,29 @@ def _model(mean, scale):
     return newton.Model(None, None, [0, 1], -inf, inf, np.asarray(mean), np.asarray(scale))
 
 
+def test_concordance_mixed_keys_and_hot_scores(spark, monkeypatch):
+    """One key and one score hold a third of the rows; scores closer than the tie width."""
+    monkeypatch.setattr(running, "BROADCAST_CELLS", 0)
+    monkeypatch.setattr(running, "HOT_SHARE", 4)
+    rng = np.random.default_rng(3)
+    n = 600
+    key = np.where(rng.random(n) < .5, 0, rng.integers(1, 6, n))
+    s = np.where(rng.random(n) < .35, 2.0, rng.integers(0, 20, n) / 4 + rng.integers(0, 3, n) * 4e-9)
+    t, e = rng.integers(0, 30, n).astype(float), rng.integers(0, 2, n)
+    df = spark.createDataFrame([(int(a), float(b), float(c), int(d)) for a, b, c, d in zip(key, s, t, e)],
+                               "k int, s double, t double, e int")
+    want = {}
+    for k in set(key.tolist()):
+        a, b, c = s[key == k], t[key == k], e[key == k]
+        comp = (c[:, None] == 1) & ((b[:, None] < b) | ((b[:, None] == b) & (c == 0)))
+        gap = a[:, None] - a
+        tie = np.abs(gap) <= 1e-8
+        want[k] = ((comp & ~tie & (gap > 0)).sum(), (comp & ~tie & (gap < 0)).sum(), (comp & tie).sum())
+    for how in ({}, {"local_rows": 100}, {"local_rows": 0, "window_rows": 0, "partition_rows": 500}):
+        got = scoring.comparable_pairs(df, ["k"], "s", "t", "e", **how).collect()
+        assert {r.k: (r.concordant, r.discordant, r.tied) for r in got} == want
+
+
 def test_cox_fits(toy):
     d = design.design_table(toy, "id", ["x1", "x2"], ["event", "time", "y"])
     scaled, raw = _model(X.mean(0), X.std(0)), _model([0, 0], [1, 1])

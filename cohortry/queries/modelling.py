@@ -10,7 +10,8 @@ from cohortry.plans.preparation import prepare_logistic, prepare_survival
 from cohortry.plans.survival_report import fit_biomarkers, survival_report
 from cohortry.queries.registry import query, r6, rounded
 from cohortry.queries.statistics import SCORE_SQL, fixed_score
-from cohortry.queries.subjects import F_SQL, FEATURES, held_features, order_features
+from cohortry.queries.subjects import (F_SQL, FEATURES, fold_sql, held_features, order_features, split_sql,
+                                       unpivot_sql)
 from cohortry.operators.split import stratified_kfold
 
 W = f"WITH {F_SQL}"
@@ -106,28 +107,103 @@ def _named(d, model):
     return d.seeds[model.seed], model.fold
 
 
-@query("F1_fit_logistic")
+def fold_rows_sql(label):
+    """Clipped and scaled training rows of every (seed, fold, feature), ending in ``zt``."""
+    return f"""{F_SQL}, {fold_sql('f', label, K, SEEDS)}, {unpivot_sql('f', FEATURES)},
+tr AS (SELECT fo.id, fo.seed, g.fold, feature, v FROM fo JOIN u USING (id)
+  JOIN (VALUES {', '.join(f'({i})' for i in range(K))}) AS g(fold) ON fo.fold <> g.fold),
+q AS (SELECT seed, fold, feature, quantile_cont(v, 0.005) AS low, quantile_cont(v, 0.995) AS high FROM tr GROUP BY ALL),
+sc AS (SELECT seed, fold, feature, avg(least(greatest(v, low), high)) AS mean,
+  stddev_pop(least(greatest(v, low), high)) AS dev FROM tr JOIN q USING (seed, fold, feature) GROUP BY ALL),
+zt AS MATERIALIZED (SELECT seed, fold, feature, (least(greatest(v, low), high) - mean) / dev AS z, response, event, time
+  FROM tr JOIN q USING (seed, fold, feature) JOIN sc USING (seed, fold, feature) JOIN f USING (id))"""
+
+
+def chained(start, step, times):
+    """Newton steps written out: ``n0`` is the start, ``n<times>`` the result."""
+    return ", ".join([f"n0 AS MATERIALIZED ({start})"] + [
+        f"n{i + 1} AS MATERIALIZED ({step.replace('PREVIOUS', f'n{i}')})" for i in range(times)])
+
+
+LOGIT_STEP = """SELECT seed, fold, feature, b + (h00 * g1 - h10 * g0) / (h11 * h00 - h10 * h10) AS b,
+  c + (h11 * g0 - h10 * g1) / (h11 * h00 - h10 * h10) AS c FROM (
+  SELECT seed, fold, feature, b, c, sum(z * (response - mu)) - b AS g1, sum(response - mu) - c AS g0,
+    sum(z * z * mu * (1 - mu)) + 1 AS h11, sum(z * mu * (1 - mu)) AS h10, sum(mu * (1 - mu)) + 1 AS h00
+  FROM (SELECT *, 1 / (1 + exp(-(b * z + c))) AS mu FROM zt JOIN PREVIOUS USING (seed, fold, feature))
+  GROUP BY seed, fold, feature, b, c)"""
+
+
+def single_feature_fits(spark, d, fit, models):
+    """Every model on each of its columns alone: (seed, fold, feature, coefficients)."""
+    alone = [m.take([c]) for m in models for c in m.cols]
+    rows = [(*_named(d, m), d.features[m.cols[0]], b.tolist()) for m, b in zip(alone, fit(alone))]
+    return spark.createDataFrame(rows, "seed int, fold int, feature string, b array<double>")
+
+
+@query("F1_fit_logistic", f"""WITH {fold_rows_sql('response')}, {chained(
+    'SELECT DISTINCT seed, fold, feature, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c FROM zt', LOGIT_STEP, 8)}
+SELECT seed, fold, feature, round(b, 6) + 0.0 AS beta, round(c, 6) + 0.0 AS intercept FROM n8""")
 def f1(spark, sf):
     d = folded(spark, sf, "response")
-    models = newton.fold_models(d, design.learn_folds(d))
-    betas = newton.logistic_fitter(d, "response")(models)
-    return coef_rows(spark, d, [((*_named(d, m), len(m.cols)), m.cols, b) for m, b in zip(models, betas)])
+    fits = single_feature_fits(spark, d, newton.logistic_fitter(d, "response"),
+                               newton.fold_models(d, design.learn_folds(d)))
+    return rounded(fits.select("seed", "fold", "feature", F.col("b")[0].alias("beta"), F.col("b")[1].alias("intercept")),
+                   "beta", "intercept")
 
 
-@query("F2_fit_cox_ridge")
+COX_STEP = """SELECT seed, fold, feature, b + (sum(e1 - d * s1 / s0) - 0.05 * b) / (sum(d * (s2 / s0 - pow(s1 / s0, 2))) + 0.05) AS b
+FROM (SELECT seed, fold, feature, b, d, e1, sum(w0) OVER w AS s0, sum(w1) OVER w AS s1, sum(w2) OVER w AS s2 FROM (
+    SELECT seed, fold, feature, b, time, sum(exp(b * z)) AS w0, sum(z * exp(b * z)) AS w1, sum(z * z * exp(b * z)) AS w2,
+      sum(event) AS d, sum(z * event) AS e1 FROM zt JOIN PREVIOUS USING (seed, fold, feature) GROUP BY ALL)
+  WINDOW w AS (PARTITION BY seed, fold, feature ORDER BY time DESC)) GROUP BY seed, fold, feature, b"""
+
+
+@query("F2_fit_cox_ridge", f"""WITH {fold_rows_sql('event')}, {chained(
+    'SELECT DISTINCT seed, fold, feature, 0.0::DOUBLE AS b FROM zt', COX_STEP, 8)}
+SELECT seed, fold, feature, round(b, 6) + 0.0 AS beta, round(exp(b), 6) AS ratio FROM n8""")
 def f2(spark, sf):
     d = folded(spark, sf, "event")
-    models = newton.fold_models(d, design.learn_folds(d))
-    betas = newton.cox_fitter(newton.time_ordered(d, "event", "time"), 0.05)(models)
-    return coef_rows(spark, d, [((*_named(d, m), len(m.cols)), m.cols, b) for m, b in zip(models, betas)])
+    fit = newton.cox_fitter(newton.time_ordered(d, "event", "time"), 0.05)
+    fits = single_feature_fits(spark, d, fit, newton.fold_models(d, design.learn_folds(d)))
+    beta = fits.select("seed", "fold", "feature", F.col("b")[0].alias("beta"))
+    return rounded(beta.withColumn("ratio", F.exp("beta")), "beta", "ratio")
 
 
-@query("F3_fit_cox_efron")
+MARKERS = [c for c in FEATURES if c != "qty_sum"]
+EFRON_STEP = """SELECT biomarker, model_no, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a,
+  b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
+  SELECT biomarker, model_no, a, b, sum(CASE WHEN l = 0 THEN ea ELSE 0 END - ma) AS ga,
+    sum(CASE WHEN l = 0 THEN eb ELSE 0 END - mb) AS gb, sum(saa - ma * ma) AS haa, sum(sab - ma * mb) AS hab,
+    sum(sbb - mb * mb) + CAST(model_no < 3 AS INT) AS hbb
+  FROM (SELECT biomarker, model_no, a, b, l, ea, eb, (sa - l / d * da) / (s0 - l / d * d0) AS ma, (sb - l / d * db) / (s0 - l / d * d0) AS mb,
+      (saa - l / d * daa) / (s0 - l / d * d0) AS saa, (sab - l / d * dab) / (s0 - l / d * d0) AS sab, (sbb - l / d * dbb) / (s0 - l / d * d0) AS sbb
+    FROM (SELECT *, sum(w0) OVER w AS s0, sum(wa) OVER w AS sa, sum(wb) OVER w AS sb, sum(waa) OVER w AS saa, sum(wab) OVER w AS sab,
+        sum(wbb) OVER w AS sbb FROM (
+      SELECT biomarker, model_no, a, b, time, sum(w) AS w0, sum(w * x) AS wa, sum(w * y) AS wb, sum(w * x * x) AS waa, sum(w * x * y) AS wab,
+        sum(w * y * y) AS wbb, sum(event) AS d, sum(event * w) AS d0, sum(event * w * x) AS da, sum(event * w * y) AS db,
+        sum(event * w * x * x) AS daa, sum(event * w * x * y) AS dab, sum(event * w * y * y) AS dbb, sum(event * x) AS ea, sum(event * y) AS eb
+      FROM (SELECT *, exp(a * x + b * y) AS w FROM zz JOIN PREVIOUS USING (biomarker, model_no)) GROUP BY biomarker, model_no, a, b, time)
+      WINDOW w AS (PARTITION BY biomarker, model_no ORDER BY time DESC))
+    JOIN range(0, 100000) AS r(l) ON l < d)
+  GROUP BY biomarker, model_no, a, b)"""
+
+
+@query("F3_fit_cox_efron", f"""{W}, {split_sql()}, tn AS (SELECT * FROM sp WHERE split = 'train'), {unpivot_sql('tn', FEATURES)},
+sc AS (SELECT feature, avg(v) AS mean, stddev_pop(v) AS dev FROM u GROUP BY feature),
+z AS (SELECT id, feature, (v - mean) / dev AS z FROM u JOIN sc USING (feature)),
+p AS (SELECT m.feature AS biomarker, id, p.z AS p, m.z AS m FROM z m JOIN z p USING (id) WHERE p.feature = 'qty_sum' AND m.feature <> 'qty_sum'),
+zz AS MATERIALIZED (SELECT biomarker, model_no, CASE WHEN model_no = 2 THEN m ELSE p END AS x, CASE WHEN model_no = 3 THEN m ELSE 0 END AS y,
+  event, time FROM p JOIN f USING (id) CROSS JOIN (VALUES (1), (2), (3)) AS v(model_no)),
+{chained('SELECT DISTINCT biomarker, model_no, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM zz', EFRON_STEP, 8)}
+SELECT biomarker, model_no, CASE model_no WHEN 1 THEN 'qty_sum' WHEN 2 THEN biomarker ELSE 'qty_sum + ' || biomarker END AS formula,
+  round(a / CASE WHEN model_no = 2 THEN sm.dev ELSE sq.dev END, 10) + 0.0 AS beta_1,
+  CASE WHEN model_no = 3 THEN round(b / sm.dev, 10) + 0.0 END AS beta_2
+FROM n8 JOIN sc sm ON sm.feature = biomarker JOIN sc sq ON sq.feature = 'qty_sum'""")
 def f3(spark, sf):
     ready = survival_sides(spark, sf)
-    fits = fit_biomarkers(ready.train, "id", "qty_sum", MARKERS, "event", "time")
-    return fits.coefficients().select(
-        "biomarker", "model_no", "formula", F.array_join("features", ", ").alias("features"), "beta", "ratio")
+    fits = fit_biomarkers(ready.train, "id", "qty_sum", MARKERS, "event", "time").coefficients()
+    return rounded(fits.select("biomarker", "model_no", "formula", F.col("beta")[0].alias("beta_1"),
+                               F.get("beta", F.lit(1)).alias("beta_2")), "beta_1", "beta_2", digits=10)
 
 
 def _paths(spark, d, fit, models, mandatory=None, intercept=False):
@@ -166,9 +242,6 @@ def f13(spark, sf):
                                   mandatory="qty_sum")
 
 
-MARKERS = [c for c in FEATURES if c != "qty_sum"]
-
-
 def survival_sides(spark, sf):
     return prepare_survival(held_features(spark, sf, *BASE), "id", FEATURES, "event", "time", ["prio", "seg"], seed=7)
 

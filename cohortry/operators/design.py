@@ -240,18 +240,23 @@ def prep_long(d: Design, prep: Prep) -> DataFrame:
     return wide.select("seed", "fold", "n", F.inline(F.arrays_zip(*parts)))
 
 
-def apply_fold_params(rows: DataFrame, params: DataFrame, seeds: list[int], k: int) -> DataFrame:
+def apply_fold_params(rows: DataFrame, params: DataFrame, seeds: list[int], k: int,
+                      width: int) -> DataFrame:
     """Clip and scale rows by every model's training values: adds ``seed``, ``fold``, ``z``.
 
-    ``rows`` needs ``x``; where ``folds`` is present a row's part (``train`` or ``validation``) is
+    ``rows`` needs ``x`` of ``width`` features; where ``folds`` is present a row's part (``train`` or ``validation``) is
     named too.  The parameter table has one row per model, so it is broadcast.
     """
     keys = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(f).alias("fold"), F.lit(i).alias("_s"))
                      for i, s in enumerate(seeds) for f in range(k)])
     each = rows.select("*", F.inline(keys)).join(
         F.broadcast(params.select("seed", "fold", "low", "high", "mean", "scale")), ["seed", "fold"])
-    z = F.transform(F.arrays_zip("x", "low", "high", "mean", "scale"), lambda e: (
-        F.when(e["x"].isNotNull(), F.least(F.greatest(e["x"], e["low"]), e["high"])) - e["mean"]) / e["scale"])
+    def scaled(j):
+        x, low, high, mean, scale = (F.get(c, F.lit(j)) for c in ("x", "low", "high", "mean", "scale"))
+        # least and greatest skip NULL, which must stay NULL here.
+        return (F.when(x.isNotNull(), F.least(F.greatest(x, low), high)) - mean) / scale
+
+    z = F.array(*[scaled(j) for j in range(width)])
     part = F.lit("holdout")
     if "folds" in rows.columns:
         part = F.when(F.get("folds", F.col("_s")) == F.col("fold"), "validation").otherwise("train")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,9 +17,9 @@ RISK_TIE = 1e-8        # Fixed value: scores at most this far apart count as tie
 LOCAL_ROWS = 200_000   # a key with at most this many subjects may be counted inside one task
 
 
-def dot(x: Column, beta: Column) -> Column:
-    """Sum of products of two arrays of equal length."""
-    return F.aggregate(F.zip_with(x, beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+def dot(x: list[Column], beta: Column) -> Column:
+    """Sum of products with the entries of an array, written out so that it compiles."""
+    return reduce(lambda a, b: a + b, [v * F.get(beta, F.lit(i)) for i, v in enumerate(x)])
 
 
 def effect_direction(coefs: DataFrame, names: str = "features", beta: str = "beta") -> DataFrame:
@@ -45,14 +45,15 @@ def linear_score(df: DataFrame, features: list[str], coefs: DataFrame, by: list[
     extra = [c for c in (intercept, center) if c]
     small = coefs.select(*[col(k) for k in by], beta, *extra)
     joined = join_small(df, small, by)
-    score = dot(F.array(*[col(c) for c in features]), col(beta))
+    score = dot([col(c) for c in features], col(beta))
     if intercept:
         score = score + col(intercept)
     out = joined.withColumn("score", score)
     if intercept:
         out = out.withColumn("predicted", (F.col("score") > 0).cast("int"))
     if center:
-        out = out.withColumn("relative_risk", F.exp(F.col("score") - dot(col(center), col(beta))))
+        out = out.withColumn("relative_risk", F.exp(
+            F.col("score") - dot([F.get(col(center), F.lit(i)) for i in range(len(features))], col(beta))))
     return out.drop(beta, *extra)
 
 

@@ -92,7 +92,7 @@ SELECT id, seed, fold, part, max(CASE WHEN feature = 'qty_sum' THEN z END) AS z_
 FROM z GROUP BY id, seed, fold, part""")
 def c2(spark, sf):
     d = folds(spark, sf)
-    applied = design.apply_fold_params(d.rows, design.prep_frame(d, design.learn_folds(d)), SEEDS, K)
+    applied = design.apply_fold_params(d.rows, design.prep_frame(d, design.learn_folds(d)), SEEDS, K, len(PREP))
     return rounded(applied.select("id", "seed", "fold", "part", *[
         F.col("z")[i].alias(f"z_{c}") for i, c in enumerate(PREP[:3])]), *[f"z_{c}" for c in PREP[:3]])
 
@@ -215,7 +215,7 @@ DOT_MEAN = " + ".join(f"b{i} * m{i}" for i in range(len(SMALL)))
 FROM f JOIN co USING (seg)""")
 def f7(spark, sf):
     f = order_features(spark, sf)
-    coefs = segment_coefs(f).withColumn("b0", -scoring.dot(F.col("center"), F.col("beta")))
+    coefs = segment_coefs(f).withColumn("b0", -scoring.dot([F.col("center")[i] for i in range(len(SMALL))], F.col("beta")))
     scored = scoring.linear_score(f, SMALL, coefs, ["seg"], intercept="b0", center="center")
     # With the intercept in the score the risk relative to the centre is exp(score) itself.
     out = scored.select("id", "seg", "score", "predicted", F.exp("score").alias("relative_risk"))
@@ -227,8 +227,8 @@ def centred_sql(table):
 
 
 @query("C5_attach_scores", f"""{W}, {COEF_SQL}, {COEF_SQL.replace('co AS', 'ce AS').replace('response', 'event')}
-SELECT id, time AS followup, event AS dead, round(exp({centred_sql('co')}), 6) AS RelativeRisk_1,
-  round(exp({centred_sql('ce')}), 6) AS RelativeRisk_2 FROM f JOIN co USING (seg) JOIN ce USING (seg)""")
+SELECT id, time AS followup, event AS dead, round(exp({centred_sql('co')}), 3) AS RelativeRisk_1,
+  round(exp({centred_sql('ce')}), 3) AS RelativeRisk_2 FROM f JOIN co USING (seg) JOIN ce USING (seg)""")
 def c5(spark, sf):
     f = order_features(spark, sf)
     scores = report.union_rows(*[
@@ -236,7 +236,7 @@ def c5(spark, sf):
         .select("id", F.lit(name).alias("model"), "relative_risk")
         for name, label in (("m1", "response"), ("m2", "event"))])
     base = f.select("id", F.col("time").alias("followup"), F.col("event").alias("dead"))
-    return rounded(scoring.attach_scores(base, scores, "id", ["m1", "m2"]), "RelativeRisk_1", "RelativeRisk_2")
+    return rounded(scoring.attach_scores(base, scores, "id", ["m1", "m2"]), "RelativeRisk_1", "RelativeRisk_2", digits=3)
 
 
 # --- metrics of a fixed score -------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cohortry.llm.exact_dedup import exact_dedup
 from cohortry.llm.registry import ORACLES, QUERIES, query, table
+from cohortry.llm.simhash import simhash_components
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -15,3 +16,8 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY s)""")
 def op10(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op6_simhash")
+def op6(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)

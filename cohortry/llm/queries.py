@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from cohortry.llm.common import held_out
 from cohortry.llm.exact_dedup import exact_dedup
+from cohortry.llm.language import identify_language, train_language_model
+from cohortry.llm.packing import pack
+from cohortry.llm.quality import score_quality, train_quality
 from cohortry.llm.registry import ORACLES, QUERIES, query, table
 from cohortry.llm.simhash import simhash_components
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_quality")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id").alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id"))
+    model = train_quality(docs.where("NOT held_out"), labels)
+    return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op3_language")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id").alias("held_out"))
+    model = train_language_model(docs.where("NOT held_out"))
+    return identify_language(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op7_packing")
+def op7(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 @query("op10_exact_dedup", r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS s FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

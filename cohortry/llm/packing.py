@@ -10,7 +10,6 @@ nothing and no task or group grows with the corpus.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 
 import numpy as np
@@ -25,11 +24,9 @@ from cohortry.llm.common import col, durable
 
 LENGTH = 2048
 END = 0                      # the id that closes a document
-GROUP = 200_000              # pieces packed in one task
+GROUP = 50_000               # pieces packed in one task
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-# Two white space characters in a row; only there the look-ahead of the splitting pattern matters.
-WIDE = re.compile(r"\s\s|[\x1c-\x1f]")
 
 
 class _Ids:
@@ -99,9 +96,10 @@ def tokenized_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Sequence number and offset of each size, in the order given, and the number of sequences.
 
-    ``count[g]`` is the number of open sequences with gap ``g``.  A piece of size s moves one sequence from gap
-    g to gap g - s, which changes the sum of squares by 2 * (count[g - s] - count[g] + 1); full sequences do not
-    count, and an empty one is always at hand.  Ties go to the smallest gap left.
+    ``count[g]`` is the number of open sequences with gap ``g``.  A piece of size s that moves one sequence from
+    gap g to gap g - s changes the sum of squares by 2 * (count[g - s] - count[g] + 1); full sequences do not
+    count.  It goes where the sum becomes smallest, ties to the smallest gap; a new sequence is opened only
+    where no open one has room.
     """
     count = np.zeros(length + 1, np.int64)
     open_at: list[list[int]] = [[] for _ in range(length + 1)]
@@ -109,16 +107,16 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     made = 0
     never = np.iinfo(np.int64).max
     for k, s in enumerate(sizes.tolist()):
-        change = np.where(count[s:] > 0, 2 * (count[:length - s + 1] - count[s:]) + 2, never)
-        if count[s] > 0:
-            change[0] = 1 - 2 * count[s]                                       # to full
-        change[-1] = 2 * count[length - s] + 1 if s < length else 0            # a new sequence
-        gap = int(change.argmin()) + s
-        if gap == length:
-            where, made = made, made + 1
-        else:
+        room = count[s:] > 0
+        if room.any():
+            change = np.where(room, 2 * (count[:length - s + 1] - count[s:] + 1), never)
+            if room[0]:
+                change[0] = 1 - 2 * count[s]      # becomes full
+            gap = int(change.argmin()) + s
             where = open_at[gap].pop()
             count[gap] -= 1
+        else:
+            gap, where, made = length, made, made + 1
         seq[k], offset[k] = where, length - gap
         if gap > s:
             count[gap - s] += 1

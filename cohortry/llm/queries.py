@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortry.llm.common import held_out
 from cohortry.llm.exact_dedup import exact_dedup
 from cohortry.llm.language import identify_language, train_language_model
+from cohortry.llm.licenses import scan_licenses
 from cohortry.llm.packing import pack
 from cohortry.llm.quality import score_quality, train_quality
 from cohortry.llm.registry import ORACLES, QUERIES, query, table
@@ -23,6 +24,11 @@ def op1(spark, sf_dir):
     return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op2_licenses")
+def op2(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op3_language")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out("doc_id").alias("held_out"))

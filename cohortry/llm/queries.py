@@ -11,6 +11,7 @@ from cohortry.llm.licenses import scan_licenses
 from cohortry.llm.packing import pack
 from cohortry.llm.quality import score_quality, train_quality
 from cohortry.llm.registry import ORACLES, QUERIES, query, table
+from cohortry.llm.secretscan import scan_secrets
 from cohortry.llm.simhash import simhash_components
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -50,6 +51,11 @@ def op10(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op4_secrets")
+def op4(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op6_simhash")
 def op6(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)

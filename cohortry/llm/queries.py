@@ -13,6 +13,7 @@ from cohortry.llm.quality import score_quality, train_quality
 from cohortry.llm.registry import ORACLES, QUERIES, query, table
 from cohortry.llm.secretscan import scan_secrets
 from cohortry.llm.simhash import simhash_components
+from cohortry.llm.warc import archive_pages
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -56,6 +57,17 @@ def op4(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+@query("op5_warc", """
+WITH t AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS m FROM t)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < m THEN m END AS refers_to FROM d""")
+def op5(spark, sf_dir):
+    return archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op6_simhash")
 def op6(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)

@@ -121,7 +121,8 @@ def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col:
         return LanguageModel([], {}, np.zeros((1, 0)), [])
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, train_rows / sizes[k]))]), F.col("lang"))
     picked = rows.where(F.pmod("pick", F.lit(1_000_003)) < share * 1_000_003)
-    seen = durable(picked.select("lang", F.explode(_tokens(F.col("text"))).alias("key"))
+    # Frequency is the number of texts that hold a word: one long text that repeats itself has one say.
+    seen = durable(picked.select("lang", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("key"))
                    .groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")), "words")
     index, scores = _table(seen.where("n > 1"), langs, words)
     tables = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import held_out
+from cohortry.llm.decontaminate import contaminated
 from cohortry.llm.exact_dedup import exact_dedup
 from cohortry.llm.html_extract import extract_main_text
 from cohortry.llm.language import identify_language, train_language_model
@@ -49,6 +50,11 @@ def op8(spark, sf_dir):
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+@query("op9_decontaminate")
+def op9(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_exact_dedup", r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS s FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

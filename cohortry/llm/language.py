@@ -83,9 +83,11 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}{1,%d}" % LONGEST), F.lit(0))
 
 
-def _table(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """The ``most`` most frequent keys per language with their smoothed log frequencies, a bounded number of rows."""
+def _table(counts: DataFrame, langs: list[str], most: int, least: int = 1) -> tuple[dict[str, int], np.ndarray]:
+    """The ``most`` most frequent keys per language, of those counted ``least`` times, with their smoothed log
+    frequencies among all keys: a bounded number of rows."""
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    counts = counts.where(F.col("n") >= least)
     kept = None
     for lang in langs:
         part = counts.where(F.col("lang") == lang).orderBy(F.col("n").desc(), "key").limit(most).select("key")
@@ -124,7 +126,7 @@ def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col:
     # Frequency is the number of texts that hold a word: one long text that repeats itself has one say.
     seen = durable(picked.select("lang", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("key"))
                    .groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")), "words")
-    index, scores = _table(seen.where("n > 1"), langs, words)
+    index, scores = _table(seen, langs, words, 2)
     tables = []
     marked = F.concat(F.lit("_"), F.col("key"), F.lit("_"))
     for n in LENGTHS:

@@ -26,3 +26,11 @@ def missing(df: DataFrame, name: str) -> Column:
     if df.schema[name].dataType.typeName() in ("double", "float"):
         return col(name).isNull() | F.isnan(col(name))
     return col(name).isNull()
+
+
+def unique_ids(df: DataFrame, id_col: str) -> None:
+    """Refuse a table in which an id is missing or stands twice: what is joined back by id needs it."""
+    again = df.groupBy(col(id_col)).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | col(id_col).isNull())
+    bad = again.first()
+    if bad is not None:
+        raise ValueError(f"{id_col} must be there once per row; {bad[0]!r} has {bad[1]} rows")

@@ -19,6 +19,8 @@ from cohortry.functions.columns import col
 from cohortry.operators.running import durable, hold
 
 DRIVER_BYTES = 64 << 20   # partial arrays up to this size are added on the driver
+ADD_PARTS = 64            # partial arrays that one group adds up
+COUNT_BYTES = 64 << 20    # digit counts that one scan of the quantile search may hold
 
 
 @dataclass
@@ -86,15 +88,18 @@ def scan(rows: DataFrame, columns: list[str], kernel: Callable[[Iterator], Itera
             names=["slot", "part", "v"])
 
     partial = rows.select(*columns).mapInArrow(task, "slot int, part int, v binary")
-    if parts * slots * length * 8 > DRIVER_BYTES:
+    while parts * slots * length * 8 > DRIVER_BYTES and parts > 1:
+        # ADD_PARTS arrays of a slot meet in one group, in partition order, level by level.
         def add(pdf):
             pdf = pdf.sort_values("part")
             total = np.zeros(length)
             for v in pdf["v"]:
                 total += np.frombuffer(v)
-            return pdf.head(1).assign(v=[total.tobytes()])
+            return pdf.head(1).assign(part=pdf["grp"].iloc[0], v=[total.tobytes()]).drop(columns="grp")
 
-        partial = partial.groupBy("slot").applyInPandas(add, "slot int, part int, v binary")
+        partial = (partial.withColumn("grp", F.floor(F.col("part") / ADD_PARTS).cast("int"))
+                   .groupBy("slot", "grp").applyInPandas(add, "slot int, part int, v binary"))
+        parts = -(-parts // ADD_PARTS)
     total = np.zeros(shape)
     for r in sorted(partial.collect(), key=lambda r: (r.part, r.slot)):
         total[r.slot] += np.frombuffer(r.v)
@@ -134,6 +139,33 @@ def _from_bits(u: np.ndarray) -> np.ndarray:
     return np.where(u & top, u ^ top, ~u).astype(np.uint64).view(np.float64)
 
 
+def _digit_counts(d: Design, wanted: list[tuple[int, int, int]], before: int, bits: int) -> np.ndarray:
+    """Array (wanted, fold, digit): rows per next digit among the values of feature j that begin with v,
+    by the fold of seed s, for every wanted (j, s, v)."""
+    p, k, digits, after = len(d.features), d.k, 1 << bits, before - bits
+    width = len(d.seeds)
+    groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, (j, s, v) in enumerate(wanted):
+        groups.setdefault((j, v), []).append((s, i))
+
+    def kernel(batches):
+        seen = np.zeros((len(wanted), k * digits))
+        for b in batches:
+            keys = _ordered_bits(batch_matrix(b.column(0), p))
+            folds = batch_matrix(b.column(1), width)
+            for (j, v), wants in groups.items():
+                kj = keys[:, j]
+                rows = slice(None) if before == 64 else \
+                    np.flatnonzero((kj >> np.uint64(before)) == np.uint64(v))
+                digit = ((kj[rows] >> np.uint64(after)) & np.uint64(digits - 1)).astype("int64")
+                for s, i in wants:
+                    seen[i] += np.bincount(folds[rows, s] * digits + digit, minlength=k * digits)
+        yield from ((i, counts) for i, counts in enumerate(seen) if counts.any())
+
+    counts = scan(d.rows, ["x", "folds"], kernel, (len(wanted), k * digits), d.parts)
+    return counts.reshape(len(wanted), k, digits)
+
+
 def fold_quantiles(d: Design, probs: tuple[float, ...], sizes: np.ndarray) -> np.ndarray:
     """Exact linear-interpolated quantiles of every training fold: array (model, feature, prob).
 
@@ -150,39 +182,24 @@ def fold_quantiles(d: Design, probs: tuple[float, ...], sizes: np.ndarray) -> np
     while left:
         wanted = sorted({(j, s, int(v)) for m, (s, _) in enumerate(models) for j in range(p)
                          for v in set(prefix[m, j].tolist())})
-        bits = min(left, 11 if len(wanted) * k * 2048 * 8 <= DRIVER_BYTES else 8)
-        slot_of = {w: i for i, w in enumerate(wanted)}
-        groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for (j, s, v), i in slot_of.items():
-            groups.setdefault((j, v), []).append((s, i))
-        digits, before, after = 1 << bits, left, left - bits
-
-        def kernel(batches):
-            seen = np.zeros((len(slot_of), k * digits))
-            for b in batches:
-                keys = _ordered_bits(batch_matrix(b.column(0), p))
-                folds = batch_matrix(b.column(1), len(d_seeds))
-                for (j, v), wants in groups.items():
-                    kj = keys[:, j]
-                    rows = slice(None) if before == 64 else \
-                        np.flatnonzero((kj >> np.uint64(before)) == np.uint64(v))
-                    digit = ((kj[rows] >> np.uint64(after)) & np.uint64(digits - 1)).astype("int64")
-                    for s, i in wants:
-                        seen[i] += np.bincount(folds[rows, s] * digits + digit, minlength=k * digits)
-            yield from ((i, counts) for i, counts in enumerate(seen) if counts.any())
-
-        d_seeds = d.seeds
-        counts = scan(d.rows, ["x", "folds"], kernel, (len(slot_of), k * digits), d.parts)
-        counts = counts.reshape(len(slot_of), k, digits)
+        bits = min(left, 11 if len(wanted) * k * 2048 * 8 <= COUNT_BYTES else 8)
+        asked: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = {}
         for m, (s, f) in enumerate(models):
             for j in range(p):
                 for r in range(rank.shape[2]):
-                    c = counts[slot_of[(j, s, int(prefix[m, j, r]))]]
+                    asked.setdefault((j, s, int(prefix[m, j, r])), []).append((m, f, j, r))
+        # Counts of one scan stay within a fixed size; more features take more scans.
+        room = max(1, COUNT_BYTES // (k * (8 << bits)))
+        for at_once in range(0, len(wanted), room):
+            some = wanted[at_once:at_once + room]
+            counts = _digit_counts(d, some, left, bits)
+            for w, c in zip(some, counts):
+                for m, f, j, r in asked[w]:
                     cum = np.cumsum(c.sum(axis=0) - c[f])
                     digit = int(np.searchsorted(cum, rank[m, j, r], side="right"))
                     rank[m, j, r] -= int(cum[digit - 1]) if digit else 0
                     prefix[m, j, r] = np.uint64((int(prefix[m, j, r]) << bits) | digit)
-        left = after
+        left -= bits
     value = _from_bits(prefix.reshape(-1)).reshape(prefix.shape)
     lo, hi = value[:, :, :len(probs)], value[:, :, len(probs):]
     return lo + (hi - lo) * (at - np.floor(at))[:, None, :]

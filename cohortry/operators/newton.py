@@ -65,7 +65,8 @@ def maximise(start: list[np.ndarray], evaluate: Callable, steps: int = 100,
 
     ``evaluate([(model, beta)])`` returns value, gradient and curvature (minus Hessian) for each.
     A model is finished when its step is below ``tol``; that last step is still taken, which
-    leaves an error of the order of its square.
+    leaves an error of the order of its square.  A model that does not get there (a feature that
+    separates the outcome, an objective that is not finite) gives NaN for every entry; the others go on.
     """
     trial = [np.array(b, dtype=float) for b in start]
     best = [None] * len(start)
@@ -79,7 +80,8 @@ def maximise(start: list[np.ndarray], evaluate: Callable, steps: int = 100,
             worse = not np.isfinite(value) or (
                 best[m] is not None and value < best[m][0] - 1e-10 * (1 + abs(best[m][0])))
             if worse and best[m] is None:
-                raise ValueError("the objective is not finite at the start")
+                trial[m], done[m] = np.full_like(trial[m], np.nan), True
+                continue
             if worse:
                 step[m] = step[m] / 2
                 trial[m] = best[m][1] + step[m]
@@ -92,7 +94,7 @@ def maximise(start: list[np.ndarray], evaluate: Callable, steps: int = 100,
                 step[m] = np.linalg.lstsq(curve, grad, rcond=None)[0]
             trial[m] = trial[m] + step[m]
             done[m] = bool(np.max(np.abs(step[m])) < tol)
-    raise ValueError("Newton iterations did not converge")
+    return [b if d else np.full_like(b, np.nan) for b, d in zip(trial, done)]
 
 
 # --- logistic -----------------------------------------------------------------------------------
@@ -445,6 +447,10 @@ def eliminate(fit: Callable, models: list[Model], k_max: int, mandatory: int | N
         following = []
         for i, beta in zip(live, betas):
             cols = state[i].cols
+            if np.isnan(beta).any():      # no fit, so nothing to choose by: the path ends here
+                for k in range(1, min(len(cols), k_max) + 1):
+                    found[i][k] = (list(cols[:k]), np.full(k + tail, np.nan))
+                continue
             if not found[i] or len(cols) <= k_max:
                 for k in range(len(cols), k_max + 1) if not found[i] else [len(cols)]:
                     found[i][k] = (list(cols), beta)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.functions.columns import col
+from cohortry.functions.columns import col, unique_ids
 from cohortry.functions.pvalues import t_two_sided
 from cohortry.operators.running import durable, join_values, running_totals
 
@@ -117,6 +117,7 @@ def spearman_matrix(df: DataFrame, id_col: str, cols: list[str], **limits) -> Da
 
     Rows with a missing feature must be gone (``drop_incomplete``).
     """
+    unique_ids(df, id_col)
     wide, n = average_ranks(df, id_col, cols, **limits)
     sums = centred_products(wide, [f"_r{j}" for j in range(len(cols))], (n + 1) / 2).collect()
     s = np.zeros((len(cols), len(cols)))

@@ -10,12 +10,10 @@ from __future__ import annotations
 
 import math
 import tempfile
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortry.functions.columns import col
 
@@ -47,7 +45,7 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner
     Beyond that an ordinary shuffled join, where adaptive execution splits skewed keys.
     """
     small = hold(small)
-    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+    return join_keys(df, small, on, how, small.count() <= BROADCAST_ROWS)
 
 
 def join_values(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
@@ -59,11 +57,12 @@ def join_values(left: DataFrame, right: DataFrame, on: list[str], weight: str, t
     """
     right = hold(right)
     if right.count() <= BROADCAST_CELLS:
-        return left.join(F.broadcast(right.drop(weight)), on)
+        return join_keys(left, right.drop(weight), on, small=True)
     line = max(1, total // HOT_SHARE)
-    hot = F.broadcast(right.where(col(weight) > line).drop(weight))
+    hot = right.where(col(weight) > line).drop(weight)
     cold = right.where(col(weight) <= line).drop(weight)
-    return left.join(hot, on).unionByName(left.join(hot, on, "left_anti").join(cold, on))
+    return join_keys(left, hot, on, small=True).unionByName(
+        join_keys(join_keys(left, hot, on, "left_anti", True), cold, on))
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -86,117 +85,49 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Join in which NULL keys meet NULL keys, as they do in grouping; the left side's keys stay."""
+    names = [f"_key_{i}" for i in range(len(keys))]
+    right = right.select(*[col(k).alias(n) for k, n in zip(keys, names)], *[col(c) for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    return left.join(F.broadcast(right) if small else right, same, how).drop(*names)
+
+
 def running_totals(df: DataFrame, keys: list[str], order: list[str], sums: list[str],
                    window_rows: int | None = None, partition_rows: int | None = None) -> DataFrame:
     """Add ``<c>_before``: the sum of ``c`` over earlier rows of the same key (own row excluded).
 
-    ``(keys, order)`` must identify a row and hold no NULL; ``sums`` are bigint or double.
+    ``(keys, order)`` must identify a row and ``order`` hold no NULL; NULL keys are keys of their own.
+    ``sums`` are bigint or double.  Both routes add up a key's rows in order from its own start, so
+    they differ by the rounding of one addition at most.
     """
     window_rows = WINDOW_ROWS if window_rows is None else window_rows
     partition_rows = PARTITION_ROWS if partition_rows is None else partition_rows
-    df = durable(df)
+    df = hold(df)
     n = df.count()
+    by = [col(k) for k in keys]
     largest = n
     if keys and n > window_rows:
-        largest = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+        largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+
+    def before(*parts: Column) -> dict[str, Column]:
+        w = Window.partitionBy(*parts).orderBy(*[col(o) for o in order]).rowsBetween(Window.unboundedPreceding, -1)
+        return {f"{c}_before": F.coalesce(F.sum(col(c)).over(w), F.lit(0).cast(df.schema[c].dataType))
+                for c in sums}
+
     if largest <= window_rows:
-        w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*[col(o) for o in order])
-        w = w.rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({
-            f"{c}_before": F.coalesce(F.sum(col(c)).over(w), F.lit(0).cast(df.schema[c].dataType))
-            for c in sums})
-    by = [col(c) for c in keys + order]
-    parts = max(2, math.ceil(n / partition_rows))
-    ranged = durable(df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+        return df.withColumns(before(*by))
+    # A key is cut where range partitions end; no piece of it is larger than a partition.
+    ranged = durable(df.repartitionByRange(max(2, math.ceil(n / partition_rows)), *by, *[col(o) for o in order])
                      .withColumn("_part", F.spark_partition_id()))
-    return _add_carry(ranged, keys, sums, _carry_in(ranged, keys, sums))
-
-
-def _run_starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    """Positions at which a new key begins; position 0 always does."""
-    change = np.zeros(len(frame), dtype=bool)
-    for k in keys:
-        v = frame[k].to_numpy()
-        change[1:] |= v[1:] != v[:-1]
-    change[0] = True
-    return np.flatnonzero(change)
-
-
-def _key_at(frame: pd.DataFrame, keys: list[str], row: int) -> tuple:
-    return tuple(frame[k].iat[row] for k in keys)
-
-
-def _carry_in(ranged: DataFrame, keys: list[str], sums: list[str]) -> dict[int, tuple]:
-    """Per partition: totals its first key already gathered in the partitions before it."""
-    fields = [T.StructField("part", T.IntegerType()), T.StructField("one_key", T.BooleanType())]
-    for side in ("first", "last"):
-        fields += [T.StructField(f"{side}_{i}", ranged.schema[k].dataType) for i, k in enumerate(keys)]
-    fields += [T.StructField(f"tail_{i}", ranged.schema[c].dataType) for i, c in enumerate(sums)]
-
-    def edges(batches):
-        part = first = last = None
-        one_key, tail = True, [0] * len(sums)
-        for b in batches:
-            if not len(b):
-                continue
-            starts = _run_starts(b, keys)
-            head, end = _key_at(b, keys, 0), _key_at(b, keys, -1)
-            if first is None:
-                first, part = head, int(b["_part"].iat[0])
-            elif head != last:
-                one_key, tail = False, [0] * len(sums)
-            if len(starts) > 1:
-                one_key, tail = False, [0] * len(sums)
-            at = starts[-1]
-            tail = [t + b[c].to_numpy()[at:].sum() for t, c in zip(tail, sums)]
-            last = end
-        if first is not None:
-            yield pd.DataFrame([(part, one_key, *first, *last, *tail)],
-                               columns=[f.name for f in fields])
-
-    rows = ranged.select(*[col(c) for c in keys + sums], "_part") \
-                 .mapInPandas(edges, T.StructType(fields)).collect()
-    carry: dict[int, tuple] = {}
-    nk, key, gathered = len(keys), None, None
-    for r in sorted(rows, key=lambda r: r[0]):
-        first, last, tail = tuple(r[2:2 + nk]), tuple(r[2 + nk:2 + 2 * nk]), r[2 + 2 * nk:]
-        continued = key is not None and first == key
-        if continued:
-            carry[r[0]] = tuple(gathered)
-        if r[1] and continued:
-            gathered = [g + t for g, t in zip(gathered, tail)]
-        else:
-            gathered = list(tail)
-        key = last
-    return carry
-
-
-def _add_carry(ranged: DataFrame, keys: list[str], sums: list[str],
-               carry: dict[int, tuple]) -> DataFrame:
-    kept = [f for f in ranged.schema.fields if f.name != "_part"]
-    added = [T.StructField(f"{c}_before", ranged.schema[c].dataType) for c in sums]
-
-    def local(batches):
-        last, state = None, None
-        for b in batches:
-            if not len(b):
-                continue
-            if last is None:
-                last = _key_at(b, keys, 0)
-                state = list(carry.get(int(b["_part"].iat[0]), [0] * len(sums)))
-            starts = _run_starts(b, keys)
-            head = _key_at(b, keys, 0)
-            lengths = np.diff(np.append(starts, len(b)))
-            out = b.drop(columns="_part")
-            for i, c in enumerate(sums):
-                v = b[c].to_numpy()
-                excl = np.cumsum(v) - v
-                excl = excl - np.repeat(excl[starts], lengths)
-                opening = state[i] if head == last else 0
-                excl[:lengths[0]] += np.asarray(opening, dtype=v.dtype)
-                out[f"{c}_before"] = excl
-                state[i] = excl[-1] + v[-1]
-            last = _key_at(b, keys, -1)
-            yield out
-
-    return ranged.mapInPandas(local, T.StructType(kept + added))
+    local = ranged.withColumns(before(F.col("_part"), *by))
+    pieces = ranged.groupBy("_part", *by).agg(*[F.sum(col(c)).alias(c) for c in sums])
+    # One row per key and partition; only keys that go on in a later partition carry anything, and
+    # there are fewer of those rows than twice the partitions.
+    ahead = Window.partitionBy(*by).orderBy("_part")
+    carry = pieces.select("_part", *by, F.row_number().over(ahead).alias("_piece"), *[
+        F.sum(col(c)).over(ahead.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_carry_{i}")
+        for i, c in enumerate(sums)]).where("_piece > 1").drop("_piece")
+    return join_keys(local, carry, ["_part"] + keys, "left", True).withColumns({
+        f"{c}_before": col(f"{c}_before") + F.coalesce(F.col(f"_carry_{i}"), F.lit(0).cast(df.schema[c].dataType))
+        for i, c in enumerate(sums)}).drop("_part", *[f"_carry_{i}" for i in range(len(sums))])

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.columns import col
-from cohortry.operators.running import durable, hold, join_small, join_values, running_totals
+from cohortry.operators.running import durable, hold, join_keys, join_small, join_values, running_totals
 
+WIDE = "decimal(20,0)"  # counts before they are multiplied; products and sums then have 38 digits
 RISK_TIE = 1e-8        # Fixed value: scores at most this far apart count as tied.
 LOCAL_ROWS = 200_000   # a key with at most this many subjects may be counted inside one task
 
@@ -72,10 +73,11 @@ def attach_outcome(x: DataFrame, y: DataFrame, id_col: str) -> DataFrame:
 def roc_auc(df: DataFrame, keys: list[str], score: str, label: str, **limits) -> DataFrame:
     """Area under the ROC curve per key with ties counting one half, plus accuracy at score > 0.
 
-    ``auc`` is NULL and ``status`` says ``one class`` where a key lacks a class.
+    ``auc`` is NULL and ``status`` says ``one class`` where a key lacks a class.  Rows without score
+    or label are left out, as in :func:`comparable_pairs`.
     """
     y = col(label).cast("int")
-    cells = (df.groupBy(*[col(k) for k in keys], (col(score) + F.lit(0.0)).alias("_s"))
+    cells = (df.where(col(score).isNotNull() & ~F.isnan(col(score).cast("double")) & y.isNotNull()).groupBy(*[col(k) for k in keys], (col(score) + F.lit(0.0)).alias("_s"))
              .agg(F.sum(y).cast("bigint").alias("_pos"), F.sum(1 - y).cast("bigint").alias("_neg")))
     run = running_totals(cells, keys, ["_s"], ["_neg"], **limits)
     pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
@@ -124,7 +126,8 @@ def comparable_pairs(df: DataFrame, keys: list[str], score: str, time: str, even
         big = join_small(base, sizes.where(F.col("_n") > local_rows).drop("_n"), keys, "left_semi")
         parts.append(_dyadic_pairs(big, keys, **limits))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.drop("_all")
+    # Doubles: exact up to 2**53 pairs, and never out of range.
+    return out.drop("_all").withColumns({c: F.col(c).cast("double") for c in ("concordant", "discordant", "tied")})
 
 
 def _count_pairs(s: np.ndarray, t: np.ndarray, e: np.ndarray) -> tuple[int, int, int]:
@@ -193,7 +196,7 @@ def _dyadic_pairs(base: DataFrame, keys: list[str], **limits) -> DataFrame:
     ranks = run.groupBy(*k, "_s").agg(*[
         F.max(F.when(F.col("_side") == i, F.col("_one_before"))).alias(name)
         for i, name in enumerate(("_below", "_rank", "_upto"))])
-    ranks = ranks.join(scores, keys + ["_s"])
+    ranks = join_keys(ranks, scores, keys + ["_s"])
     ranked = durable(join_values(cells, ranks, keys + ["_s"], "_cells", cells.count()))
     top = ranked.agg(F.max("_upto")).first()[0]
     bits = max(1, int(top).bit_length()) if top is not None else 1
@@ -218,7 +221,8 @@ def _dyadic_pairs(base: DataFrame, keys: list[str], **limits) -> DataFrame:
     place = ["_b", "_block", "_late", "_turn", "_kind"]
     merged = spread.groupBy(*k, *place).agg(F.sum("_count").alias("_count"), F.sum("_w").alias("_w"))
     counted = running_totals(merged, keys + ["_b", "_block"], ["_late", "_turn", "_kind"], ["_count"], **limits)
-    seen = F.col("_count_before") * F.col("_w")
+    # Pairs outgrow 64 bits at a few billion subjects.
+    seen = F.col("_count_before").cast(WIDE) * F.col("_w")
     below = counted.groupBy(*k).agg(F.sum(F.when(F.col("_kind") == 1, seen)).alias("_low"),
                                     F.sum(F.when(F.col("_kind") == 2, seen)).alias("_not_high"))
     # All comparable pairs: every event against the later times and the censored at its own time.
@@ -226,9 +230,9 @@ def _dyadic_pairs(base: DataFrame, keys: list[str], **limits) -> DataFrame:
         F.sum("_n").alias("_n"))
     both = running_totals(sizes, keys, ["_late", "_turn"], ["_n"], **limits)
     totals = both.groupBy(*k).agg(F.coalesce(F.sum(F.when(
-        F.col("_turn") == 2, F.col("_n_before") * F.col("_n"))), F.lit(0)).alias("_total"))
+        F.col("_turn") == 2, F.col("_n_before").cast(WIDE) * F.col("_n"))), F.lit(0)).alias("_total"))
     low, not_high = F.coalesce("_low", F.lit(0)), F.coalesce("_not_high", F.lit(0))
-    return totals.join(below, keys, "left").select(
+    return join_keys(totals, below, keys, "left").select(
         *k, low.alias("concordant"), (F.col("_total") - not_high).alias("discordant"),
         (not_high - low).alias("tied"))
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.functions.columns import col, seeded_hash
+from cohortry.functions.columns import col, seeded_hash, unique_ids
 from cohortry.operators.running import join_small, running_totals
 
 SLICE_ROWS = 500_000
@@ -80,6 +80,7 @@ def fold_rows(df: DataFrame, id_col: str, label: str, k: int, seeds: list[int],
 
     Sorted by class, row i goes to fold i mod k; within a class the order is the seeded hash.
     """
+    unique_ids(df, id_col)
     base = df.select(col(id_col), col(label))
     sizes = base.groupBy(col(label)).agg(F.count(F.lit(1)).alias("_n"))
     n, most = sizes.agg(F.sum("_n"), F.max("_n")).first()

@@ -240,14 +240,24 @@ def b12(spark, sf):
     return report.model_label(selected(spark, sf, "kept")).select("direction", "id", "Features")
 
 
-@query("B13_split_at_quantile", f"""{W}, q AS (SELECT seg, quantile_cont(total, 0.5) AS threshold FROM f GROUP BY seg)
+B13_SQL = f"""{W}, q AS (SELECT seg, quantile_cont(total, 0.5) AS threshold FROM f GROUP BY seg)
 SELECT id, seg, round(threshold, 6) + 0.0 AS threshold, CASE WHEN total > threshold THEN 'Upper' ELSE 'Lower' END AS grp
-FROM f JOIN q USING (seg)""")
+FROM f JOIN q USING (seg)"""
+
+
+@query("B13_split_at_quantile", B13_SQL)
 def b13(spark, sf):
     f = held_features(spark, sf, "id", "seg", "total")
     return rounded(survival.split_at_quantile(f, ["seg"], "total").drop("total"), "threshold")
 
 
+@query("B13_split_at_quantile_ranged", B13_SQL)
+def b13_ranged(spark, sf):
+    f = held_features(spark, sf, "id", "seg", "total")
+    cut = survival.split_at_quantile(f, ["seg"], "total", window_rows=0, partition_rows=500)
+    return rounded(cut.drop("total"), "threshold")
+
+
 # --- C, H ---------------------------------------------------------------------------------------
 
 @query("C1_attach_outcome", f"{W} SELECT id, qty_sum, acctbal, event, time FROM f")

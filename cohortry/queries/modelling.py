@@ -9,7 +9,7 @@ from cohortry.plans.crossval import cross_validate_rfe_cox, cross_validate_rfe_l
 from cohortry.plans.preparation import prepare_logistic, prepare_survival
 from cohortry.plans.survival_report import fit_biomarkers, survival_report
 from cohortry.queries.registry import query, r6, rounded
-from cohortry.queries.statistics import SCORE_SQL, fixed_score
+from cohortry.queries.statistics import LARGE, SCORE_SQL, fixed_score
 from cohortry.queries.subjects import (F_SQL, FEATURES, fold_sql, held_features, order_features, split_sql,
                                        unpivot_sql)
 from cohortry.operators.split import stratified_kfold
@@ -36,12 +36,21 @@ KM_OUT = """time, n AS n_risk, d AS n_event, c AS n_censor, round(s, 6) + 0.0 AS
   CASE WHEN s > 0 THEN round(least(exp(ln(s) + 1.959963984540054 * sqrt(v)), 1), 6) + 0.0 END AS upper"""
 
 
-@query("G1_kaplan_meier", f"{W}, {km_sql('f', 'response')} SELECT k AS response, {KM_OUT} FROM km")
+G1_SQL = f"{W}, {km_sql('f', 'response')} SELECT k AS response, {KM_OUT} FROM km"
+
+
+@query("G1_kaplan_meier", G1_SQL)
 def g1(spark, sf):
     return rounded(survival.kaplan_meier(order_features(spark, sf), ["response"], "time", "event"),
                    "surv", "se", "lower", "upper")
 
 
+@query("G1_kaplan_meier_ranged", G1_SQL)
+def g1_ranged(spark, sf):
+    return rounded(survival.kaplan_meier(order_features(spark, sf), ["response"], "time", "event", **LARGE),
+                   "surv", "se", "lower", "upper")
+
+
 MEDIAN_SQL = """md AS (SELECT k, min(time) FILTER (WHERE s <= 0.5 + 1e-12) AS first, max(time) AS max_time,
   min(time) FILTER (WHERE abs(s - 0.5) <= 1e-12) AS half, min(time) FILTER (WHERE s < 0.5 - 1e-12) AS next FROM km GROUP BY k),
 mm AS (SELECT k, CASE WHEN half IS NOT NULL AND next IS NOT NULL THEN (half + next) / 2 ELSE first END AS median, max_time FROM md)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +54,11 @@ def read_run_matrix(spark: SparkSession, path: str) -> list[dict]:
 
 
 def parse_run(run: dict) -> dict:
+    """``cols_to_balance`` read as a Python literal: a list, a tuple or one name."""
     listed = run.get("cols_to_balance")
     if isinstance(listed, str):
-        run = {**run, "cols_to_balance":
-               [part.strip().strip("'\"") for part in listed.strip().strip("[]()").split(",")
-                if part.strip()]}
+        value = ast.literal_eval(listed.strip()) if listed.strip() else []
+        run = {**run, "cols_to_balance": [value] if isinstance(value, str) else list(value)}
     return run
 
 

@@ -103,7 +103,11 @@ def stratified_kfold(df: DataFrame, id_col: str, label: str, k: int, seeds: list
     return df.join(folds, on=id_col)
 
 
-def value_counts(df: DataFrame, column: str, k: int = 5) -> DataFrame:
-    """Most frequent values, largest first (value breaks ties)."""
-    return (df.groupBy(col(column)).agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), col(column)).limit(k))
+def value_counts(df: DataFrame, column: str, k: int = 5, by: str | None = None) -> DataFrame:
+    """Most frequent values, largest first (value breaks ties); within each value of ``by``, if given."""
+    if by is None:
+        return (df.groupBy(col(column)).agg(F.count(F.lit(1)).alias("n"))
+                .orderBy(F.desc("n"), col(column)).limit(k))
+    place = F.row_number().over(Window.partitionBy(col(by)).orderBy(F.desc("n"), col(column)))
+    return (df.groupBy(col(by), col(column)).agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("_place", place).where(F.col("_place") <= k).drop("_place"))

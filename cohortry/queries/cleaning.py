@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortry.operators import clean, profile, report, scoring, split, survival
+from cohortry.operators.running import hold
 from cohortry.queries.registry import query, r6, rounded, scratch
 from cohortry.queries.subjects import (CLEAN_SQL, F_SQL, FEATURES, held_features, order_features, spearman_sql,
                                        split_sql)
@@ -218,7 +219,7 @@ UNION ALL SELECT '<1', 'both', * FROM m WHERE event = 1 AND NumFeatures = 2 AND
 
 
 def selected(spark, sf, shown_as=None):
-    m = joined_metrics(spark, sf)
+    m = hold(joined_metrics(spark, sf))
     with_p, without = m.where("event = 1"), m.where("event = 0")
     return report.union_rows(*[report.select_model_rows(with_p, without, "qty_sum", "price_avg", d, shown_as)
                                .withColumn("direction", F.lit(d)) for d in (">1", "<1")])
@@ -268,9 +269,10 @@ def c1(spark, sf):
 
 @query("C3_feature_pairs", f"""{W}, {spearman_sql('f', FEATURES)} SELECT feat1, feat2, n FROM rho WHERE i < j""")
 def c3(spark, sf):
-    f = order_features(spark, sf)
-    n = f.agg(F.count(F.lit(1)).alias("n")).first()[0]
-    return profile.feature_pairs(f, FEATURES).select("feat1", "feat2", F.lit(n).alias("n"))
+    # The pairs as they are used: beside what the subjects say about them.
+    f = held_features(spark, sf, "id", *FEATURES)
+    matrix = profile.spearman_matrix(f, "id", FEATURES)
+    return profile.feature_pairs(f, FEATURES).join(matrix.drop("i", "j"), ["feat1", "feat2"]).select("feat1", "feat2", "n")
 
 
 @query("E11_max_metric", f"""{SELECTED_SQL} SELECT direction, max(Test_Set_Concordance) AS max_test,

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortry.operators import design, newton, survival
+from cohortry.operators import design, newton, report, survival
+from cohortry.operators.running import hold
+from cohortry.plans import runs
 from cohortry.plans.crossval import cross_validate_rfe_cox, cross_validate_rfe_logistic
 from cohortry.plans.preparation import prepare_logistic, prepare_survival
 from cohortry.plans.survival_report import fit_biomarkers, survival_report
-from cohortry.queries.registry import query, r6, rounded
+from cohortry.queries.registry import query, r6, rounded, scratch
 from cohortry.queries.statistics import LARGE, SCORE_SQL, fixed_score
 from cohortry.queries.subjects import (F_SQL, FEATURES, fold_sql, held_features, order_features, split_sql,
                                        unpivot_sql)
 from cohortry.operators.split import stratified_kfold
+from cohortry.sources.tables import read_metrics, read_run_matrix
 
 W = f"WITH {F_SQL}"
-SEEDS, K = [1, 2, 3], 3
+SEEDS, K = [1, 2, 3], 3                            # of the single-column fits, whose SQL writes every Newton step out
+ALL_SEEDS, ALL_FOLDS = list(range(1, 11)), 5       # of elimination and cross-validation
 BASE = ["id", "prio", "seg", "response", "event", "time", *FEATURES]
 BREAKS = [0.0, 500.0, 1000.0, 1500.0, 2000.0, 2500.0]
 
@@ -99,10 +103,10 @@ def g4(spark, sf):
 
 # --- fits ---------------------------------------------------------------------------------------
 
-def folded(spark, sf, label):
+def folded(spark, sf, label, k=K, seeds=SEEDS):
     f = held_features(spark, sf, "id", *FEATURES, "response", "event", "time")
-    kept = stratified_kfold(f, "id", label, K, SEEDS)
-    return design.design_table(kept, "id", FEATURES, ["response", "event", "time"], SEEDS, K)
+    kept = stratified_kfold(f, "id", label, k, seeds)
+    return design.design_table(kept, "id", FEATURES, ["response", "event", "time"], seeds, k)
 
 
 def coef_rows(spark, d, fits):
@@ -224,14 +228,14 @@ def _paths(spark, d, fit, models, mandatory=None, intercept=False):
 
 @query("F4_rfe")
 def f4(spark, sf):
-    d = folded(spark, sf, "response")
+    d = folded(spark, sf, "response", ALL_FOLDS, ALL_SEEDS)
     return _paths(spark, d, newton.logistic_fitter(d, "response"), newton.fold_models(d, design.learn_folds(d)),
                   intercept=True)
 
 
 @query("F5_rfe_mandatory")
 def f5(spark, sf):
-    d = folded(spark, sf, "event")
+    d = folded(spark, sf, "event", ALL_FOLDS, ALL_SEEDS)
     fit = newton.cox_fitter(newton.time_ordered(d, "event", "time"), 0.05)
     return _paths(spark, d, fit, newton.fold_models(d, design.learn_folds(d)), "qty_sum")
 
@@ -240,22 +244,56 @@ def f5(spark, sf):
 def f12(spark, sf):
     ready = prepare_logistic(held_features(spark, sf, *BASE), "id", FEATURES, "response", ["prio", "seg"], seed=7,
                              drop=("total", "qty_sum"), protect="qty_sum", log_cols=("acctbal",))
-    return cross_validate_rfe_logistic(ready.train, ready.test, "id", ready.features, "response", K, SEEDS)
+    return cross_validate_rfe_logistic(ready.train, ready.test, "id", ready.features, "response", ALL_FOLDS, ALL_SEEDS)
 
 
 @query("F13_cross_validate_rfe_cox")
 def f13(spark, sf):
     ready = prepare_survival(held_features(spark, sf, *BASE), "id", FEATURES, "event", "time", ["prio", "seg"], seed=7,
                              drop=("total", "qty_sum"), protect="qty_sum", log_cols=("acctbal",))
-    return cross_validate_rfe_cox(ready.train, ready.test, "id", ready.features, "event", "time", K, SEEDS,
-                                  mandatory="qty_sum")
+    return cross_validate_rfe_cox(ready.train, ready.test, "id", ready.features, "event", "time", ALL_FOLDS,
+                                  ALL_SEEDS, mandatory="qty_sum")
 
 
 def survival_sides(spark, sf):
     return prepare_survival(held_features(spark, sf, *BASE), "id", FEATURES, "event", "time", ["prio", "seg"], seed=7)
 
 
+def report_of(spark, sf):
+    ready = survival_sides(spark, sf)
+    return survival_report(ready.train, ready.test, "id", "qty_sum", MARKERS, "event", "time", BREAKS)
+
+
 @query("G5_survival_report")
 def g5(spark, sf):
-    ready = survival_sides(spark, sf)
-    return survival_report(ready.train, ready.test, "id", "qty_sum", MARKERS, "event", "time", BREAKS).summary
+    return report_of(spark, sf).summary
+
+
+@query("G5_survival_curves")
+def g5_curves(spark, sf):
+    return report_of(spark, sf).curves
+
+
+@query("G5_survival_risk")
+def g5_risk(spark, sf):
+    return report_of(spark, sf).risk
+
+
+@query("R1_survival_runs")
+def r1(spark, sf):
+    """Two runs of a run matrix, with and without the protected feature, from files to the box-plot numbers."""
+    path = scratch(spark)
+    order_features(spark, sf).select(*BASE).write.parquet(f"{path}/orders.parquet")
+    for name, cols in (("with", FEATURES), ("without", [c for c in FEATURES if c != "qty_sum"])):
+        spark.createDataFrame([(c,) for c in cols], "name string").coalesce(1).write.text(f"{path}/{name}.txt")
+    spark.createDataFrame([("orders", s, "event", "time", "['prio', 'seg']", 7, ALL_FOLDS) for s in ("with", "without")],
+                          "dataset string, featureset string, event string, time string, cols_to_balance string, "
+                          "random_state int, folds int").coalesce(1).write.option("header", True).csv(f"{path}/matrix")
+    setup = runs.Setup({"orders": f"{path}/orders.parquet"}, path, f"{path}/out", "id", log_cols=("acctbal",), k_max=2)
+    files = {r["featureset"]: runs.survival_run(spark, r, setup, "qty_sum" if r["featureset"] == "with" else None)
+             for r in read_run_matrix(spark, f"{path}/matrix")}
+    found = {name: hold(read_metrics(spark, f.metrics)) for name, f in files.items()}
+    rows = report.union_rows(*[report.select_model_rows(found["with"], found["without"], "qty_sum", marker, d)
+                               for marker in ("n_lines", "price_avg") for d in (">1", "<1")]).distinct()
+    return report.boxplot_stats(report.model_label(rows), ["Features"],
+                                ["Validation_Set_Concordance", "Test_Set_Concordance"])

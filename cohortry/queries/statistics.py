@@ -38,8 +38,7 @@ def d2(spark, sf):
 SELECT split, strat_col, n FROM n WHERE place <= 5""")
 def e10(spark, sf):
     placed = split.stratified_split(strata(spark, sf).select("id", "strat_col"), "id", "strat_col", seed=7)
-    return report.union_rows(*[split.value_counts(placed.where(F.col("split") == s), "strat_col")
-                               .withColumn("split", F.lit(s)) for s in ("train", "test")])
+    return split.value_counts(placed, "strat_col", by="split")
 
 
 # --- learnt on training folds -------------------------------------------------------------------
@@ -230,7 +229,7 @@ def centred_sql(table):
 SELECT id, time AS followup, event AS dead, round(exp({centred_sql('co')}), 3) AS RelativeRisk_1,
   round(exp({centred_sql('ce')}), 3) AS RelativeRisk_2 FROM f JOIN co USING (seg) JOIN ce USING (seg)""")
 def c5(spark, sf):
-    f = order_features(spark, sf)
+    f = held_features(spark, sf, "id", "seg", "response", "event", "time", *SMALL)
     scores = report.union_rows(*[
         scoring.linear_score(f, SMALL, segment_coefs(f, label), ["seg"], center="center")
         .select("id", F.lit(name).alias("model"), "relative_risk")

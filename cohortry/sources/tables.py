@@ -100,17 +100,23 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_split(train: DataFrame, test: DataFrame, path: str, id_col: str, features: list[str],
-                outcome: list[str]) -> None:
-    """X and y of both sides, partitioned by side and keyed by ``id_col`` so they rejoin."""
+                outcome: list[str], form: str = "parquet") -> None:
+    """X and y of both sides, partitioned by side and keyed by ``id_col`` so they rejoin.
+
+    ``form`` is ``parquet`` or ``csv`` (with a header).
+    """
+    if form not in ("parquet", "csv"):
+        raise ValueError(f"unknown form {form!r}")
     both = train.withColumn("split", F.lit("train")).unionByName(
         test.withColumn("split", F.lit("test")))
     for name, columns in (("X", features), ("y", outcome)):
         both.select("split", col(id_col), *[col(c) for c in columns]) \
-            .write.mode("errorifexists").partitionBy("split").parquet(f"{path}/{name}")
+            .write.mode("errorifexists").option("header", True).partitionBy("split").format(form).save(f"{path}/{name}")
 
 
-def read_split(spark: SparkSession, path: str, part: str, side: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{part}").where(F.col("split") == side).drop("split")
+def read_split(spark: SparkSession, path: str, part: str, side: str, form: str = "parquet") -> DataFrame:
+    both = spark.read.option("header", True).option("inferSchema", True).format(form).load(f"{path}/{part}")
+    return both.where(F.col("split") == side).drop("split")
 
 
 def corr_square(pairs: DataFrame, features: list[str]) -> DataFrame:

@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from cohortry.operators.design import Design, Prep, batch_matrix, scan
 from cohortry.operators.running import durable
 
-COX_PARTITION_ROWS = 200_000   # rows per time partition, until there are COX_PARTITIONS of them
-COX_PARTITIONS = 4096
+COX_PARTITION_ROWS = 200_000   # rows per time partition
 COX_DRIVER_BYTES = 128 << 20   # models are taken in chunks whose partition totals fit in this
 
 
@@ -163,7 +162,7 @@ def time_ordered(d: Design, event: str, time: str, partition_rows: int | None =
     partitions like any other.
     """
     wanted = math.ceil(d.n / (partition_rows or COX_PARTITION_ROWS))
-    parts = min(COX_PARTITIONS, max(1, wanted))
+    parts = max(1, wanted)
     rows = d.rows.select("id", "x", "folds", F.col(event).cast("int").alias("event"),
                          (-F.col(time).cast("double")).alias("late"))
     if parts == 1:

@@ -219,7 +219,7 @@ def f3(spark, sf):
                                F.get("beta", F.lit(1)).alias("beta_2")), "beta_1", "beta_2", digits=10)
 
 
-def _paths(spark, d, fit, models, mandatory=None, intercept=False):
+def elimination_paths(spark, d, fit, models, mandatory=None, intercept=False):
     at = None if mandatory is None else d.features.index(mandatory)
     paths = newton.eliminate(fit, models, 3, at, intercept)
     return coef_rows(spark, d, [((*_named(d, m), k), cols, beta) for m, path in zip(models, paths)
@@ -229,7 +229,7 @@ def _paths(spark, d, fit, models, mandatory=None, intercept=False):
 @query("F4_rfe")
 def f4(spark, sf):
     d = folded(spark, sf, "response", ALL_FOLDS, ALL_SEEDS)
-    return _paths(spark, d, newton.logistic_fitter(d, "response"), newton.fold_models(d, design.learn_folds(d)),
+    return elimination_paths(spark, d, newton.logistic_fitter(d, "response"), newton.fold_models(d, design.learn_folds(d)),
                   intercept=True)
 
 
@@ -237,7 +237,7 @@ def f4(spark, sf):
 def f5(spark, sf):
     d = folded(spark, sf, "event", ALL_FOLDS, ALL_SEEDS)
     fit = newton.cox_fitter(newton.time_ordered(d, "event", "time"), 0.05)
-    return _paths(spark, d, fit, newton.fold_models(d, design.learn_folds(d)), "qty_sum")
+    return elimination_paths(spark, d, fit, newton.fold_models(d, design.learn_folds(d)), "qty_sum")
 
 
 @query("F12_cross_validate_rfe_logistic")

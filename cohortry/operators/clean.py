@@ -75,7 +75,11 @@ def align_columns(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[col(c) for c in like.columns])
 
 
-def strat_key(df: DataFrame, cols: list[str], name: str = "strat_col") -> DataFrame:
+# The default names of the stratum column and of log columns.
+STRATUM, LOG_SUFFIX = "strat_col", "_log"
+
+
+def strat_key(df: DataFrame, cols: list[str], name: str = STRATUM) -> DataFrame:
     """Values joined by ``_``; a missing value is a stratum of its own."""
     return df.withColumn(name, F.concat_ws(
         "_", *[F.coalesce(col(c).cast("string"), F.lit("nan")) for c in cols]))
@@ -90,7 +94,7 @@ def log_shifts(df: DataFrame, cols: list[str]) -> dict[str, float]:
     return {c: abs(low[c]) + 1e-6 if low[c] is not None and low[c] <= 0 else 0.0 for c in cols}
 
 
-def log_transform(df: DataFrame, cols: list[str], suffix: str = "_log",
+def log_transform(df: DataFrame, cols: list[str], suffix: str = LOG_SUFFIX,
                   shifts: dict[str, float] | None = None) -> DataFrame:
     """Add natural-log columns.  By default a table is shifted by its own minimum; pass the
     training table's :func:`log_shifts` to shift both sides alike."""

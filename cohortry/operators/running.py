@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 import tempfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,20 +25,35 @@ BROADCAST_CELLS = 500_000     # tables of values up to this many rows are broadc
 HOT_SHARE = 1000              # a value is hot when it fills more than 1/HOT_SHARE of the rows
 PARTITION_ROWS = 1_000_000    # rows per range partition above that
 
-_held: list[DataFrame] = []
+# What the running analysis has cached; threads and nested analyses have lists of their own.
+_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """Persist an intermediate result until :func:`release`."""
+    """Persist an intermediate result until :func:`release` or the end of its :func:`analysis`."""
+    if _held.get() is None:
+        _held.set([])
     df = df.persist()
-    _held.append(df)
+    _held.get().append(df)
     return df
 
 
 def release() -> None:
-    """Drop every cached intermediate; frames returned earlier stay valid and recompute."""
-    while _held:
-        _held.pop().unpersist()
+    """Drop the cached intermediates of this analysis; frames returned earlier stay valid and recompute."""
+    held = _held.get() or []
+    while held:
+        held.pop().unpersist()
+
+
+@contextmanager
+def analysis():
+    """Everything cached inside is dropped at the end, and nothing that others cached."""
+    before = _held.set([])
+    try:
+        yield
+    finally:
+        release()
+        _held.reset(before)
 
 
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

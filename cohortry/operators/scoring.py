@@ -15,6 +15,7 @@ from cohortry.operators.running import durable, hold, join_keys, join_small, joi
 
 WIDE = "decimal(20,0)"  # counts before they are multiplied; products and sums then have 38 digits
 RISK_TIE = 1e-8        # Fixed value: scores at most this far apart count as tied.
+RISK_COLUMN = "RelativeRisk_"   # Fixed value: what the columns of attached scores begin with.
 LOCAL_ROWS = 200_000   # a key with at most this many subjects may be counted inside one task
 
 
@@ -61,7 +62,7 @@ def linear_score(df: DataFrame, features: list[str], coefs: DataFrame, by: list[
 def attach_scores(df: DataFrame, scores: DataFrame, id_col: str, models: list[str]) -> DataFrame:
     """One ``RelativeRisk_<i>`` column per model beside the subject's outcome."""
     wide = scores.groupBy(col(id_col)).pivot("model", models).agg(F.first("relative_risk"))
-    named = wide.select(col(id_col), *[col(m).alias(f"RelativeRisk_{i + 1}") for i, m in enumerate(models)])
+    named = wide.select(col(id_col), *[col(m).alias(f"{RISK_COLUMN}{i + 1}") for i, m in enumerate(models)])
     return df.join(named, id_col)
 
 

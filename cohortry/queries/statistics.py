@@ -146,8 +146,8 @@ def e7(spark, sf):
 
 @query("E8_skew_profile", f"""{W}, {unpivot_sql('f', WITH_CONST)}, m AS (SELECT feature, v - avg(v) OVER (PARTITION BY feature) AS c FROM u),
 s AS (SELECT feature, CASE WHEN avg(c * c) > 0 THEN avg(c * c * c) / pow(avg(c * c), 1.5) END AS skew FROM m GROUP BY feature)
-SELECT feature, {r6('skew')}, CASE WHEN abs(skew) < 0.75 THEN '≈ Normal' WHEN skew > 0.75 THEN 'Right-skewed → try log(x) or sqrt(x)'
-  ELSE 'Left-skewed → try x² or exp(x)' END AS comment FROM s""")
+SELECT feature, {r6('skew')}, CASE WHEN abs(skew) < {profile.SKEW_BOUND} THEN '{profile.NEAR_NORMAL}' WHEN skew > {profile.SKEW_BOUND}
+  THEN '{profile.RIGHT_SKEWED}' ELSE '{profile.LEFT_SKEWED}' END AS comment FROM s""")
 def e8(spark, sf):
     return rounded(profile.skew_profile(order_features(spark, sf), WITH_CONST), "skew")
 

@@ -30,7 +30,7 @@ from cohortry.llm.common import col, durable, text_of
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
                    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # Elements of HTML by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -50,6 +50,7 @@ BOILER_WORDS = frozenset("nav navbar navigation menu menubar header masthead foo
                          "popup modal overlay newsletter subscribe signup login search share sharing social comment comments reply replies "
                          "disqus respond discussion related recommended recommendations breadcrumb breadcrumbs pagination pager widget "
                          "toolbar skip contentinfo complementary form disclaimer copyright tags meta byline".split())
+BOILER_BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor")
 CARD_WORDS = frozenset("ad advert advertisement comment comments promo related reply sponsored teaser widget".split())
 CONTENT_WORDS = frozenset("article content post entry story main body text".split())
 GROUP = 32              # expressions aligned in one group
@@ -62,9 +63,11 @@ def signature(tag: str, attrs: str) -> str:
         return tag
     words = set()
     for name, a, b, c in ATTR.findall(attrs):
-        if name.lower() == "hidden":
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             words.add("hidden")
-        words.update(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", a or b or c).lower()) if w)
+        elif name in ("class", "id", "role"):
+            words.update(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w)
     return ".".join([tag, *sorted(words)])
 
 
@@ -77,7 +80,9 @@ def boiler(sig: str, inside_article: bool) -> bool:
         return not inside_article
     if tag in ("html", "body"):
         return False
-    return any(w in (CARD_WORDS if tag in ("article", "main") else BOILER_WORDS) for w in words)
+    if tag in ("article", "main"):
+        return any(w in CARD_WORDS for w in words)
+    return any(w in BOILER_WORDS or w.startswith(BOILER_BEGINNINGS) for w in words)
 
 
 def walk(page: str) -> Iterator[tuple[str, object]]:
@@ -277,15 +282,18 @@ def extract(page: str, levels: list[list[str]]) -> str:
 
     def flush():
         text = " ".join("".join(held).split())
-        if text and clean(at := "/".join(path)):
-            found.append((at, text))
+        if text:
+            found.append(("/".join(path), text))
         held.clear()
 
     for kind, value in walk(page):
         if kind == "text":
-            held.append(html.unescape(value))
+            if clean("/".join(path)):
+                held.append(html.unescape(value))
             continue
-        flush()
+        # An inline element that is boilerplate goes without cutting the block around it.
+        if value is None or value.split(".")[0] not in INLINE:
+            flush()
         if kind == "open":
             path.append(value)
         elif kind == "close":

@@ -8,10 +8,10 @@ from cohortry.llm.registry import QUERIES
 RICH = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body class="post sidebar">
 <header><a href="/">Site</a></header><nav>Menu</nav><div class="cookie-notice">We use cookies</div>
 <div id="wrap"><div class="content"><article class="post-12"><header><h1>The &amp; Title</h1></header>
-<p>First <b>bold</b>,
-   and&nbsp;more.<p>Second<br>line &lt;x&gt; 3 < 4
+<p>First <b>bold</b>, <span class="ad">Buy now</span>
+   <em title="hidden id" aria-hidden="false">and</em>&nbsp;more.<p>Second<br>line &lt;x&gt; 3 < 4
 <div class="ad-slot">Buy</div><ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><td>c</table>
-<form>Your name <input name=n></form><!-- <p>hidden</p> --><noscript>none</noscript>
+<p style="display: none">unseen</p><ol class="commentlist"><li>me too</ol><form>Your name <input name=n></form><!-- <p>hidden</p> --><noscript>none</noscript>
 <section id="comments"><article class="comment"><p>Nice!</p></article></section></article></div>
 <aside><p>Related things that are much longer than the article itself, again and again and again and again.</p></aside></div>
 <footer>&copy; site</footer></body></html>"""

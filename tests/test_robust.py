@@ -120,3 +120,24 @@ def test_run_rows_hold_literals():
     assert parse_run({"cols_to_balance": "['a, b', 'c']"})["cols_to_balance"] == ["a, b", "c"]
     assert parse_run({"cols_to_balance": "('x',)"})["cols_to_balance"] == ["x"]
     assert parse_run({"cols_to_balance": "'x'"})["cols_to_balance"] == ["x"] and parse_run({"cols_to_balance": ""})["cols_to_balance"] == []
+
+
+def test_scoring_in_groups_of_models_gives_the_same(spark, monkeypatch):
+    from cohortry.plans import crossval
+    rng = np.random.default_rng(5)
+    rows = [(i, float(rng.normal()), float(rng.normal()), int(rng.random() < .5), float(rng.integers(1, 20))) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int, t double").cache()
+    train, hold = df.where("id % 4 > 0"), df.where("id % 4 = 0")
+    whole = sorted(map(str, crossval.cross_validate_rfe_cox(train, hold, "id", ["a", "b"], "y", "t", 2, [1, 2], 2).collect()))
+    monkeypatch.setattr(crossval, "SCORED_ROWS", 120)
+    assert sorted(map(str, crossval.cross_validate_rfe_cox(train, hold, "id", ["a", "b"], "y", "t", 2, [1, 2], 2).collect())) == whole
+
+
+def test_caches_belong_to_their_analysis(spark):
+    outer = running.hold(spark.range(3))
+    with running.analysis():
+        inner = running.hold(spark.range(4))
+        assert inner.is_cached
+    assert not inner.is_cached and outer.is_cached
+    running.release()
+    assert not outer.is_cached

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import col, durable, text_of
+from cohortry.llm.common import col, durable, let, text_of
 
 BLOCK_BITS = 10      # a posting list holds the texts of one of 2**BLOCK_BITS or more blocks
 BLOCK_ROWS = 4096    # texts per block, about
@@ -153,8 +153,9 @@ def candidates(texts: DataFrame, queries: dict[int, list[list[str]]]) -> DataFra
     unite and verification sorts them out: a candidate is never lost.
     """
     grams = sorted({g for q in queries.values() for c in q for g in c})
-    held = texts.select("key", F.lower("text").alias("low")).select("key", F.filter(
-        F.array(*[F.lit(g) for g in grams]), lambda g: F.col("low").contains(g)).alias("grams"))
+    listed = F.array(*[F.lit(g) for g in grams])
+    # The lower-case text is bound once; as a plain column it would be made anew for every trigram.
+    held = texts.select("key", let(F.lower("text"), lambda low: F.filter(listed, lambda g: low.contains(g))).alias("grams"))
     postings = durable(held.where(F.size("grams") > 0).select("key", F.explode("grams").alias("gram")).distinct(), "postings")
     blocks = max(1 << BLOCK_BITS, -(-postings.count() // BLOCK_ROWS))
     # A block of texts has bounded lists, however common a trigram is.

@@ -1,4 +1,4 @@
-"""Feature elimination on three columns, with SQL that writes the Newton steps of the whole path out (F4, F5)."""
+"""Feature elimination on three columns, with SQL that writes the Newton steps of the whole path out (F4, F5, F12)."""
 
 from __future__ import annotations
 
@@ -6,23 +6,29 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import design, newton
 from cohortry.operators.split import stratified_kfold
+from cohortry.plans.crossval import cross_validate_rfe_logistic
+from cohortry.plans.preparation import prepare_logistic
 from cohortry.queries.modelling import ALL_FOLDS, ALL_SEEDS, elimination_paths
 from cohortry.queries.registry import query, rounded
-from cohortry.queries.subjects import F_SQL, fold_sql, held_features
+from cohortry.queries.subjects import F_SQL, fold_sql, held_features, split_sql
 
 COLUMNS = ["n_lines", "price_avg", "acctbal"]
 N = len(COLUMNS)
 KEYS = "seed, fold"
 
 
-def scaled_sql(label: str) -> str:
-    """Clipped and scaled training rows per (seed, fold), one column z<i> per feature; ends in ``zt``."""
-    def each(text):
-        return ", ".join(text.format(i=i, c=c) for i, c in enumerate(COLUMNS))
+CLIPPED = "least(greatest({c}, low{i}), high{i})"
+
+
+def each(text: str) -> str:
+    return ", ".join(text.format(i=i, c=c) for i, c in enumerate(COLUMNS))
 
-    clipped = "least(greatest({c}, low{i}), high{i})"
-    return f"""{F_SQL}, {fold_sql('f', label, ALL_FOLDS, ALL_SEEDS)},
-tr AS MATERIALIZED (SELECT fo.id, fo.seed, g.fold, {', '.join(COLUMNS)}, f.response, f.event, f.time FROM fo JOIN f USING (id)
+
+def scaled_sql(label: str, subjects: str = "f", before: str = "") -> str:
+    """Clipped and scaled training rows per (seed, fold), one column z<i> per feature; ends in ``zt``."""
+    clipped = CLIPPED
+    return f"""{F_SQL}, {before}{fold_sql(subjects, label, ALL_FOLDS, ALL_SEEDS)},
+tr AS MATERIALIZED (SELECT fo.id, fo.seed, g.fold, {', '.join(COLUMNS)}, f.response, f.event, f.time FROM fo JOIN {subjects} AS f USING (id)
   JOIN range(0, {ALL_FOLDS}) AS g(fold) ON fo.fold <> g.fold),
 q AS (SELECT seed, fold, {each('quantile_cont({c}, 0.005) AS low{i}, quantile_cont({c}, 0.995) AS high{i}')} FROM tr GROUP BY ALL),
 sc AS (SELECT seed, fold, {each(f'avg({clipped}) AS mean{{i}}, stddev_pop({clipped}) AS dev{{i}}')} FROM tr JOIN q USING ({KEYS}) GROUP BY ALL),
@@ -75,8 +81,10 @@ def cox_step(before: str, alpha: float = 0.05) -> str:
     return solved(f"SELECT {CARRY}, {b}, {', '.join(sums)} FROM ({risk}) GROUP BY {CARRY}, {b}", N, CARRY)
 
 
-def path_sql(label: str, step, unknowns: int, mandatory: int | None = None, steps: int = 8) -> str:
-    """All features, then without the weakest, down to one; a column that is out has mask 0 and coefficient 0."""
+def path_tables(step, unknowns: int, mandatory: int | None = None, steps: int = 8) -> tuple[list[str], list[str]]:
+    """All features, then without the weakest, down to one; a column that is out has mask 0 and coefficient 0.
+
+    The tables, of which ``p<size>_<steps>`` hold the fits, and a statement per coefficient."""
     zero = ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(unknowns))
     start = f"SELECT DISTINCT {KEYS}, {', '.join(f'1 AS m{i}' for i in range(N))}, {zero} FROM zt"
     tables, results = [], []
@@ -92,9 +100,38 @@ def path_sql(label: str, step, unknowns: int, mandatory: int | None = None, step
         gone = [f"({weight[i]}) = least_weight" for i in range(N)]
         start = f"""SELECT {KEYS}, {', '.join(f'CASE WHEN {gone[i]} THEN 0 ELSE m{i} END AS m{i}' for i in range(N))},
           {', '.join(f'CASE WHEN {gone[i]} THEN 0.0 ELSE b{i} END AS b{i}' if i < N else f'b{i}' for i in range(unknowns))} FROM ({weakest})"""
+    return tables, results
+
+
+def path_sql(label: str, step, unknowns: int, mandatory: int | None = None) -> str:
+    tables, results = path_tables(step, unknowns, mandatory)
     return f"WITH {scaled_sql(label)}, {', '.join(tables)} {' UNION ALL '.join(results)}"
 
 
+def judged_sql() -> str:
+    """AUC, accuracy and directions of every logistic fit on its own fold and on the hold-out side."""
+    tables, _ = path_tables(logistic_step, N + 1)
+    sides = f"{split_sql('f')}, tn AS (SELECT * FROM sp WHERE split = 'train'), te AS (SELECT * FROM sp WHERE split = 'test'), "
+    fits = " UNION ALL ".join(f"SELECT {KEYS}, {k} AS k, {MASK}, {', '.join(f'b{i}' for i in range(N + 1))} FROM p{k}_8" for k in range(1, N + 1))
+    z = each(f"({CLIPPED} - mean{{i}}) / dev{{i}} AS z{{i}}")
+    listed = {side: "concat_ws(', ', " + ", ".join(
+        f"CASE WHEN m{i} = 1 AND b{i} {test} 0 THEN '{c}' END" for i, c in enumerate(COLUMNS)) + ")"
+        for side, test in (("above", ">"), ("below", "<="))}
+    return f"""WITH {scaled_sql('response', 'tn', sides)}, {', '.join(tables)}, fits AS ({fits}),
+judged AS (SELECT seed, fold, 'validation' AS part, {z}, f.response FROM fo JOIN tn AS f USING (id) JOIN q USING ({KEYS}) JOIN sc USING ({KEYS})
+  UNION ALL SELECT seed, fold, 'holdout', {z}, te.response FROM te CROSS JOIN q JOIN sc USING ({KEYS})),
+scored AS (SELECT seed, fold, k, part, response, round({ETA} + b{N}, 9) AS score FROM judged JOIN fits USING ({KEYS})),
+ranked AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY seed, fold, k, part, score) - 1) / 2.0 AS r FROM scored
+  WINDOW w AS (PARTITION BY seed, fold, k, part ORDER BY score)),
+auc AS (SELECT seed, fold, k, part, (sum(r) FILTER (WHERE response = 1) - sum(response) * (sum(response) + 1) / 2.0)
+  / (CAST(sum(response) AS DOUBLE) * (count(*) - sum(response))) AS auc, avg(CAST(CAST(score > 0 AS INT) = response AS INT)) AS accuracy
+  FROM ranked GROUP BY seed, fold, k, part)
+SELECT seed, fold, k AS NumFeatures, {', '.join(f"round(max({m}) FILTER (WHERE part = '{p}'), 5) + 0.0 AS {n}_{a}"
+       for p, n in (('validation', 'Validation'), ('holdout', 'Holdout')) for m, a in (('auc', 'AUC'), ('accuracy', 'Accuracy')))},
+  any_value({listed['above']}) AS above, any_value({listed['below']}) AS below
+FROM auc JOIN fits USING (seed, fold, k) GROUP BY seed, fold, k"""
+
+
 def folded(spark, sf, label):
     f = held_features(spark, sf, "id", *COLUMNS, "response", "event", "time")
     kept = stratified_kfold(f, "id", label, ALL_FOLDS, ALL_SEEDS)
@@ -125,3 +162,13 @@ def f5_partitioned(spark, sf):
     d = folded(spark, sf, "event")
     fit = newton.cox_fitter(newton.time_ordered(d, "event", "time", partition_rows=2_000), 0.05)
     return of_three(elimination_paths(spark, d, fit, newton.fold_models(d, design.learn_folds(d)), COLUMNS[0]))
+
+
+@query("F12_cross_validate_three", judged_sql())
+def f12(spark, sf):
+    f = held_features(spark, sf, "id", "prio", "seg", "response", *COLUMNS)
+    ready = prepare_logistic(f, "id", COLUMNS, "response", ["prio", "seg"], seed=7)
+    found = cross_validate_rfe_logistic(ready.train, ready.test, "id", COLUMNS, "response", ALL_FOLDS, ALL_SEEDS)
+    metrics = ["Validation_AUC", "Validation_Accuracy", "Holdout_AUC", "Holdout_Accuracy"]
+    return rounded(found.select("seed", "fold", "NumFeatures", *metrics, F.array_join("OR > 1 Features", ", ").alias("above"),
+                                F.array_join("OR < 1 Features", ", ").alias("below")), *metrics, digits=5)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cohortry.operators import design, newton
 from cohortry.operators.split import stratified_kfold
-from cohortry.plans.crossval import cross_validate_rfe_logistic
-from cohortry.plans.preparation import prepare_logistic
+from cohortry.plans.crossval import cross_validate_rfe_cox, cross_validate_rfe_logistic
+from cohortry.plans.preparation import prepare_logistic, prepare_survival
 from cohortry.queries.modelling import ALL_FOLDS, ALL_SEEDS, elimination_paths
 from cohortry.queries.registry import query, rounded
 from cohortry.queries.subjects import F_SQL, fold_sql, held_features, split_sql
@@ -24,10 +24,10 @@ def each(text: str) -> str:
     return ", ".join(text.format(i=i, c=c) for i, c in enumerate(COLUMNS))
 
 
-def scaled_sql(label: str, subjects: str = "f", before: str = "") -> str:
+def scaled_sql(label: str, subjects: str = "f", before: str = "", seeds: list[int] = ALL_SEEDS) -> str:
     """Clipped and scaled training rows per (seed, fold), one column z<i> per feature; ends in ``zt``."""
     clipped = CLIPPED
-    return f"""{F_SQL}, {before}{fold_sql(subjects, label, ALL_FOLDS, ALL_SEEDS)},
+    return f"""{F_SQL}, {before}{fold_sql(subjects, label, ALL_FOLDS, seeds)},
 tr AS MATERIALIZED (SELECT fo.id, fo.seed, g.fold, {', '.join(COLUMNS)}, f.response, f.event, f.time FROM fo JOIN {subjects} AS f USING (id)
   JOIN range(0, {ALL_FOLDS}) AS g(fold) ON fo.fold <> g.fold),
 q AS (SELECT seed, fold, {each('quantile_cont({c}, 0.005) AS low{i}, quantile_cont({c}, 0.995) AS high{i}')} FROM tr GROUP BY ALL),
@@ -108,18 +108,43 @@ def path_sql(label: str, step, unknowns: int, mandatory: int | None = None) -> s
     return f"WITH {scaled_sql(label)}, {', '.join(tables)} {' UNION ALL '.join(results)}"
 
 
+SIDES = f"{split_sql('f')}, tn AS (SELECT * FROM sp WHERE split = 'train'), te AS (SELECT * FROM sp WHERE split = 'test'), "
+
+
+def judged_tables(step, unknowns: int, outcome: str, mandatory: int | None = None) -> str:
+    """Every fit of the path and, in ``judged``, the scaled rows of its own fold and of the hold-out side."""
+    tables, _ = path_tables(step, unknowns, mandatory)
+    fits = " UNION ALL ".join(f"SELECT {KEYS}, {k} AS k, {MASK}, {', '.join(f'b{i}' for i in range(unknowns))} FROM p{k}_8"
+                              for k in range(1, N + 1))
+    z = each(f"({CLIPPED} - mean{{i}}) / dev{{i}} AS z{{i}}")
+    return f"""{', '.join(tables)}, fits AS ({fits}),
+judged AS (SELECT seed, fold, 'validation' AS part, {z}, {', '.join('f.' + c for c in outcome.split())} FROM fo JOIN tn AS f USING (id)
+    JOIN q USING ({KEYS}) JOIN sc USING ({KEYS})
+  UNION ALL SELECT seed, fold, 'holdout', {z}, {', '.join('te.' + c for c in outcome.split())} FROM te CROSS JOIN q JOIN sc USING ({KEYS}))"""
+
+
+LISTED = {side: "concat_ws(', ', " + ", ".join(
+    f"CASE WHEN m{i} = 1 AND b{i} {test} 0 THEN '{c}' END" for i, c in enumerate(COLUMNS)) + ")"
+    for side, test in (("above", ">"), ("below", "<="))}
+DIRECTIONS = f"any_value({LISTED['above']}) AS above, any_value({LISTED['below']}) AS below"
+
+
+def concordance_sql(seeds: list[int]) -> str:
+    """Concordance of every Cox fit on its own fold and on the hold-out side, over all pairs."""
+    return f"""WITH {scaled_sql('event', 'tn', SIDES, seeds)}, {judged_tables(cox_step, N, 'event time', 0)},
+scored AS MATERIALIZED (SELECT seed, fold, k, part, event, time, {ETA} AS score FROM judged JOIN fits USING ({KEYS})),
+pairs AS (SELECT a.seed, a.fold, a.k, a.part, count(*) AS n, count(*) FILTER (WHERE a.score - b.score > 1e-8) AS c,
+    count(*) FILTER (WHERE abs(a.score - b.score) <= 1e-8) AS t
+  FROM scored a JOIN scored b ON a.seed = b.seed AND a.fold = b.fold AND a.k = b.k AND a.part = b.part AND a.event = 1
+    AND a.time <= b.time AND (a.time < b.time OR b.event = 0) GROUP BY ALL)
+SELECT seed, fold, k AS NumFeatures, round(max((c + t / 2.0) / n) FILTER (WHERE part = 'validation'), 6) AS Validation_Set_Concordance,
+  round(max((c + t / 2.0) / n) FILTER (WHERE part = 'holdout'), 6) AS Test_Set_Concordance, {DIRECTIONS}
+FROM pairs JOIN fits USING (seed, fold, k) GROUP BY seed, fold, k"""
+
+
 def judged_sql() -> str:
     """AUC, accuracy and directions of every logistic fit on its own fold and on the hold-out side."""
-    tables, _ = path_tables(logistic_step, N + 1)
-    sides = f"{split_sql('f')}, tn AS (SELECT * FROM sp WHERE split = 'train'), te AS (SELECT * FROM sp WHERE split = 'test'), "
-    fits = " UNION ALL ".join(f"SELECT {KEYS}, {k} AS k, {MASK}, {', '.join(f'b{i}' for i in range(N + 1))} FROM p{k}_8" for k in range(1, N + 1))
-    z = each(f"({CLIPPED} - mean{{i}}) / dev{{i}} AS z{{i}}")
-    listed = {side: "concat_ws(', ', " + ", ".join(
-        f"CASE WHEN m{i} = 1 AND b{i} {test} 0 THEN '{c}' END" for i, c in enumerate(COLUMNS)) + ")"
-        for side, test in (("above", ">"), ("below", "<="))}
-    return f"""WITH {scaled_sql('response', 'tn', sides)}, {', '.join(tables)}, fits AS ({fits}),
-judged AS (SELECT seed, fold, 'validation' AS part, {z}, f.response FROM fo JOIN tn AS f USING (id) JOIN q USING ({KEYS}) JOIN sc USING ({KEYS})
-  UNION ALL SELECT seed, fold, 'holdout', {z}, te.response FROM te CROSS JOIN q JOIN sc USING ({KEYS})),
+    return f"""WITH {scaled_sql('response', 'tn', SIDES)}, {judged_tables(logistic_step, N + 1, 'response')},
 scored AS (SELECT seed, fold, k, part, response, round({ETA} + b{N}, 9) AS score FROM judged JOIN fits USING ({KEYS})),
 ranked AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY seed, fold, k, part, score) - 1) / 2.0 AS r FROM scored
   WINDOW w AS (PARTITION BY seed, fold, k, part ORDER BY score)),
@@ -128,7 +153,7 @@ auc AS (SELECT seed, fold, k, part, (sum(r) FILTER (WHERE response = 1) - sum(re
   FROM ranked GROUP BY seed, fold, k, part)
 SELECT seed, fold, k AS NumFeatures, {', '.join(f"round(max({m}) FILTER (WHERE part = '{p}'), 5) + 0.0 AS {n}_{a}"
        for p, n in (('validation', 'Validation'), ('holdout', 'Holdout')) for m, a in (('auc', 'AUC'), ('accuracy', 'Accuracy')))},
-  any_value({listed['above']}) AS above, any_value({listed['below']}) AS below
+  {DIRECTIONS}
 FROM auc JOIN fits USING (seed, fold, k) GROUP BY seed, fold, k"""
 
 
@@ -172,3 +197,14 @@ def f12(spark, sf):
     metrics = ["Validation_AUC", "Validation_Accuracy", "Holdout_AUC", "Holdout_Accuracy"]
     return rounded(found.select("seed", "fold", "NumFeatures", *metrics, F.array_join("OR > 1 Features", ", ").alias("above"),
                                 F.array_join("OR < 1 Features", ", ").alias("below")), *metrics, digits=5)
+
+
+# Two seeds: the SQL forms every pair of every model.
+@query("F13_cross_validate_three", concordance_sql([1, 2]))
+def f13(spark, sf):
+    f = held_features(spark, sf, "id", "prio", "seg", "event", "time", *COLUMNS)
+    ready = prepare_survival(f, "id", COLUMNS, "event", "time", ["prio", "seg"], seed=7)
+    found = cross_validate_rfe_cox(ready.train, ready.test, "id", COLUMNS, "event", "time", ALL_FOLDS, [1, 2], mandatory=COLUMNS[0])
+    metrics = ["Validation_Set_Concordance", "Test_Set_Concordance"]
+    return rounded(found.select("seed", "fold", "NumFeatures", *metrics, F.array_join("HR > 1 Features", ", ").alias("above"),
+                                F.array_join("HR < 1 Features", ", ").alias("below")), *metrics)

@@ -17,14 +17,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import ascii_lower, col, text_of
+from cohortry.llm.common import ascii_lower, col, let, text_of
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"      # what stands between words
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` matches whole words of the text in lower case; ``keyword`` is a word run in every match."""
+    """``pattern`` matches whole words of the text in lower case; every match holds one of the ``|``-separated
+    keywords at the beginning of a word."""
 
     label: str
     pattern: str
@@ -51,15 +52,15 @@ NAMES = [
     ("apache-2.0", "apache (?:software )?(?:license|licence) (?:version |v)?2(?: 0)?|apache 2(?: 0)?", "apache"),
     ("apache-1.1", "apache (?:software )?(?:license|licence) (?:version |v)?1 1", "apache"),
     ("apache-1.0", "apache (?:software )?(?:license|licence) (?:version |v)?1 0", "apache"),
-    ("mit-0", "mit no attribution(?: license| licence)?|mit 0", "mit"),
-    ("mit", "mit (?:license|licence)", "mit"),
+    ("mit-0", "mit no attribution(?: license| licence)?|mit 0", "mit no|mit 0"),
+    ("mit", "mit (?:license|licence)", "mit licen"),
     ("x11", "x11 (?:license|licence)", "x11"),
     ("isc", "isc (?:license|licence)", "isc"),
     ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd)(?: license| licence)?|original bsd (?:license|licence)", "bsd"),
     ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd)(?: license| licence)?|(?:new|modified|revised) bsd (?:license|licence)", "bsd"),
     ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd)(?: license| licence)?|(?:simplified|freebsd) bsd (?:license|licence)", "bsd"),
     ("bsd-1-clause", "(?:bsd 1 clause|1 clause bsd)(?: license| licence)?", "bsd"),
-    ("0bsd", "(?:0bsd|bsd 0 clause|zero clause bsd)(?: license| licence)?", "bsd"),
+    ("0bsd", "(?:0bsd|bsd 0 clause|zero clause bsd)(?: license| licence)?", "0bsd|bsd 0|zero clause"),
     ("bsd", "bsd (?:style )?(?:license|licence)", "bsd"),
     ("mpl-2.0", "mozilla public (?:license|licence) (?:version |v)?2(?: 0)?|mpl 2(?: 0)?", "mozilla|mpl"),
     ("mpl-1.1", "mozilla public (?:license|licence) (?:version |v)?1 1|mpl 1 1", "mozilla|mpl"),
@@ -156,35 +157,42 @@ def _spaces(text: Column) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
+SPAN = "array<struct<start:bigint,end:bigint,rank:int,label:string,weight:double,base:boolean>>"
+
+
 def _places(words: Column, rule: Column) -> Column:
     """Spans [start, end) in words of the matches of one rule, leftmost first and without overlap.
 
     Matches are marked at both ends, and the marked words' places are read off: linear in the text.
     """
-    pattern = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
-    marked = F.split(F.regexp_replace(words, pattern, F.lit("\x01$0\x02")), " ")
-    placed = F.transform(marked, lambda w, i: F.struct(i.cast("long").alias("at"), w.startswith("\x01").alias("opens"),
-                                                       w.endswith("\x02").alias("closes")))
-    starts = F.transform(F.filter(placed, lambda p: p["opens"]), lambda p: p["at"] - 1)
-    ends = F.transform(F.filter(placed, lambda p: p["closes"]), lambda p: p["at"])
-    spans = F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), rule["rank"].alias("rank"), rule["label"].alias("label"),
-        rule["weight"].alias("weight"), rule["base"].alias("base")))
-    return F.when(F.regexp_like(words, pattern), spans).otherwise(F.array().cast(SPAN))
+    def spans(placed: Column) -> Column:
+        starts = F.transform(F.filter(placed, lambda p: p["opens"]), lambda p: p["at"] - 1)
+        ends = F.transform(F.filter(placed, lambda p: p["closes"]), lambda p: p["at"])
+        return F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), rule["rank"].alias("rank"), rule["label"].alias("label"),
+            rule["weight"].alias("weight"), rule["base"].alias("base")))
 
-
-SPAN = "array<struct<start:bigint,end:bigint,rank:int,label:string,weight:double,base:boolean>>"
+    marked = F.split(F.regexp_replace(words, rule["regex"], F.lit("\x01$0\x02")), " ")
+    placed = F.filter(F.transform(marked, lambda w, i: F.struct(
+        i.cast("long").alias("at"), w.startswith("\x01").alias("opens"), w.endswith("\x02").alias("closes"))),
+        lambda p: p["opens"] | p["closes"])
+    return F.when(F.regexp_like(words, rule["regex"]), let(placed, spans)).otherwise(F.array().cast(SPAN))
 
 
 def _found(words: Column, rules: Sequence[Rule]) -> Column:
     """All detections in a text.  Keywords are looked for first; a text without any costs only that."""
     keywords = sorted({k for r in rules for k in r.keyword.split("|")})
     listed = F.array(*[F.struct(
-        F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.weight).alias("weight"),
-        F.lit(r.base).alias("base"), F.array(*[F.lit(k) for k in r.keyword.split("|")]).alias("keys")) for i, r in enumerate(rules)])
-    there = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: words.contains(k))
-    gated = F.filter(listed, lambda r: F.arrays_overlap(r["keys"], there))
-    return F.when(F.size(there) > 0, F.flatten(F.transform(gated, lambda r: _places(words, r)))).otherwise(F.array().cast(SPAN))
+        F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("regex"),
+        F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base"),
+        F.array(*[F.lit(k) for k in r.keyword.split("|")]).alias("keys")) for i, r in enumerate(rules)])
+    there = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: words.contains(F.concat(F.lit(" "), k)))
+
+    def run(there: Column) -> Column:
+        gated = F.filter(listed, lambda r: F.arrays_overlap(r["keys"], there))
+        return F.when(F.size(there) > 0, F.flatten(F.transform(gated, lambda r: _places(words, r)))).otherwise(F.array().cast(SPAN))
+
+    return let(there, run)
 
 
 def detections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Main text of web pages by wrappers inferred per host.
 
 A page's token stream is folded into a union-free regular expression over its elements: text becomes a slot, and
-neighbouring elements or runs of up to three elements that repeat become one repeated group.  The expressions of a
-host are aligned one after the other; parts that only one side has become optional, counts that differ become
+neighbouring elements or runs of up to three elements that repeat become one repeated group (very many siblings without
+such an order become one group in which each is optional).  The expressions of a host are aligned one after the other; parts that only one side has become optional, counts that differ become
 repeats, until one wrapper describes every page of the host.  Slots carry the elements they stand in and, over all
 pages of the host, how much text they held.  From these the wrapper's containers of main text are chosen, in order of
 preference, and each page's text is read from the first of them that it fills.
@@ -54,7 +54,9 @@ BOILER_BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "newsletter",
 CARD_WORDS = frozenset("ad advert advertisement comment comments promo related reply sponsored teaser widget".split())
 CONTENT_WORDS = frozenset("article content post entry story main body text".split())
 GROUP = 32              # expressions aligned in one group
-SHARE = 0.6             # of its parent's text that an inner container must hold to stand for it
+DEEP = 100              # levels beyond which an element only ends the block before it
+MANY = 150              # folded siblings beyond which their order is given up: (a* b* c*)+
+SHARE = 0.6             # of a host's text that an inner container must hold to stand for the page
 
 
 def signature(tag: str, attrs: str) -> str:
@@ -138,6 +140,10 @@ def walk(page: str) -> Iterator[tuple[str, object]]:
                 if not attrs.endswith("/"):
                     stack.append((tag, None))
                 continue
+            if len(stack) >= DEEP and tag not in RAW and not boiler(sig, True):
+                yield "break", None
+                stack.append((tag, None))
+                continue
             yield "open", sig
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -192,6 +198,12 @@ def fold(nodes: list) -> list:
                     del out[-width:]
                     group[2] = [[x[0], _more(x[1], y[1]), align(x[2], y[2])] for x, y in zip(group[2], tail)]
         nodes = out
+    if len(nodes) > MANY:
+        kinds: dict[str, list] = {}
+        for node in nodes:
+            for sig, _, inner in node[2] if node[0] == "()" else [node]:
+                kinds[sig] = align(kinds[sig], inner) if sig in kinds else inner
+        nodes = [["()", "+", [[sig, "*", inner] for sig, inner in kinds.items()]]]
     return nodes
 
 
@@ -267,7 +279,7 @@ def containers(wrapper: list, mass: dict[str, int]) -> list[list[str]]:
         below = [p for p in children if p.count("/") == (inner.count("/") + 1 if inner else 0) and p.startswith(inner + "/" if inner else "")
                  and last[p][0] in ("html", "body", "div", "section", "center", "table", "tbody", "tr", "td", "main", "article")]
         best = max(below, key=lambda p: (total[p], p), default=None)
-        if best is None or total[best] < SHARE * max(total[inner], 1):
+        if best is None or total[best] < SHARE * max(total[""], 1):
             break
         inner = best
     levels.append([inner])

@@ -1,4 +1,5 @@
 import html
+import json
 import re
 from collections import Counter
 
@@ -41,6 +42,11 @@ def test_main_text():
     assert extract("no markup at all", levels_of("no markup at all")) == "no markup at all"
     long = "<article>" + "<p>word</p>" * 20000 + "<div><div>" * 200
     assert extract(long, levels_of(long)).count("\n") == 19999
+    mixed = "<article>" + "".join(f"<{t}>w{k}</{t}>" for k in range(4000) for t in ("p", "h2", "pre", "h3")[:1 + k * k % 4 + k % 3 % 2]) + "</article>"
+    assert extract(mixed, levels_of(mixed, mixed.replace("w7", "")))[:9] == "w0\nw1\nw1\n"[:9]
+    deep = "<div>x" * 3000
+    assert extract(deep, levels_of(deep)).count("x") > 2890      # all that stands in the innermost container
+    assert len(json.dumps(page_expression(mixed)[0])) < 2000
 
 
 def test_expressions():

@@ -1,12 +1,14 @@
 """License scan: ordered signature rules over the words of a text.
 
 A text becomes its words in lower case between single spaces.  Rules stand in order of priority; each has a
-keyword that its signature cannot do without, and only rules whose keyword occurs in a text are run on it.  Of
-overlapping detections one that lies within another is dropped, of equal ones the rule of higher priority
-stays, and of those that overlap in part the rule of higher priority.  Base phrases always stay.
-
-Everything is a DataFrame expression: the scan is one projection, and detections are settled by a window over
-one text's detections.
+keyword that its signature cannot do without, and only rules whose keyword occurs in a text are run on it.  The
+words that introduce a license name belong to its detection but not to its core, and only cores compete: in
+'MIT License, ISC License' the first 'license' is not lost to 'license isc license'.  Of cores that overlap one
+that lies within another that stays is dropped, of equal ones the rule of higher priority stays, and of those that
+overlap in part the rule of higher priority.  What is dropped suppresses nothing.  Base phrases always stay.
+
+Everything is a DataFrame expression: the scan is one projection, a window cuts one text's detections into groups
+that overlap, and each group is settled in order of priority.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"      # what stands between words
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` matches whole words of the text in lower case; every match holds one of the ``|``-separated
-    keywords at the beginning of a word."""
+    keywords at the beginning of a word.  ``lead`` is the beginning of ``pattern`` that only introduces the rest."""
 
     label: str
     pattern: str
     keyword: str
     weight: float = 0.9
     base: bool = False
+    lead: str = ""
 
 
 # The base phrases and their labels.
@@ -98,7 +101,7 @@ NAMES = [
     ("busl-1.1", "business source (?:license|licence)", "business source"),
     ("sspl-1.0", "server side public (?:license|licence)", "server side public"),
     ("elastic-2.0", "elastic (?:license|licence)(?: 2 0)?", "elastic"),
-    ("cc0-1.0", "cc0(?: 1 0)?(?: universal)?|creative commons zero", "cc0|creative commons"),
+    ("cc0-1.0", "cc0(?: 1 0)?(?: universal(?! permissive))?|creative commons zero", "cc0|creative commons"),
     ("cc-by-nc-sa", "cc by nc sa(?: [1-4] [05])?|creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?", "cc by nc|creative commons"),
     ("cc-by-nc-nd", "cc by nc nd(?: [1-4] [05])?|creative commons attribution non ?commercial no ?derivatives?(?: [1-4] [05])?", "cc by nc|creative commons"),
     ("cc-by-nc", "cc by nc(?: [1-4] [05])?|creative commons attribution non ?commercial(?: [1-4] [05])?", "cc by nc|creative commons"),
@@ -108,13 +111,13 @@ NAMES = [
     ("cc-by-3.0", "cc by 3(?: 0)?|creative commons attribution 3(?: 0)?", "cc by 3|creative commons"),
     ("cc-by-any", "creative commons attribution", "creative commons"),
 ]
-# How a name is stated, strongest first: what stands before it, what may follow, weight.
+# How a name is stated, strongest first: what stands before it, weight.
 STATED = [
-    (r"(?:spdx license identifier) (?:{name})", 1.0),
-    (r"(?:(?:re)?licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name})", 0.95),
-    (r"(?:subject to|under|governed by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name})", 0.9),
-    (r"(?:license|licence) (?:type )?(?:is )?(?:the )?(?:{name})", 0.85),
-    (r"(?:{name})", 0.8),
+    (r"(?:spdx license identifier) ", 1.0),
+    (r"(?:(?:re)?licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?", 0.95),
+    (r"(?:subject to|under|governed by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?", 0.9),
+    (r"(?:license|licence) (?:type )?(?:is )?(?:the )?", 0.85),
+    ("", 0.8),
 ]
 # Passages that licenses are known by, and statements without a license name.
 PASSAGES = [
@@ -143,8 +146,8 @@ PASSAGES = [
 
 def signature_rules() -> list[Rule]:
     """All rules in order of priority: passages, then every license name in every way it is stated."""
-    named = [Rule(label, how.format(name=pattern), keyword, weight)
-             for how, weight in STATED for label, pattern, keyword in NAMES]
+    named = [Rule(label, f"{lead}(?:{pattern})", keyword, weight, lead=lead)
+             for lead, weight in STATED for label, pattern, keyword in NAMES]
     return [*PASSAGES, *named]
 
 
@@ -157,25 +160,26 @@ def _spaces(text: Column) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
-SPAN = "array<struct<start:bigint,end:bigint,rank:int,label:string,weight:double,base:boolean>>"
+SPAN = "array<struct<start:bigint,core:bigint,end:bigint,rank:int,label:string,weight:double,base:boolean>>"
 
 
 def _places(words: Column, rule: Column) -> Column:
-    """Spans [start, end) in words of the matches of one rule, leftmost first and without overlap.
+    """Spans [start, end) in words of the matches of one rule and where their cores start, leftmost first and without overlap.
 
-    Matches are marked at both ends, and the marked words' places are read off: linear in the text.
+    Matches are marked at both ends and at the core, and the marked words' places are read off: linear in the text.
     """
     def spans(placed: Column) -> Column:
         starts = F.transform(F.filter(placed, lambda p: p["opens"]), lambda p: p["at"] - 1)
+        cores = F.transform(F.filter(placed, lambda p: p["cored"]), lambda p: p["at"] - 1)
         ends = F.transform(F.filter(placed, lambda p: p["closes"]), lambda p: p["at"])
-        return F.transform(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), rule["rank"].alias("rank"), rule["label"].alias("label"),
+        return F.transform(F.arrays_zip(starts.alias("start"), cores.alias("core"), ends.alias("end")), lambda s: F.struct(
+            s["start"].alias("start"), s["core"].alias("core"), s["end"].alias("end"), rule["rank"].alias("rank"), rule["label"].alias("label"),
             rule["weight"].alias("weight"), rule["base"].alias("base")))
 
-    marked = F.split(F.regexp_replace(words, rule["regex"], F.lit("\x01$0\x02")), " ")
+    marked = F.split(F.regexp_replace(words, rule["regex"], F.lit("\x01$1\x03$2\x02")), " ")
     placed = F.filter(F.transform(marked, lambda w, i: F.struct(
-        i.cast("long").alias("at"), w.startswith("\x01").alias("opens"), w.endswith("\x02").alias("closes"))),
-        lambda p: p["opens"] | p["closes"])
+        i.cast("long").alias("at"), w.startswith("\x01").alias("opens"), w.contains("\x03").alias("cored"),
+        w.endswith("\x02").alias("closes"))), lambda p: p["opens"] | p["cored"] | p["closes"])
     return F.when(F.regexp_like(words, rule["regex"]), let(placed, spans)).otherwise(F.array().cast(SPAN))
 
 
@@ -183,7 +187,7 @@ def _found(words: Column, rules: Sequence[Rule]) -> Column:
     """All detections in a text.  Keywords are looked for first; a text without any costs only that."""
     keywords = sorted({k for r in rules for k in r.keyword.split("|")})
     listed = F.array(*[F.struct(
-        F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("regex"),
+        F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(f"(?<= )({r.lead})({r.pattern.removeprefix(r.lead)})(?= )").alias("regex"),
         F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base"),
         F.array(*[F.lit(k) for k in r.keyword.split("|")]).alias("keys")) for i, r in enumerate(rules)])
     there = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: words.contains(F.concat(F.lit(" "), k)))
@@ -195,11 +199,27 @@ def _found(words: Column, rules: Sequence[Rule]) -> Column:
     return let(there, run)
 
 
+def _settled(members: Column) -> Column:
+    """What stays of one group of detections whose cores overlap: in order of priority, each that overlaps nothing kept or
+    holds all of the kept cores it overlaps, which it then replaces."""
+    def step(kept: Column, x: Column) -> Column:
+        def meets(k):
+            return (k["core"] < x["end"]) & (x["core"] < k["end"])
+
+        def holds(k):
+            return (x["core"] <= k["core"]) & (k["end"] <= x["end"]) & ((x["core"] < k["core"]) | (k["end"] < x["end"]))
+
+        return F.when(F.exists(kept, lambda k: meets(k) & ~holds(k)), kept).otherwise(
+            F.concat(F.filter(kept, lambda k: ~meets(k)), F.array(x)))
+
+    return F.aggregate(F.array_sort(members), F.filter(members, lambda _: F.lit(False)), step)
+
+
 def detections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] | None = None) -> DataFrame:
-    """One row per detection and one (with null span) per text without any: row, id, n_words, start, end, rank,
-    label, weight, base, stays.
+    """One row per detection and one (with null span) per text without any: row, id, n_words, start, core, end,
+    rank, label, weight, base, stays.
 
-    ``start`` and ``end`` count words from 0, end exclusive.  ``stays`` tells what suppression leaves; base
+    ``start``, ``core`` and ``end`` count words from 0, end exclusive.  ``stays`` tells what suppression leaves; base
     detections always stay.
     """
     rules = [*BASE, *(signature_rules() if rules is None else rules)]
@@ -210,17 +230,18 @@ def detections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     # All that follows works within a row, so this is the only shuffle.
     each = scanned.select("row", "id", "n_words", F.inline_outer("found")).repartition("row")
     # Base detections stand apart: they neither suppress nor are suppressed.
-    one = Window.partitionBy("row", "base")
-    order = one.orderBy("start", F.col("end").desc(), "rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # A detection that holds this one comes before it in this order, so the largest end so far decides.
-    outer = each.withColumn("inside", F.coalesce(F.max("end").over(before) >= F.col("end"), F.lit(False)) & ~F.col("base"))
-    # Of what is left starts and ends both ascend, so only neighbours can overlap.
-    left = Window.partitionBy("row", "base", "inside").orderBy("start")
-    worse = (((F.lag("end").over(left) > F.col("start")) & (F.lag("rank").over(left) < F.col("rank")))
-             | ((F.lead("start").over(left) < F.col("end")) & (F.lead("rank").over(left) < F.col("rank"))))
-    stays = F.col("base") | (~F.col("inside") & ~F.coalesce(worse, F.lit(False)))
-    return outer.withColumn("stays", F.col("start").isNotNull() & stays).drop("inside")
+    order = Window.partitionBy("row", "base").orderBy("core", "end", "rank")
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    # A group begins where no core before it reaches.
+    cut = each.withColumn("cut", F.coalesce(F.max("end").over(before) <= F.col("core"), F.lit(True)).cast("long"))
+    groups = (cut.withColumn("group", F.sum("cut").over(so_far)).groupBy("row", "id", "n_words", "base", "group")
+              .agg(F.collect_list(F.struct("rank", "core", "start", "end", "label", "weight")).alias("members")))
+    alone = F.col("base") | (F.size("members") == 1)
+    told = let(_settled(F.col("members")), lambda kept: F.transform(F.col("members"), lambda m: m.withField("stays", m["start"].isNotNull() & F.exists(
+        kept, lambda k: (k["rank"] == m["rank"]) & (k["core"] == m["core"])))))
+    told = F.when(alone, F.transform(F.col("members"), lambda m: m.withField("stays", m["start"].isNotNull()))).otherwise(told)
+    return (groups.select("row", "id", "n_words", "base", F.inline(told))
+            .select("row", "id", "n_words", "start", "core", "end", "rank", "label", "weight", "base", "stays"))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] | None = None) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from cohortry.llm.licenses import BASE, Rule, detections, scan_licenses, signature_rules
@@ -67,6 +68,40 @@ def test_suppression_and_spans(spark):
     assert got == {("a", 1, 4, True), ("b", 2, 3, False), ("b", 5, 6, True), ("c", 3, 5, False), ("d", 1, 4, False)}
 
 
+def settled(cores):
+    """Brute force over whole texts: (core, end, rank) in order of rank, each that nothing kept overlaps without lying in it."""
+    kept = []
+    for x in sorted(cores, key=lambda x: (x[2], x)):
+        hit = [k for k in kept if k[0] < x[1] and x[0] < k[1]]
+        if all(x[0] <= k[0] and k[1] <= x[1] and k[:2] != x[:2] for k in hit):
+            kept = [k for k in kept if k not in hit] + [x]
+    return set(kept)
+
+
+def test_lists_of_licenses(spark):
+    """Every license of a list has its label, whatever stands beside it."""
+    lists = {"MIT License, ISC License, Zlib License": "isc,mit,zlib", "MIT License, Apache License 2.0": "apache-2.0,mit",
+             "Zlib License; MIT License; X11 license; ISC License; PostgreSQL License; OpenSSL License": "isc,mit,openssl,postgresql,x11,zlib",
+             "CC0 1.0, Universal Permissive License": "cc0-1.0,upl-1.0", "License: the BSD License or licensed under the MIT License": "bsd,mit",
+             "MIT License " * 3 + "ISC License " * 3: "isc,mit"}
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in scan_licenses(df).collect()} == dict(enumerate(lists.values()))
+
+
+def test_settled_over_whole_groups(spark):
+    words = "abcdefgh"
+    rng = random.Random(5)
+    for _ in range(3):
+        spans = [(i, i + n) for i in range(8) for n in (1, 2, 3, 4) if i + n <= 8]
+        rules = [Rule(str(k), " ".join(words[a:b]), words[a]) for k, (a, b) in enumerate(rng.sample(spans, 12))]
+        rows = [(i, " ".join(words[:i])) for i in range(9)]
+        got = sorted((r.id, r.core, r.end, r.rank - len(BASE)) for r in detections(spark.createDataFrame(rows, "doc_id long, text string"), rules=rules)
+                     .where("stays").collect())
+        found = {i: [(t.index(r.pattern) // 2, (t.index(r.pattern) + len(r.pattern) + 1) // 2, k) for k, r in enumerate(rules) if r.pattern in t]
+                 for i, t in rows}
+        assert got == sorted((i, *x) for i, cores in found.items() for x in settled(cores))
+
+
 def test_every_rule_holds_its_keyword():
     assert len(signature_rules()) > 200
     for r in [*BASE, *signature_rules()]:

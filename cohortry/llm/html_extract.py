@@ -42,7 +42,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
           "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                     "h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-# What is never main text, by element and by a word of its class, id or role.
+# What is never main text, by element, and the words of class, id or role tokens that propose boilerplate.
 BOILER_TAGS = frozenset("head nav footer aside form script style noscript template svg button select textarea input iframe menu dialog "
                         "object embed audio video canvas map".split())
 BOILER_WORDS = frozenset("nav navbar navigation menu menubar header masthead footer sidebar aside ad ads adv advert adverts advertisement "
@@ -51,6 +51,15 @@ BOILER_WORDS = frozenset("nav navbar navigation menu menubar header masthead foo
                          "disqus respond discussion related recommended recommendations breadcrumb breadcrumbs pagination pager widget "
                          "toolbar skip contentinfo complementary form disclaimer copyright tags meta byline".split())
 BOILER_BEGINNINGS = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sidebar", "sponsor")
+# Words that do not change what a token says, words of content that may precede what it names ('post-tags'), and words
+# that are headings' slugs as often as names when they stand in an id.
+FILL_WORDS = frozenset("area bar block bottom box button buttons container element global group icon icons inner item items left link links "
+                       "list main module outer panel primary region right secondary section site slot top unit wrap wrapper".split())
+OWNER_WORDS = frozenset("article entry page post story".split())
+OWN_WORDS = frozenset("banner form header masthead notice notices".split())      # of an article: 'post-header' holds its title
+SLUG_WORDS = frozenset("advertising alert consent copyright disclaimer discussion form meta notice notices notification promotion "
+                       "recommendations recommended related reply search sharing skip social tags".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CARD_WORDS = frozenset("ad advert advertisement comment comments promo related reply sponsored teaser widget".split())
 CONTENT_WORDS = frozenset("article content post entry story main body text".split())
 GROUP = 32              # expressions aligned in one group
@@ -59,8 +68,21 @@ MANY = 150              # folded siblings beyond which their order is given up:
 SHARE = 0.6             # of a host's text that an inner container must hold to stand for the page
 
 
+@functools.lru_cache(100_000)
+def proposal(token: str) -> tuple[str, bool]:
+    """The boilerplate word that a whole token of a class, id or role stands for, empty for none, and whether it is one
+    word.  Every word must have its part in it: 'ad-slot' and 'post-tags' do, 'has-sidebar' and 'social-impact' not."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if w]
+    named = [w for w in words if w in BOILER_WORDS or w.startswith(BOILER_BEGINNINGS)]
+    rest = [w for w in words if w not in named and w not in FILL_WORDS]
+    if not named or rest and (words[0] not in OWNER_WORDS or len(rest) > 1 or words[-1] not in named or OWN_WORDS & set(named)):
+        return "", False
+    return named[0], len(words) == 1
+
+
 def signature(tag: str, attrs: str) -> str:
-    """An element's name in the expression: tag and the words of its class, id and role, without digits."""
+    """An element's name in the expression: tag, "hidden", the words of its class, id and role without digits, and, after
+    a "~", the words by which whole tokens propose that it is boilerplate."""
     if not attrs or attrs.isspace():
         return tag
     words = set()
@@ -69,22 +91,37 @@ def signature(tag: str, attrs: str) -> str:
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             words.add("hidden")
         elif name in ("class", "id", "role"):
-            words.update(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()) if w)
+            for token in value.split():
+                words.update(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if w and w != "hidden")
+                if name != "id" and token.lower() == "hidden":
+                    words.add("hidden")
+                word, single = proposal(token)
+                if not word or tag in ("html", "body", "main") or tag == "article" and word not in CARD_WORDS:
+                    continue
+                if name != "id" or tag not in HEADINGS and not (single and word in SLUG_WORDS):
+                    words.add("~" + word)
     return ".".join([tag, *sorted(words)])
 
 
-def boiler(sig: str, inside_article: bool) -> bool:
+def never(sig: str, inside_article: bool) -> bool:
     """Whether an element with this signature never holds main text."""
     tag, *words = sig.split(".")
-    if tag in BOILER_TAGS or "hidden" in words:
-        return True
-    if tag == "header":
-        return not inside_article
-    if tag in ("html", "body"):
-        return False
-    if tag in ("article", "main"):
-        return any(w in CARD_WORDS for w in words)
-    return any(w in BOILER_WORDS or w.startswith(BOILER_BEGINNINGS) for w in words)
+    return tag in BOILER_TAGS or "hidden" in words or tag == "header" and not inside_article
+
+
+def proposed(sig: str) -> bool:
+    """Whether the names of an element propose that it is boilerplate; host and page can show that it is not."""
+    return ".~" in sig
+
+
+def boiler(sig: str, inside_article: bool) -> bool:
+    """Whether an element with this signature is boilerplate as far as it tells itself."""
+    return never(sig, inside_article) or proposed(sig)
+
+
+def whole(sig: str) -> bool:
+    """Whether this is an article or main element that is no card."""
+    return sig.split(".")[0] in ("article", "main") and not proposed(sig)
 
 
 def walk(page: str) -> Iterator[tuple[str, object]]:
@@ -231,18 +268,56 @@ def page_expression(page: str) -> tuple[list, Counter]:
 
 
 @functools.lru_cache(100_000)
-def clean(path: str) -> bool:
-    """Whether no element on the path is boilerplate."""
-    inside = False
-    for sig in path.split("/") if path else ():
-        if boiler(sig, inside):
-            return False
+def standing(path: str) -> tuple[bool, tuple[str, ...], bool, bool]:
+    """Of the elements on a path: whether none of them is never main text, the paths of those proposed as boilerplate, and
+    whether an article or main element stands on the path and below the last of them."""
+    inside, below, marks = False, False, []
+    parts = path.split("/") if path else []
+    for k, sig in enumerate(parts):
+        if never(sig, inside):
+            return False, (), inside, below
+        if proposed(sig):
+            marks.append("/".join(parts[:k + 1]))
+            below = False
         inside = inside or sig.split(".")[0] in ("article", "main")
-    return True
+        below = below or whole(sig)
+    return True, tuple(marks), inside, below
+
+
+def clean(path: str) -> bool:
+    """Whether no element on the path is boilerplate as far as names tell."""
+    fine, marks, _, _ = standing(path)
+    return fine and not marks
 
 
-def containers(wrapper: list, mass: dict[str, int]) -> list[list[str]]:
-    """The wrapper's containers of main text, as levels of element paths; a page is read from the first level it fills.
+def heavy(mass: dict[str, int]) -> list[str]:
+    """Paths of elements proposed as boilerplate that hold most of a host's text: their names do not say what they are."""
+    total: Counter = Counter()
+    for path, n in mass.items():
+        fine, marks, _, _ = standing(path)
+        if fine:
+            for mark in ("", *marks):
+                total[mark] += n
+    return sorted(p for p, n in total.items() if p and 2 * n > total[""])
+
+
+def spared(found: list[tuple[str, str]], held: list[str]) -> set[str]:
+    """Paths of proposed elements that are main text on a page: those whose article or main elements hold no less than
+    those outside all of them, and, where a page has none outside, those that hold most of the host's text."""
+    outside, within = 0, Counter()
+    for path, text in found:
+        _, marks, inside, below = standing(path)
+        if not marks:
+            outside += len(text.strip()) if inside else 0
+        elif below:
+            for mark in marks:
+                within[mark] += len(text.strip())
+    return {p for p, n in within.items() if n >= max(outside, 1)} | (set() if outside else set(held))
+
+
+def containers(wrapper: list, mass: dict[str, int]) -> dict[str, list]:
+    """The rules of a host: under "heavy" see :func:`heavy`, and under "levels" the wrapper's containers of main text, as
+    levels of element paths; a page is read from the first level it fills.
 
     Article elements, then the main element, then containers named for content, then the innermost container that
     holds most of the text; a level that holds little of the host's text comes after those that hold more of it.
@@ -285,23 +360,23 @@ def containers(wrapper: list, mass: dict[str, int]) -> list[list[str]]:
     levels.append([inner])
     levels = [x for x in levels if x]
     strong = [x for x in levels if sum(total[p] for p in x) >= total[""] / 4]
-    return [*strong, *(x for x in levels if x not in strong), [""]]
+    return {"heavy": heavy(mass), "levels": [*strong, *(x for x in levels if x not in strong), [""]]}
 
 
-def extract(page: str, levels: list[list[str]]) -> str:
-    """The main text of a page by its host's levels: one line per block, white space inside a block as one space."""
+def extract(page: str, rules: dict[str, list]) -> str:
+    """The main text of a page by its host's rules: one line per block, white space inside a block as one space."""
     found, path, held = [], [], []
 
     def flush():
-        text = " ".join("".join(held).split())
-        if text:
-            found.append(("/".join(path), text))
+        if any(not t.isspace() for _, t in held):
+            found.append(("/".join(path), held[:]))
         held.clear()
 
     for kind, value in walk(page):
         if kind == "text":
-            if clean("/".join(path)):
-                held.append(html.unescape(value))
+            here = "/".join(path)
+            if standing(here)[0]:
+                held.append((here, html.unescape(value)))
             continue
         # An inline element that is boilerplate goes without cutting the block around it.
         if value is None or value.split(".")[0] not in INLINE:
@@ -311,7 +386,10 @@ def extract(page: str, levels: list[list[str]]) -> str:
         elif kind == "close":
             path.pop()
     flush()
-    for level in levels:
+    kept = spared([(here, t) for _, pieces in found for here, t in pieces], rules["heavy"])
+    blocks = [(at, " ".join("".join(t for here, t in pieces if kept.issuperset(standing(here)[1])).split())) for at, pieces in found]
+    found = [(at, t) for at, t in blocks if t]
+    for level in rules["levels"]:
         lines = [t for at, t in found if any(not c or at == c or at.startswith(c + "/") for c in level)]
         if lines:
             return "\n".join(lines)

@@ -49,6 +49,26 @@ def test_main_text():
     assert len(json.dumps(page_expression(mixed)[0])) < 2000
 
 
+def test_names_only_propose():
+    """A word of a name does not throw main text away."""
+    body = "<p>The first paragraph of the text.</p><p>And the second.</p>"
+    text = "The first paragraph of the text.\nAnd the second."
+    for wrapped in ("<div class='content-sidebar-wrap'>{}</div>", "<div class='site has-sidebar'>{}</div>", "<div class='post category-cookies'>{}</div>",
+                    "<article class='post category-comment'>{}</article>", "<div class='sidebar'><article>{}</article></div>",
+                    "<div id='comments'><main>{}</main></div>", "<section id='discussion'>{}</section>", "<div id='related-work'>{}</div>",
+                    "<div class='widget'>{}</div>", "<div class='widget'><div class='banner'><article>{}</article></div></div>"):
+        page = f"<body><div class='menu'>Home</div>{wrapped.format(body)}<div class='ad-slot'>Buy</div><div class='post-tags'>Spain</div></body>"
+        assert extract(page, levels_of(page)) == text, wrapped
+    page = "<article><h2 id='social-impact'>Impact</h2><p>x</p><section id='discussion'><h2 id='notice'>Talk</h2><p>y</p></section></article>"
+    assert extract(page, levels_of(page)) == "Impact\nx\nTalk\ny"
+    # A page of a rare template is not emptied by its host; cards and comments beside an article stay out.
+    rare = "<div class='sidebar'><article>" + body + "</article></div>"
+    common = "<article><p>" + "A long text. " * 40 + "</p></article><div class='related'><article>Next</article></div><ul class='comments'><li>me too</ul>"
+    both = levels_of(*[common] * 5, rare)
+    assert extract(rare, both) == text
+    assert extract(common, both) == " ".join(["A long text."] * 40)
+
+
 def test_expressions():
     a = page_expression("<ul><li>x</li><li>y</li></ul>")[0]
     assert a == [["ul", "1", [["li", "+", [["#", "1", []]]]]]]

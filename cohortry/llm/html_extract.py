@@ -4,8 +4,8 @@ A page's token stream is folded into a union-free regular expression over its el
 neighbouring elements or runs of up to three elements that repeat become one repeated group (very many siblings without
 such an order become one group in which each is optional).  The expressions of a host are aligned one after the other; parts that only one side has become optional, counts that differ become
 repeats, until one wrapper describes every page of the host.  Slots carry the elements they stand in and, over all
-pages of the host, how much text they held.  From these the wrapper's containers of main text are chosen, in order of
-preference, and each page's text is read from the first of them that it fills.
+pages of the host, how much text they held.  A page's main text is all of its text that does not stand in boilerplate:
+titles, leads and what follows stay beside an article or the container that holds most.
 
 All pages take part in the wrapper of their host.  Equal expressions are counted before they are aligned, and a host
 with many different ones is aligned in rounds of bounded groups, so neither a large host nor an irregular one ends up
@@ -61,11 +61,9 @@ SLUG_WORDS = frozenset("advertising alert consent copyright disclaimer discussio
                        "recommendations recommended related reply search sharing skip social tags".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CARD_WORDS = frozenset("ad advert advertisement comment comments promo related reply sponsored teaser widget".split())
-CONTENT_WORDS = frozenset("article content post entry story main body text".split())
 GROUP = 32              # expressions aligned in one group
 DEEP = 100              # levels beyond which an element only ends the block before it
 MANY = 150              # folded siblings beyond which their order is given up: (a* b* c*)+
-SHARE = 0.6             # of a host's text that an inner container must hold to stand for the page
 
 
 @functools.lru_cache(100_000)
@@ -316,55 +314,15 @@ def spared(found: list[tuple[str, str]], held: list[str]) -> set[str]:
 
 
 def containers(wrapper: list, mass: dict[str, int]) -> dict[str, list]:
-    """The rules of a host: under "heavy" see :func:`heavy`, and under "levels" the wrapper's containers of main text, as
-    levels of element paths; a page is read from the first level it fills.
-
-    Article elements, then the main element, then containers named for content, then the innermost container that
-    holds most of the text; a level that holds little of the host's text comes after those that hold more of it.
-    """
-    total: Counter = Counter()
-    for path, n in mass.items():
-        if clean(path):
-            parts = path.split("/") if path else []
-            for k in range(len(parts) + 1):
-                total["/".join(parts[:k])] += n
-    paths: list[str] = []
-
-    def visit(nodes: list, above: str):
-        for sig, _, inner in nodes:
-            if sig == "()":
-                visit(inner, above)
-            elif sig != "#":
-                here = f"{above}/{sig}" if above else sig
-                if clean(here):
-                    paths.append(here)
-                    visit(inner, here)
-
-    visit(wrapper, "")
-
-    def outermost(found: list[str]) -> list[str]:
-        return [p for p in found if not any(p != q and p.startswith(q + "/") for q in found)]
-
-    last = {p: p.rsplit("/", 1)[-1].split(".") for p in paths}
-    levels = [outermost([p for p in paths if last[p][0] == "article"]),
-              outermost([p for p in paths if last[p][0] == "main" or "main" in last[p][1:]]),
-              outermost([p for p in paths if last[p][0] in ("div", "section", "td") and CONTENT_WORDS & set(last[p][1:])])]
-    inner, children = "", sorted(paths, key=len)
-    while True:
-        below = [p for p in children if p.count("/") == (inner.count("/") + 1 if inner else 0) and p.startswith(inner + "/" if inner else "")
-                 and last[p][0] in ("html", "body", "div", "section", "center", "table", "tbody", "tr", "td", "main", "article")]
-        best = max(below, key=lambda p: (total[p], p), default=None)
-        if best is None or total[best] < SHARE * max(total[""], 1):
-            break
-        inner = best
-    levels.append([inner])
-    levels = [x for x in levels if x]
-    strong = [x for x in levels if sum(total[p] for p in x) >= total[""] / 4]
-    return {"heavy": heavy(mass), "levels": [*strong, *(x for x in levels if x not in strong), [""]]}
+    """The rules of a host: under "heavy" see :func:`heavy`."""
+    return {"heavy": heavy(mass)}
 
 
 def extract(page: str, rules: dict[str, list]) -> str:
-    """The main text of a page by its host's rules: one line per block, white space inside a block as one space."""
+    """The main text of a page by its host's rules, all that does not stand in boilerplate.
+
+    One line per block, white space inside a block as one space.
+    """
     found, path, held = [], [], []
 
     def flush():
@@ -387,13 +345,8 @@ def extract(page: str, rules: dict[str, list]) -> str:
             path.pop()
     flush()
     kept = spared([(here, t) for _, pieces in found for here, t in pieces], rules["heavy"])
-    blocks = [(at, " ".join("".join(t for here, t in pieces if kept.issuperset(standing(here)[1])).split())) for at, pieces in found]
-    found = [(at, t) for at, t in blocks if t]
-    for level in rules["levels"]:
-        lines = [t for at, t in found if any(not c or at == c or at.startswith(c + "/") for c in level)]
-        if lines:
-            return "\n".join(lines)
-    return ""
+    lines = (" ".join("".join(t for here, t in pieces if kept.issuperset(standing(here)[1])).split()) for _, pieces in found)
+    return "\n".join(t for t in lines if t)
 
 
 def host_of(url):
@@ -454,12 +407,12 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     def chosen(wrappers: pd.Series, masses: pd.Series) -> pd.Series:
         return pd.Series([json.dumps(containers(json.loads(w), dict(m or {}))) for w, m in zip(wrappers, masses)], dtype="object")
 
-    rules = durable(infer_wrappers(pages).select("host", chosen("wrapper", "mass").alias("levels")), "wrappers")
+    rules = durable(infer_wrappers(pages).select("host", chosen("wrapper", "mass").alias("rules")), "wrappers")
 
     @F.pandas_udf("string")
-    def text(pages: pd.Series, levels: pd.Series) -> pd.Series:
+    def text(pages: pd.Series, rules: pd.Series) -> pd.Series:
         parsed: dict[str, list] = {}
-        return pd.Series([extract(p, parsed.get(x) or parsed.setdefault(x, json.loads(x))) for p, x in zip(pages, levels)], dtype="object")
+        return pd.Series([extract(p, parsed.get(x) or parsed.setdefault(x, json.loads(x))) for p, x in zip(pages, rules)], dtype="object")
 
-    return (pages.join(rules, "host").select(F.col("id").alias(id_col), F.col("url").alias(url_col), text("html", "levels").alias("text"))
+    return (pages.join(rules, "host").select(F.col("id").alias(id_col), F.col("url").alias(url_col), text("html", "rules").alias("text"))
             .withColumn("n_chars", F.length("text").cast("long")))

@@ -69,6 +69,19 @@ def test_names_only_propose():
     assert extract(common, both) == " ".join(["A long text."] * 40)
 
 
+def test_clean_text_beside_the_main_container_stays():
+    half = "<p>A paragraph of some length.</p>" * 3
+    pages = {f"<body><h1>T</h1><p>lead</p><div>{half}</div><p>end</p></body>": ["T", "lead", "end"],
+             f"<main><h1>Title</h1><article>{half}</article></main>": ["Title"],
+             f"<body><article>Short card</article><div>{half}</div></body>": ["Short card"],
+             f"<body><div class='entry'>{half}</div><section>More</section></body>": ["More"]}
+    every = levels_of(*pages)
+    for page, beside in pages.items():
+        for rules in (levels_of(page), every):
+            lines = extract(page, rules).split("\n")
+            assert set(beside) < set(lines) and lines.count("A paragraph of some length.") == 3
+
+
 def test_expressions():
     a = page_expression("<ul><li>x</li><li>y</li></ul>")[0]
     assert a == [["ul", "1", [["li", "+", [["#", "1", []]]]]]]

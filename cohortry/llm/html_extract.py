@@ -5,7 +5,8 @@ neighbouring elements or runs of up to three elements that repeat become one rep
 such an order become one group in which each is optional).  The expressions of a host are aligned one after the other; parts that only one side has become optional, counts that differ become
 repeats, until one wrapper describes every page of the host.  Slots carry the elements they stand in and, over all
 pages of the host, how much text they held.  A page's main text is all of its text that does not stand in boilerplate:
-titles, leads and what follows stay beside an article or the container that holds most.
+titles, leads and what follows stay beside an article or the container that holds most.  Of it the template's text goes:
+what outside article and main elements is the same in one slot of every page of the host that has the slot.
 
 All pages take part in the wrapper of their host.  Equal expressions are counted before they are aligned, and a host
 with many different ones is aligned in rounds of bounded groups, so neither a large host nor an irregular one ends up
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import difflib
 import functools
+import hashlib
 import html
 import json
 import re
@@ -64,6 +66,7 @@ CARD_WORDS = frozenset("ad advert advertisement comment comments promo related r
 GROUP = 32              # expressions aligned in one group
 DEEP = 100              # levels beyond which an element only ends the block before it
 MANY = 150              # folded siblings beyond which their order is given up: (a* b* c*)+
+SEVERAL = 5             # different pages of a host that must have a slot before its text counts as the template's
 
 
 @functools.lru_cache(100_000)
@@ -313,16 +316,24 @@ def spared(found: list[tuple[str, str]], held: list[str]) -> set[str]:
     return {p for p, n in within.items() if n >= max(outside, 1)} | (set() if outside else set(held))
 
 
-def containers(wrapper: list, mass: dict[str, int]) -> dict[str, list]:
-    """The rules of a host: under "heavy" see :func:`heavy`."""
-    return {"heavy": heavy(mass)}
+def containers(wrapper: list, mass: dict[str, int], constant: list[tuple[str, str]] = ()) -> dict[str, list]:
+    """The rules of a host: under "heavy" see :func:`heavy`, under "template" the keys of text that stands in a slot of the
+    wrapper on every page; ``constant`` has the paths of slots and keys."""
+    slots: set[str] = set()
 
+    def visit(nodes: list, above: str):
+        for sig, _, inner in nodes:
+            if sig == "#":
+                slots.add(above)
+            else:
+                visit(inner, above if sig == "()" else f"{above}/{sig}" if above else sig)
 
-def extract(page: str, rules: dict[str, list]) -> str:
-    """The main text of a page by its host's rules, all that does not stand in boilerplate.
+    visit(wrapper, "")
+    return {"heavy": heavy(mass), "template": sorted(key for path, key in constant if path in slots)}
 
-    One line per block, white space inside a block as one space.
-    """
+
+def page_blocks(page: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """The blocks of a page that hold text outside of what never is main text: path, and pieces of text with their paths."""
     found, path, held = [], [], []
 
     def flush():
@@ -344,7 +355,29 @@ def extract(page: str, rules: dict[str, list]) -> str:
         elif kind == "close":
             path.pop()
     flush()
+    return found
+
+
+def text_key(path: str, pieces: list[tuple[str, str]]) -> str:
+    """What tells the text of a block in a slot from other texts and other slots."""
+    return hashlib.blake2b(f"{path}\n{' '.join(''.join(t for _, t in pieces).split())}".encode("utf-8", "surrogatepass"), digest_size=10).hexdigest()
+
+
+def page_texts(page: str) -> tuple[list[tuple[str, str, int]], int]:
+    """The different (path, key, characters) of a page's blocks outside article and main elements, and the characters of all."""
+    blocks = [(at, pieces, sum(len("".join(t.split())) for _, t in pieces)) for at, pieces in page_blocks(page)]
+    return sorted({(at, text_key(at, pieces), n) for at, pieces, n in blocks if not standing(at)[2]}), sum(n for _, _, n in blocks)
+
+
+def extract(page: str, rules: dict[str, list]) -> str:
+    """The main text of a page by its host's rules, all that does not stand in boilerplate and is not the template's.
+
+    One line per block, white space inside a block as one space.
+    """
+    found = page_blocks(page)
     kept = spared([(here, t) for _, pieces in found for here, t in pieces], rules["heavy"])
+    if rules["template"]:
+        found = [(at, pieces) for at, pieces in found if standing(at)[2] or text_key(at, pieces) not in rules["template"]]
     lines = (" ".join("".join(t for here, t in pieces if kept.issuperset(standing(here)[1])).split()) for _, pieces in found)
     return "\n".join(t for t in lines if t)
 
@@ -354,9 +387,9 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def infer_wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
-    """One row (host, wrapper, mass) per host; ``pages`` has host and html.  wrapper is the expression in JSON, mass maps
-    element paths to characters of text over all pages of the host."""
+def _counted(pages: DataFrame) -> DataFrame:
+    """Rows (host, kind, key, n): equal "page" expressions, "mass" of text under element paths, and the "text" of pages
+    outside article and main elements, one row for equal pages."""
     def fold_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             seen: Counter = Counter()
@@ -365,11 +398,41 @@ def infer_wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
                 seen[host, "page", json.dumps(nodes)] += 1
                 for path, n in mass.items():
                     seen[host, "mass", path] += n
+                texts, total = page_texts(page)
+                if texts:
+                    which = hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=10).hexdigest()
+                    seen[host, "text", json.dumps({"page": which, "total": total, "texts": [dict(zip(("path", "key", "n"), t)) for t in texts]})] += 1
             yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "kind", "key", "n"])
 
-    counted = durable(pages.select("host", "html").mapInPandas(fold_pages, "host string, kind string, key string, n long")
-                      .groupBy("host", "kind", "key").agg(F.sum("n").alias("n")), "expressions")
+    return durable(pages.select("host", "html").mapInPandas(fold_pages, "host string, kind string, key string, n long")
+                   .groupBy("host", "kind", "key").agg(F.sum("n").alias("n")), "expressions")
+
+
+def _constants(counted: DataFrame) -> DataFrame:
+    """Rows (host, constant): the slots outside article and main elements with the one text that stands in each of them on
+    all different pages that have the slot, at least SEVERAL.  Hosts of near copies, where such text is more than half of
+    all, have none."""
+    read = F.from_json("key", "page string, total long, texts array<struct<path:string,key:string,n:long>>")
+    texts = counted.where("kind = 'text'").select("host", read.alias("of"))
+    slots = (texts.select("host", F.explode(F.array_distinct(F.col("of.texts.path"))).alias("path"))
+             .groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= SEVERAL))
+    # What varies goes before anything meets.
+    same = (texts.select("host", F.inline("of.texts")).groupBy("host", "path", "key")
+            .agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n")).where(F.col("pages") >= SEVERAL))
+    totals = texts.groupBy("host").agg(F.sum("of.total").alias("total"))
+    return (same.join(slots, ["host", "path", "pages"]).groupBy("host")
+            .agg(F.collect_list(F.struct("path", "key")).alias("constant"), F.sum("n").alias("n"))
+            .join(totals, "host").where(F.col("n") * 2 <= F.col("total")).select("host", "constant"))
+
 
+def infer_wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
+    """One row (host, wrapper, mass) per host; ``pages`` has host and html.  wrapper is the expression in JSON, mass maps
+    element paths to characters of text over all pages of the host."""
+    return _aligned(_counted(pages), group)
+
+
+def _aligned(counted: DataFrame, group: int = GROUP) -> DataFrame:
+    """The wrappers of :func:`infer_wrappers` from counted expressions."""
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         # The commonest first: what is rare is aligned to it, and the order is the same in every run.
         rows = rows.sort_values(["n", "key"], ascending=[False, True])
@@ -404,10 +467,14 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
                       host_of(col(url_col).cast("string")).alias("host"))
 
     @F.pandas_udf("string")
-    def chosen(wrappers: pd.Series, masses: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(containers(json.loads(w), dict(m or {}))) for w, m in zip(wrappers, masses)], dtype="object")
-
-    rules = durable(infer_wrappers(pages).select("host", chosen("wrapper", "mass").alias("rules")), "wrappers")
+    def chosen(wrappers: pd.Series, masses: pd.Series, constants: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(containers(json.loads(w), dict(m or {}), [tuple(x) for x in json.loads(c)]))
+                          for w, m, c in zip(wrappers, masses, constants)], dtype="object")
+
+    counted = _counted(pages)
+    constants = _constants(counted).select("host", F.to_json(F.transform("constant", lambda x: F.array(x["path"], x["key"]))).alias("constant"))
+    rules = durable(_aligned(counted).join(constants, "host", "left").select(
+        "host", chosen("wrapper", "mass", F.coalesce("constant", F.lit("[]"))).alias("rules")), "wrappers")
 
     @F.pandas_udf("string")
     def text(pages: pd.Series, rules: pd.Series) -> pd.Series:

@@ -102,6 +102,25 @@ def reference_text(page):
     return "\n".join(x for x in lines if x)
 
 
+def test_text_of_the_template_goes(spark):
+    """What stands in one slot of every page of a host is its template's; what varies, and what is in an article, stays."""
+    page = ("<body><div class='strap'>Follow us daily</div><h1>Title {0}</h1><div><p>Text {0}</p><p>Same in the article's place {1}</p></div>"
+            "<article><h2>Summary</h2><p>Long text number {0} of this host, with many words of its own in every page.</p></article></body>")
+    rows = [(i, "http://a.example/", page.format(i, i % 2)) for i in range(8)] * 2
+    rows += [(100 + i, "http://few.example/", page.format(i, 0)) for i in range(4)] + [(200, "http://copies.example/", page.format(0, 0))] * 9
+    # Near copies are no template.
+    rows += [(300 + i, "http://near.example/", f"<p>{'A long passage. ' * 9}</p><div>{i}</div>") for i in range(9)]
+    got = {r.page_id: r.text.split("\n") for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, lines in got.items():
+        i, seen = k % 100, "Follow us daily" in lines
+        if k >= 300:
+            assert lines == [("A long passage. " * 9).strip(), str(i)]
+            continue
+        assert seen == (k >= 100)
+        assert lines[seen:] == [f"Title {i}", f"Text {i}", f"Same in the article's place {i % 2 if k < 100 else 0}", "Summary",
+                                f"Long text number {i} of this host, with many words of its own in every page."]
+
+
 def test_registered_query(spark):
     path = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{path}/pages.parquet").collect()

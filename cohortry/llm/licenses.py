@@ -13,6 +13,7 @@ that overlap, and each group is settled in order of priority.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -49,52 +50,52 @@ NAMES = [
     ("lgpl-2.1", "(?:gnu )?lesser general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2 1", "lesser general"),
     ("lgpl-2.0", "(?:gnu )?library general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?", "library general"),
     ("lgpl", "(?:gnu )?(?:lesser|library) general public license|lgpl(?: v?[0-9]+(?: [0-9])?)?", "lgpl|lesser general|library general"),
-    ("gpl-3.0", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?|gpl ?v?3(?: 0)?", "gpl|general public"),
-    ("gpl-2.0", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?|gpl ?v?2(?: 0)?", "gpl|general public"),
+    ("gpl-3.0", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?|(?:gnu )?gpl ?(?:version |v ?)?3(?: 0)?", "gpl|general public"),
+    ("gpl-2.0", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?|(?:gnu )?gpl ?(?:version |v ?)?2(?: 0)?(?! clause)", "gpl|general public"),
     ("gpl-1.0", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?1(?: 0)?", "general public"),
-    ("apache-2.0", "apache (?:software )?(?:license|licence) (?:version |v)?2(?: 0)?|apache 2(?: 0)?", "apache"),
-    ("apache-1.1", "apache (?:software )?(?:license|licence) (?:version |v)?1 1", "apache"),
-    ("apache-1.0", "apache (?:software )?(?:license|licence) (?:version |v)?1 0", "apache"),
+    ("apache-2.0", "apache (?:software )?(?:license|licence) (?:version |v ?)?2(?: 0)?(?! clause)|apache (?:version |v ?)?2(?: 0)?(?! clause)", "apache"),
+    ("apache-1.1", "apache (?:software )?(?:license|licence) (?:version |v ?)?1 1", "apache"),
+    ("apache-1.0", "apache (?:software )?(?:license|licence) (?:version |v ?)?1 0", "apache"),
     ("mit-0", "mit no attribution(?: license| licence)?|mit 0", "mit no|mit 0"),
-    ("mit", "mit (?:license|licence)", "mit licen"),
+    ("mit", "mit (?:x11 |expat )?(?:license|licence)|expat (?:license|licence)", "mit licen|mit x11|mit expat|expat"),
     ("x11", "x11 (?:license|licence)", "x11"),
     ("isc", "isc (?:license|licence)", "isc"),
-    ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd)(?: license| licence)?|original bsd (?:license|licence)", "bsd"),
-    ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd)(?: license| licence)?|(?:new|modified|revised) bsd (?:license|licence)", "bsd"),
-    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd)(?: license| licence)?|(?:simplified|freebsd) bsd (?:license|licence)", "bsd"),
+    ("bsd-4-clause", "(?:bsd 4 clause|(?:4|four) clause bsd)(?: license| licence)?|original bsd (?:license|licence)", "bsd"),
+    ("bsd-3-clause", "(?:bsd 3 clause|(?:3|three) clause bsd)(?: license| licence)?|(?:new|modified|revised) bsd (?:license|licence)", "bsd"),
+    ("bsd-2-clause", "(?:bsd 2 clause|(?:2|two) clause bsd)(?: license| licence)?|(?:simplified|freebsd) bsd (?:license|licence)", "bsd"),
     ("bsd-1-clause", "(?:bsd 1 clause|1 clause bsd)(?: license| licence)?", "bsd"),
     ("0bsd", "(?:0bsd|bsd 0 clause|zero clause bsd)(?: license| licence)?", "0bsd|bsd 0|zero clause"),
     ("bsd", "bsd (?:style )?(?:license|licence)", "bsd"),
-    ("mpl-2.0", "mozilla public (?:license|licence) (?:version |v)?2(?: 0)?|mpl 2(?: 0)?", "mozilla|mpl"),
-    ("mpl-1.1", "mozilla public (?:license|licence) (?:version |v)?1 1|mpl 1 1", "mozilla|mpl"),
-    ("mpl-1.0", "mozilla public (?:license|licence) (?:version |v)?1 0|mpl 1 0", "mozilla|mpl"),
-    ("epl-2.0", "eclipse public (?:license|licence) (?:version |v)?2(?: 0)?|epl 2(?: 0)?", "eclipse|epl"),
-    ("epl-1.0", "eclipse public (?:license|licence) (?:version |v)?1(?: 0)?|epl 1(?: 0)?", "eclipse|epl"),
-    ("cpl-1.0", "common public (?:license|licence)(?: (?:version |v)?1 0)?", "common public"),
-    ("cddl-1.1", "common development and distribution (?:license|licence) (?:version |v)?1 1", "common development"),
-    ("cddl-1.0", "common development and distribution (?:license|licence)(?: (?:version |v)?1 0)?|cddl", "common development|cddl"),
-    ("eupl-1.2", "european union public (?:license|licence) (?:version |v)?1 2|eupl 1 2", "european union|eupl"),
-    ("eupl-1.1", "european union public (?:license|licence) (?:version |v)?1 1|eupl 1 1", "european union|eupl"),
-    ("artistic-2.0", "artistic (?:license|licence) 2(?: 0)?", "artistic"),
+    ("mpl-2.0", "mozilla public (?:license|licence) (?:version |v ?)?2(?: 0)?|mpl 2(?: 0)?", "mozilla|mpl"),
+    ("mpl-1.1", "mozilla public (?:license|licence) (?:version |v ?)?1 1|mpl 1 1", "mozilla|mpl"),
+    ("mpl-1.0", "mozilla public (?:license|licence) (?:version |v ?)?1 0|mpl 1 0", "mozilla|mpl"),
+    ("epl-2.0", "eclipse public (?:license|licence) (?:version |v ?)?2(?: 0)?|epl 2(?: 0)?", "eclipse|epl"),
+    ("epl-1.0", "eclipse public (?:license|licence) (?:version |v ?)?1(?: 0)?|epl 1(?: 0)?", "eclipse|epl"),
+    ("cpl-1.0", "common public (?:license|licence)(?: (?:version |v ?)?1 0)?", "common public"),
+    ("cddl-1.1", "common development and distribution (?:license|licence) (?:version |v ?)?1 1", "common development"),
+    ("cddl-1.0", "common development and distribution (?:license|licence)(?: (?:version |v ?)?1 0)?|cddl", "common development|cddl"),
+    ("eupl-1.2", "european union public (?:license|licence) (?:version |v ?)?1 2|eupl 1 2", "european union|eupl"),
+    ("eupl-1.1", "european union public (?:license|licence) (?:version |v ?)?1 1|eupl 1 1", "european union|eupl"),
+    ("artistic-2.0", "artistic (?:license|licence) (?:version |v ?)?2(?: 0)?(?! clause)", "artistic"),
     ("artistic-1.0", "artistic (?:license|licence)(?: 1 0)?", "artistic"),
     ("zlib", "zlib(?: libpng)? (?:license|licence)", "zlib"),
     ("libpng", "libpng (?:license|licence)", "libpng"),
-    ("bsl-1.0", "boost software (?:license|licence)(?: (?:version )?1 0)?", "boost"),
+    ("bsl-1.0", "boost software (?:license|licence)(?: (?:version |v ?)?1 0)?", "boost"),
     ("unlicense", "the unlicense|unlicense (?:license|org)", "unlicense"),
     ("wtfpl", "wtfpl|do what the f[a-z]* you want to public (?:license|licence)", "wtfpl|do what the"),
-    ("python-2.0", "python software foundation (?:license|licence)(?: (?:version )?2(?: 0)?)?|psf license", "python software|psf"),
+    ("python-2.0", "python software foundation (?:license|licence)(?: (?:version |v ?)?2(?: 0)?)?|psf license", "python software|psf"),
     ("openssl", "openssl (?:license|licence)", "openssl"),
     ("postgresql", "postgresql (?:license|licence)", "postgresql"),
     ("ncsa", "(?:university of illinois )?ncsa open source (?:license|licence)", "ncsa"),
     ("ms-pl", "microsoft public (?:license|licence)|ms pl", "microsoft public|ms pl"),
     ("ms-rl", "microsoft reciprocal (?:license|licence)", "microsoft reciprocal"),
-    ("ofl-1.1", "(?:sil )?open font (?:license|licence)(?: (?:version )?1 1)?", "open font"),
-    ("osl-3.0", "open software (?:license|licence) (?:version |v)?3(?: 0)?", "open software"),
-    ("afl-3.0", "academic free (?:license|licence) (?:version |v)?3(?: 0)?", "academic free"),
+    ("ofl-1.1", "(?:sil )?open font (?:license|licence)(?: (?:version |v ?)?1 1)?", "open font"),
+    ("osl-3.0", "open software (?:license|licence) (?:version |v ?)?3(?: 0)?", "open software"),
+    ("afl-3.0", "academic free (?:license|licence) (?:version |v ?)?3(?: 0)?", "academic free"),
     ("odbl-1.0", "open database (?:license|licence)(?: 1 0)?|odbl", "open database|odbl"),
     ("odc-by-1.0", "open data commons attribution (?:license|licence)?", "open data commons"),
     ("pddl-1.0", "public domain dedication and (?:license|licence)", "public domain"),
-    ("gfdl", "(?:gnu )?free documentation (?:license|licence)(?: (?:version |v)?1 [0-9])?", "free documentation"),
+    ("gfdl", "(?:gnu )?free documentation (?:license|licence)(?: (?:version |v ?)?1 [0-9])?", "free documentation"),
     ("upl-1.0", "universal permissive (?:license|licence)", "universal permissive"),
     ("ecl-2.0", "educational community (?:license|licence)", "educational community"),
     ("blueoak-1.0.0", "blue oak model (?:license|licence)", "blue oak"),
@@ -110,15 +111,73 @@ NAMES = [
     ("cc-by-4.0", "cc by 4(?: 0)?|creative commons attribution 4(?: 0)?", "cc by 4|creative commons"),
     ("cc-by-3.0", "cc by 3(?: 0)?|creative commons attribution 3(?: 0)?", "cc by 3|creative commons"),
     ("cc-by-any", "creative commons attribution", "creative commons"),
+    # Families without a version.
+    ("gpl", "(?:gnu )?general public (?:license|licence)|(?:gnu )?gpl", "gpl|gnu gpl|general public"),
+    ("apache", "apache (?:software )?(?:license|licence)", "apache"),
+    ("mpl", "mozilla public (?:license|licence)", "mozilla"),
+    ("epl", "eclipse public (?:license|licence)", "eclipse"),
+    ("cddl", "common development and distribution (?:license|licence)", "common development"),
+    ("eupl", "european union public (?:license|licence)|eupl", "european union|eupl"),
+    ("osl", "open software (?:license|licence)", "open software"),
+    ("afl", "academic free (?:license|licence)", "academic free"),
+    # Less common licenses.
+    ("php-3.0", "php (?:license|licence)(?: (?:version |v ?)?3(?: 0| 01)?)?", "php licen"),
+    ("ruby", "ruby (?:license|licence)", "ruby licen"),
+    ("vim", "vim (?:license|licence)", "vim licen"),
+    ("curl", "curl (?:license|licence)", "curl licen"),
+    ("w3c", "w3c software (?:notice and )?(?:license|licence)", "w3c software"),
+    ("zpl-2.1", "zope public (?:license|licence)(?: (?:version |v ?)?2 [01])?", "zope public"),
+    ("ipl-1.0", "ibm public (?:license|licence)(?: (?:version |v ?)?1 0)?", "ibm public"),
+    ("npl-1.1", "netscape public (?:license|licence)(?: (?:version |v ?)?1 [01])?", "netscape public"),
+    ("qpl-1.0", "q public (?:license|licence)(?: (?:version |v ?)?1 0)?", "q public"),
+    ("apsl-2.0", "apple public source (?:license|licence)(?: (?:version |v ?)?2(?: 0)?)?", "apple public"),
+    ("openldap", "openldap public (?:license|licence)", "openldap public"),
+    ("sleepycat", "sleepycat (?:license|licence)", "sleepycat"),
+    ("cecill", "cecill(?: [abc])?(?: (?:license|licence))?", "cecill"),
+    ("beerware", "beer ?ware(?: (?:license|licence))?", "beerware|beer ware"),
+    ("ftl", "freetype (?:project )?(?:license|licence)", "freetype"),
+    ("rpl-1.5", "reciprocal public (?:license|licence)(?: (?:version |v ?)?1 [15])?", "reciprocal public"),
+    ("ogl-uk-3.0", "open government (?:license|licence)(?: (?:version |v ?)?3(?: 0)?)?", "open government"),
+    ("mulan-psl-2.0", "mulan permissive software (?:license|licence)(?: (?:version |v ?)?2)?", "mulan"),
+    ("commons-clause", "commons clause(?: (?:license condition|licence condition|restriction))?", "commons clause"),
+    ("polyform-noncommercial-1.0.0", "polyform noncommercial (?:license|licence)", "polyform"),
+    ("lppl-1.3c", "latex project public (?:license|licence)(?: (?:version |v ?)?1 [0-3][ac]?)?", "latex project"),
 ]
+# Names so short that they count only where a statement introduces them.
+SHORT = [("mit", "mit|expat"), ("isc", "isc"), ("zlib", "zlib"), ("x11", "x11"), ("ncsa", "ncsa"), ("bsd", "bsd"), ("apache", "apache"),
+         ("mpl", "mpl"), ("epl", "epl"), ("unlicense", "unlicense"), ("postgresql", "postgresql"), ("openssl", "openssl"), ("cc-by-any", "cc by"),
+         ("ofl-1.1", "ofl(?: 1 1)?"), ("artistic-1.0", "artistic")]
+# Identifiers of the SPDX list; "-only" and "-or-later" may follow those of the GNU family.
+SPDX = """0BSD AAL AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 AGPL-1.0 AGPL-3.0 Apache-1.0 Apache-1.1 Apache-2.0 APSL-1.0 APSL-2.0 Artistic-1.0
+Artistic-1.0-Perl Artistic-2.0 Beerware BitTorrent-1.1 BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause
+BSD-3-Clause-Clear BSD-3-Clause-LBNL BSD-4-Clause BSD-4-Clause-UC BSD-Protection BSD-Source-Code BSL-1.0 BUSL-1.1 bzip2-1.0.6 CAL-1.0
+CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-1.0 CC-BY-NC-2.0 CC-BY-NC-2.5 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-3.0
+CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-PDDC
+CC0-1.0 CDDL-1.0 CDDL-1.1 CDLA-Permissive-1.0 CDLA-Permissive-2.0 CDLA-Sharing-1.0 CECILL-1.0 CECILL-2.0 CECILL-2.1 CECILL-B CECILL-C
+CERN-OHL-P-2.0 CERN-OHL-S-2.0 CERN-OHL-W-2.0 ClArtistic CNRI-Python CPAL-1.0 CPL-1.0 CUA-OPL-1.0 curl ECL-1.0 ECL-2.0 EFL-1.0 EFL-2.0
+Elastic-2.0 Entessa EPL-1.0 EPL-2.0 EUDatagrid EUPL-1.0 EUPL-1.1 EUPL-1.2 Fair Frameworx-1.0 FSFAP FSFUL FTL GFDL-1.1 GFDL-1.2 GFDL-1.3
+GPL-1.0 GPL-2.0 GPL-3.0 HPND ICU IJG ImageMagick Intel IPA IPL-1.0 ISC JasPer-2.0 JSON LAL-1.3 LGPL-2.0 LGPL-2.1 LGPL-3.0 Libpng
+libpng-2.0 libtiff LiLiQ-P-1.1 LPL-1.0 LPL-1.02 LPPL-1.0 LPPL-1.2 LPPL-1.3a LPPL-1.3c MirOS MIT MIT-0 MIT-advertising MIT-CMU MIT-enna
+MIT-feh MIT-Modern-Variant Motosoto MPL-1.0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MS-RL MulanPSL-1.0 MulanPSL-2.0 Multics
+NASA-1.3 Naumen NCSA NetCDF NGPL NLOD-1.0 NLOD-2.0 Nokia NPL-1.0 NPL-1.1 NPOSL-3.0 NTP OCLC-2.0 ODbL-1.0 ODC-By-1.0 OFL-1.0 OFL-1.1
+OGL-UK-1.0 OGL-UK-2.0 OGL-UK-3.0 OGTSL OLDAP-2.8 OpenSSL OSET-PL-2.1 OSL-1.0 OSL-2.0 OSL-2.1 OSL-3.0 Parity-7.0.0 PDDL-1.0 PHP-3.0
+PHP-3.01 PolyForm-Noncommercial-1.0.0 PolyForm-Small-Business-1.0.0 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 RPL-1.1 RPL-1.5 RPSL-1.0 RSCPL
+Ruby SimPL-2.0 SISSL Sleepycat SPL-1.0 SSPL-1.0 TCL Unicode-DFS-2015 Unicode-DFS-2016 Unlicense UPL-1.0 Vim VSL-1.0 W3C W3C-19980720
+Watcom-1.0 WTFPL X11 Xnet XFree86-1.1 Xerox Zend-2.0 Zlib zlib-acknowledgement ZPL-2.0 ZPL-2.1""".split()
+SPDX_LEAD = "spdx license identifier (?:(?:[^ ]+ ){1,10}?(?:or|and|with) )?"      # an identifier may stand in an expression
 # How a name is stated, strongest first: what stands before it, weight.
 STATED = [
     (r"(?:spdx license identifier) ", 1.0),
-    (r"(?:(?:re)?licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?", 0.95),
+    (r"(?:(?:re)?licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the |an? )?(?:terms (?:and conditions )?of (?:the )?)?", 0.95),
     (r"(?:subject to|under|governed by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?", 0.9),
     (r"(?:license|licence) (?:type )?(?:is )?(?:the )?", 0.85),
     ("", 0.8),
 ]
+SHORT_STATED = [
+    (r"(?:(?:re)?licensed|released|distributed|available|published|provided|covered) under (?:the |an? )?(?:terms (?:and conditions )?of (?:the )?)?", 0.95,
+     "licensed under|relicensed under|released under|distributed under|available under|published under|provided under|covered under"),
+    (r"(?:license|licence) (?:type )?(?:is )?(?:the )?", 0.7, "license|licence"),
+]
 # Passages that licenses are known by, and statements without a license name.
 PASSAGES = [
     Rule("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted", 1.0),
@@ -130,9 +189,31 @@ PASSAGES = [
     Rule("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 1.0),
     Rule("gpl", "this program is free software you can redistribute it and or modify it", "free software", 0.9),
     Rule("lgpl", "this library is free software you can redistribute it and or modify it", "free software", 0.9),
-    Rule("gpl", "either version [0-9]+ of the license or (?:at your option )?any later version", "any later version", 0.8),
+    Rule("gpl", "either version [0-9]+ of the license or (?:at your option )?any later version", "any later version", 0.8,
+         lead="either version [0-9]+ of the license "),
     Rule("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy", "permission is hereby granted", 1.0),
     Rule("wtfpl", "you just do what the f[a-z]* you want to", "do what the", 1.0),
+    Rule("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "unless required by", 0.95),
+    Rule("apache-2.0", "you may not use this file except in compliance with the license", "you may not use", 0.9),
+    Rule("mpl-2.0", "this source code form is subject to the terms of", "this source code form", 0.95),
+    Rule("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "mpl", 0.95),
+    Rule("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment", "all advertising materials", 0.95),
+    Rule("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of", 0.9),
+    Rule("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions in", 0.9),
+    Rule("zlib", "the origin of this software must not be misrepresented", "the origin of", 0.95),
+    Rule("zlib", "altered source versions must be plainly marked as such", "altered source", 0.95),
+    Rule("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free", 1.0),
+    Rule("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "permission to use copy", 1.0),
+    Rule("hpnd", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:and without fee is hereby granted|is hereby granted without fee)", "permission to use copy", 0.95),
+    Rule("x11", "except as contained in this notice the names? of (?:[^ ]+ ){1,12}?shall not be used in advertising", "except as contained", 0.9),
+    Rule("json", "the software shall be used for good not evil", "the software shall", 1.0),
+    Rule("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer", "if we meet", 1.0),
+    Rule("bsl-1.0", "the copyright notices in the software and this entire statement including the above license grant", "the copyright notices", 1.0),
+    Rule("agpl-3.0", "your modified version must prominently offer all users interacting with it remotely through a computer network", "your modified version", 0.95),
+    Rule("gpl-3.0", "is a free copyleft license for software and other kinds of works", "free copyleft|is a free", 0.95),
+    Rule("gpl", "this program is distributed in the hope that it will be useful but without any warranty", "this program is", 0.8),
+    Rule("lgpl", "this library is distributed in the hope that it will be useful but without any warranty", "this library is", 0.8),
+    Rule("ofl-1.1", "the fonts including any derivative works can be bundled embedded redistributed and or sold with any software", "the fonts including", 1.0),
     Rule("public-domain", "(?:is |are )?(?:released|dedicated|placed) (?:in|into|to) the public domain", "public domain", 0.9),
     Rule("public-domain", "(?:this work|this file|this software) is (?:in )?the public domain", "public domain", 0.8),
     Rule("no-warranty", "(?:is )?provided as is without warrant(?:y|ies) of any kind", "provided as is", 0.4),
@@ -145,10 +226,15 @@ PASSAGES = [
 
 
 def signature_rules() -> list[Rule]:
-    """All rules in order of priority: passages, then every license name in every way it is stated."""
+    """All rules in order of priority: passages, identifiers, every license name in every way it is stated, short names."""
+    ids = [(x.lower(), re.sub("[^a-z0-9]+", " ", x.lower())) for x in SPDX]
+    tagged = [Rule(label, f"{SPDX_LEAD}(?:{words}{'(?: only| or later)?' if re.match('[al]?gpl|gfdl', words) else ''})", "spdx license identifier", 1.0, lead=SPDX_LEAD)
+              for label, words in ids]
     named = [Rule(label, f"{lead}(?:{pattern})", keyword, weight, lead=lead)
              for lead, weight in STATED for label, pattern, keyword in NAMES]
-    return [*PASSAGES, *named]
+    short = [Rule(label, f"{lead}(?:{pattern})", keyword, weight, lead=lead)
+             for lead, weight, keyword in SHORT_STATED for label, pattern in SHORT]
+    return [*PASSAGES, *tagged, *named, *short]
 
 
 def word_text(text: Column) -> Column:

@@ -88,6 +88,24 @@ def test_lists_of_licenses(spark):
     assert {r.doc_id: r.labels for r in scan_licenses(df).collect()} == dict(enumerate(lists.values()))
 
 
+def test_common_statements(spark):
+    """What licenses are commonly stated by has its label."""
+    stated = {"SPDX-License-Identifier: MIT": "mit", "License: MIT": "mit", "licensed under MIT": "mit", "License: ISC": "isc", "released under Zlib": "zlib",
+              "// SPDX-License-Identifier: (X11 OR NCSA)": "ncsa,x11", "SPDX-License-Identifier: OFL-1.1": "ofl-1.1", "released under the GPL": "gpl",
+              "GNU GPL": "gpl", "Apache License": "apache", "the Mozilla Public License": "mpl", "Eclipse Public License - v 2.0": "epl-2.0",
+              "Mozilla Public License, v. 2.0": "mpl-2.0", "Apache License, v. 2.0": "apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0",
+              "SPDX-License-Identifier: BSD-3-Clause-Clear": "bsd-3-clause-clear", "License: BSD 3-Clause": "bsd-3-clause",
+              "Apache License, 2-Clause BSD License": "apache,bsd-2-clause",
+              "the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version":
+              "gpl,gpl-3.0", "You may not use this file except in compliance with the License.": "apache-2.0", "published by MIT, under MIT rules": ""}
+    df = spark.createDataFrame(list(enumerate(stated)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in scan_licenses(df).collect()} == dict(enumerate(stated.values()))
+
+
+def test_leads_begin_their_patterns():
+    assert all(r.pattern.startswith(r.lead) and re.compile(r.lead).groups == 0 for r in signature_rules())
+
+
 def test_settled_over_whole_groups(spark):
     words = "abcdefgh"
     rng = random.Random(5)

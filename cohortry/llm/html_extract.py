@@ -35,6 +35,13 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^
 ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # Elements of HTML by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Elements of HTML; all others are one to expressions, as are names that propose nothing: pages make up as many as they like.
+KNOWN = frozenset("a abbr acronym address applet area article aside audio b base bdi bdo big blockquote body br button canvas caption center "
+                  "cite code col colgroup data datalist dd del details dfn dialog dir div dl dt em embed fieldset figcaption figure font "
+                  "footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html i iframe img input ins kbd label legend li link "
+                  "main map mark menu meta meter nav noframes noscript object ol optgroup option output p param picture pre progress q rp "
+                  "rt ruby s samp script search section select slot small source span strike strong style sub summary sup svg table "
+                  "tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr xmp".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
                    "span strike strong sub sup time tt u var wbr br img".split())
@@ -78,14 +85,14 @@ def proposal(token: str) -> tuple[str, bool]:
     rest = [w for w in words if w not in named and w not in FILL_WORDS]
     if not named or rest and (words[0] not in OWNER_WORDS or len(rest) > 1 or words[-1] not in named or OWN_WORDS & set(named)):
         return "", False
-    return named[0], len(words) == 1
+    return next((w for w in BOILER_BEGINNINGS if named[0].startswith(w) and named[0] not in BOILER_WORDS), named[0]), len(words) == 1
 
 
 def signature(tag: str, attrs: str) -> str:
-    """An element's name in the expression: tag, "hidden", the words of its class, id and role without digits, and, after
-    a "~", the words by which whole tokens propose that it is boilerplate."""
+    """An element's name in the expression: tag, "hidden", and, after a "~", the listed words by which whole tokens of its
+    class, id and role propose that it is boilerplate.  No page adds names of its own."""
     if not attrs or attrs.isspace():
-        return tag
+        return tag if tag in KNOWN else "x"
     words = set()
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
@@ -93,7 +100,6 @@ def signature(tag: str, attrs: str) -> str:
             words.add("hidden")
         elif name in ("class", "id", "role"):
             for token in value.split():
-                words.update(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()) if w and w != "hidden")
                 if name != "id" and token.lower() == "hidden":
                     words.add("hidden")
                 word, single = proposal(token)
@@ -101,7 +107,7 @@ def signature(tag: str, attrs: str) -> str:
                     continue
                 if name != "id" or tag not in HEADINGS and not (single and word in SLUG_WORDS):
                     words.add("~" + word)
-    return ".".join([tag, *sorted(words)])
+    return ".".join([tag if tag in KNOWN else "x", *sorted(words)])
 
 
 def never(sig: str, inside_article: bool) -> bool:
@@ -291,14 +297,21 @@ def clean(path: str) -> bool:
     return fine and not marks
 
 
-def heavy(mass: dict[str, int]) -> list[str]:
-    """Paths of elements proposed as boilerplate that hold most of a host's text: their names do not say what they are."""
+def marked(mass: dict[str, int]) -> Counter:
+    """Text under each element that is proposed as boilerplate, by its path, and under the empty path all of it; what is never
+    main text does not count."""
     total: Counter = Counter()
     for path, n in mass.items():
         fine, marks, _, _ = standing(path)
         if fine:
             for mark in ("", *marks):
                 total[mark] += n
+    return total
+
+
+def heavy(mass: dict[str, int]) -> list[str]:
+    """Paths of elements proposed as boilerplate that hold most of a host's text: their names do not say what they are."""
+    total = marked(mass)
     return sorted(p for p, n in total.items() if p and 2 * n > total[""])
 
 
@@ -317,8 +330,12 @@ def spared(found: list[tuple[str, str]], held: list[str]) -> set[str]:
 
 
 def containers(wrapper: list, mass: dict[str, int], constant: list[tuple[str, str]] = ()) -> dict[str, list]:
-    """The rules of a host: under "heavy" see :func:`heavy`, under "template" the keys of text that stands in a slot of the
-    wrapper on every page; ``constant`` has the paths of slots and keys."""
+    """The rules of a host: under "heavy" see :func:`heavy`, under "template" see :func:`templates`."""
+    return {"heavy": heavy(mass), "template": templates(wrapper, constant)}
+
+
+def templates(wrapper: list, constant: list[tuple[str, str]]) -> list[str]:
+    """The keys of text that stands in a slot of the wrapper on every page; ``constant`` has the paths of slots and keys."""
     slots: set[str] = set()
 
     def visit(nodes: list, above: str):
@@ -329,7 +346,7 @@ def containers(wrapper: list, mass: dict[str, int], constant: list[tuple[str, st
                 visit(inner, above if sig == "()" else f"{above}/{sig}" if above else sig)
 
     visit(wrapper, "")
-    return {"heavy": heavy(mass), "template": sorted(key for path, key in constant if path in slots)}
+    return sorted(key for path, key in constant if path in slots)
 
 
 def page_blocks(page: str) -> list[tuple[str, list[tuple[str, str]]]]:
@@ -388,7 +405,7 @@ def host_of(url):
 
 
 def _counted(pages: DataFrame) -> DataFrame:
-    """Rows (host, kind, key, n): equal "page" expressions, "mass" of text under element paths, and the "text" of pages
+    """Rows (host, kind, key, n): equal "page" expressions, "mass" of text as :func:`marked` has it, and the "text" of pages
     outside article and main elements, one row for equal pages."""
     def fold_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -396,7 +413,7 @@ def _counted(pages: DataFrame) -> DataFrame:
             for host, page in zip(frame["host"], frame["html"]):
                 nodes, mass = page_expression(page)
                 seen[host, "page", json.dumps(nodes)] += 1
-                for path, n in mass.items():
+                for path, n in marked(mass).items():
                     seen[host, "mass", path] += n
                 texts, total = page_texts(page)
                 if texts:
@@ -426,8 +443,7 @@ def _constants(counted: DataFrame) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame, group: int = GROUP) -> DataFrame:
-    """One row (host, wrapper, mass) per host; ``pages`` has host and html.  wrapper is the expression in JSON, mass maps
-    element paths to characters of text over all pages of the host."""
+    """One row (host, wrapper) per host; ``pages`` has host and html.  wrapper is the expression in JSON."""
     return _aligned(_counted(pages), group)
 
 
@@ -452,9 +468,15 @@ def _aligned(counted: DataFrame, group: int = GROUP) -> DataFrame:
             "part", F.pmod(F.xxhash64("key"), F.ceil(F.col("of") / group)) if most > group else F.lit(0).cast("long"))
         level = durable(dealt.groupBy("host", "part").applyInPandas(
             lambda rows: merge(rows), "host string, key string, n long"), "aligned")
-    mass = (counted.where("kind = 'mass'").groupBy("host")
-            .agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("mass")))
-    return level.select("host", F.col("key").alias("wrapper")).join(mass, "host", "left")
+    return level.select("host", F.col("key").alias("wrapper"))
+
+
+def _heavy(counted: DataFrame) -> DataFrame:
+    """Rows (host, heavy): :func:`heavy` of each host; an element that holds most is one of few."""
+    mass = counted.where("kind = 'mass'")
+    total = mass.where("key = ''").select("host", F.col("n").alias("total"))
+    return (mass.where("key != ''").join(total, "host").where(F.col("n") * 2 > F.col("total"))
+            .groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("heavy")))
 
 
 def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -467,14 +489,15 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
                       host_of(col(url_col).cast("string")).alias("host"))
 
     @F.pandas_udf("string")
-    def chosen(wrappers: pd.Series, masses: pd.Series, constants: pd.Series) -> pd.Series:
-        return pd.Series([json.dumps(containers(json.loads(w), dict(m or {}), [tuple(x) for x in json.loads(c)]))
-                          for w, m, c in zip(wrappers, masses, constants)], dtype="object")
+    def chosen(wrappers: pd.Series, heavies: pd.Series, constants: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps({"heavy": json.loads(h), "template": templates(json.loads(w), [tuple(x) for x in json.loads(c)])})
+                          for w, h, c in zip(wrappers, heavies, constants)], dtype="object")
 
     counted = _counted(pages)
     constants = _constants(counted).select("host", F.to_json(F.transform("constant", lambda x: F.array(x["path"], x["key"]))).alias("constant"))
-    rules = durable(_aligned(counted).join(constants, "host", "left").select(
-        "host", chosen("wrapper", "mass", F.coalesce("constant", F.lit("[]"))).alias("rules")), "wrappers")
+    held = _heavy(counted).select("host", F.to_json("heavy").alias("heavy"))
+    rules = durable(_aligned(counted).join(constants, "host", "left").join(held, "host", "left").select(
+        "host", chosen("wrapper", F.coalesce("heavy", F.lit("[]")), F.coalesce("constant", F.lit("[]"))).alias("rules")), "wrappers")
 
     @F.pandas_udf("string")
     def text(pages: pd.Series, rules: pd.Series) -> pd.Series:

@@ -121,6 +121,18 @@ def test_text_of_the_template_goes(spark):
                                 f"Long text number {i} of this host, with many words of its own in every page."]
 
 
+def test_names_of_pages_do_not_grow_wrappers(spark):
+    """Slugs, generated classes and made-up elements leave one expression per host; what a name must tell, it tells."""
+    letters = ["".join(chr(97 + i // 26 ** k % 26) for k in range(3)) for i in range(60)]
+    rows = [(i, "http://slugs.example/", f"<body><div id='comment{x}' class='css-{x}'><h2 id='my-{x}'>T{i}</h2><my-{x}><p>Body {i}</p></my-{x}></div></body>")
+            for i, x in enumerate(letters)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    only = infer_wrappers(df.select(host_of(df.url).alias("host"), "html")).collect()
+    assert len(only) == 1 and len(only[0].wrapper) < 300
+    assert len({json.dumps(page_expression(r[2])[0]) for r in rows}) == 1
+    assert {r.page_id: r.text for r in extract_main_text(df).collect()} == {i: f"T{i}\nBody {i}" for i in range(60)}
+
+
 def test_registered_query(spark):
     path = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{path}/pages.parquet").collect()

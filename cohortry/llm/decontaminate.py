@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from cohortry.llm.common import col
 
@@ -35,7 +36,7 @@ WALKS = 6                 # independent embeddings; the tables are dealt to them
 WALK = 2                  # steps of the walk per word of the smallest item of a size class
 BLOCK = 20_000            # items handled in one pass over the documents
 WORD = re.compile(r"[^\W_]+")
-HIT = "array<struct<item_id:bigint,start_word:int,end_word:int,n_words:int,distance:int>>"
+HIT = "array<struct<item_id:{0},start_word:int,end_word:int,n_words:int,distance:int>>"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -106,12 +107,15 @@ class ItemIndex:
 
     vocabulary: dict[str, int]
     randoms: np.ndarray
-    items: list[tuple[int, list[int]]]
+    items: list[tuple[object, list[int]]]
     classes: list[dict]
     similarity: float
 
-    def find(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item_id, start_word, end_word, words of the item, distance) of the best occurrence of each item found."""
+    def find(self, text: str | None) -> list[tuple[object, int, int, int, int]]:
+        """(item_id, start_word, end_word, words of the item, distance) of the best occurrence of each item found.
+
+        Items of one identifier count as one; each different one without identifier is an item of its own.
+        """
         words = words_of(text)
         total = len(words)
         if not total or not self.items:
@@ -144,17 +148,18 @@ class ItemIndex:
                         while k < len(keys) and keys[k] == mixed[h]:
                             tried.setdefault(int(owners[k]), []).append(int(some[h]))
                             k += 1
-        found: dict[int, tuple[int, int, int, int, int]] = {}
+        found: dict[object, tuple[object, int, int, int, int]] = {}
         listed = ids.tolist()
         for k, starts in sorted(tried.items()):
             item_id, item = self.items[k]
             room = allowed(len(item), self.similarity)
+            which = (None, tuple(item)) if item_id is None else item_id
             for left, right in _joined(sorted(set(starts)), room, len(item), total):
                 distance, end = best_occurrence(item, listed[left:right])
-                if distance <= room and (item_id not in found or distance < found[item_id][4]):
+                if distance <= room and (which not in found or distance < found[which][4]):
                     _, length = best_occurrence(item[::-1], listed[left:left + end][::-1])
-                    found[item_id] = (item_id, left + end - length, left + end, len(item), distance)
-        return sorted(found.values())
+                    found[which] = (item_id, left + end - length, left + end, len(item), distance)
+        return sorted(found.values(), key=lambda h: (h[0] is None, h if h[0] is not None else h[1:]))
 
 
 def _runs(ids: np.ndarray, run: int) -> np.ndarray:
@@ -200,7 +205,7 @@ def _keys(symbols: np.ndarray, places: np.ndarray, sampled: list[int]) -> np.nda
     return out
 
 
-def build_index(items: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL, sample: int = SAMPLE,
+def build_index(items: list[tuple[object, str]], similarity: float = SIMILARITY, recall: float = RECALL, sample: int = SAMPLE,
                 seed: int = 11) -> ItemIndex:
     """Index of items held in memory; the caller bounds their number.  Items without a word match nothing."""
     vocabulary: dict[str, int] = {}
@@ -244,18 +249,21 @@ def hit_columns(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     """Column functions, one per block of at most about ``block`` items: text to its hits.
 
     The item table is cut into blocks by a hash of the identifier; only one block's items are in memory at a time
-    on the driver, and each travels to the tasks with its function.
+    on the driver, and each travels to the tasks with its function.  Whole numbers come out as long, other identifiers
+    as they are; items without identifier are looked for, too.
     """
-    plain = items.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).where(
-        "id IS NOT NULL AND text IS NOT NULL")
+    plain = items.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    if isinstance(plain.schema["id"].dataType, (IntegralType, NullType)):
+        plain = plain.withColumn("id", F.col("id").cast("long"))
+    hit_type = HIT.format(plain.schema["id"].dataType.simpleString())
     blocks = max(1, -(-plain.count() // block))
     out = []
     for b in range(blocks):
-        part = plain.where(F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)) == b) if blocks > 1 else plain
+        part = plain.where(F.pmod(F.xxhash64("id", F.lit("block"), F.when(F.col("id").isNull(), F.col("text"))), F.lit(blocks)) == b) if blocks > 1 else plain
         index = build_index([(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()], similarity, recall)
 
         def make(index: ItemIndex):
-            @F.pandas_udf(HIT)
+            @F.pandas_udf(hit_type)
             def hits(texts: pd.Series) -> pd.Series:
                 return pd.Series([[dict(zip(("item_id", "start_word", "end_word", "n_words", "distance"), h)) for h in index.find(t)]
                                   for t in texts], dtype="object")
@@ -272,8 +280,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     similarity.
 
     An item occurs where a stretch of the document differs from it by at most ``(1 - similarity) * n_words`` word
-    edits; the best stretch is reported, ties to the first.  Null and empty documents, null and empty items match
-    nothing; repeated document rows give repeated hits, repeated items one hit.  Other columns are not touched; empty
+    edits; the best stretch is reported, ties to the first.  Null and empty documents, items with null or empty text match
+    nothing; items with text but no identifier are reported with a null item_id; repeated document rows give repeated hits, repeated items one hit.  Other columns are not touched; empty
     tables give an empty result.
     """
     found = None
@@ -286,7 +294,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                       similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs`` in which no item occurs, with their columns and nothing else; no row moves."""
+    """The rows of ``docs`` in which no item occurs, with their columns and nothing else; no row moves.
+
+    Identifiers of items do not matter, those without one count, too.
+    """
     out = docs
     for hits in hit_columns(items, item_col, item_text, similarity, recall):
         out = out.where(F.size(hits(col(text_col).cast("string"))) == 0)

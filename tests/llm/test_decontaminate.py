@@ -122,3 +122,18 @@ def test_registered_query(spark):
             if (n := best_occurrence(item, w)[0]) <= allowed(len(item)):
                 want.add((d, i, n))
     assert got == want and got
+
+
+def test_items_without_or_with_other_identifiers(spark):
+    docs = spark.createDataFrame([(1, "x one two three four five y"), (2, "six seven eight nine ten"), (3, "nothing of it here"), (4, "red green blue")],
+                                 "doc_id long, text string")
+    texts = ["one two three four five", "six seven eight nine ten", "red green blue", None]
+    for ids, kind in (([None, None, 7, None], "long"), ([None, "a-2", "b-3", "c"], "string"), ([None, None, None, None], "int")):
+        items = spark.createDataFrame(list(zip(ids, texts)), f"item_id {kind}, text string")
+        assert [r.doc_id for r in drop_contaminated(docs, items).collect()] == [3]
+        got = [(r.doc_id, r.item_id) for r in contaminated(docs, items).orderBy("doc_id").collect()]
+        assert got == [(1, ids[0]), (2, ids[1]), (4, ids[2])]
+        assert [r.doc_id for r in drop_contaminated(docs, items.unionByName(items), recall=0.9).collect()] == [3]
+    both = spark.createDataFrame([("one two three four five, six seven eight nine ten",)], "text string").selectExpr("1 AS doc_id", "text")
+    items = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (5, texts[1])], "item_id long, text string")
+    assert [(r.item_id, r.start_word) for r in contaminated(both, items).collect()] == [(5, 5), (None, 0), (None, 5)]

@@ -1,9 +1,9 @@
-"""Exact dedup by a tree-merge of sorted digest runs.
+"""Exact dedup by a tree of digest runs, merged by hash grouping.
 
-Every input partition holds one run: its distinct digests in order, each with its smallest identifier
-and its number of rows.  In each round ``fan_in`` runs of neighbouring partitions meet (partition r and
-round k meet in r >> k*log2(fan_in)) and are merged by digest, keeping the smallest identifier, until one
-run, spread over all partitions by digest, is left.  A digest that a third of all rows share is one row
+Every input partition holds one run: its distinct digests, each with its smallest identifier and its number of
+rows.  Runs are not sorted; hash grouping stands in for the sorted merge.  In each round ``fan_in`` runs of
+neighbouring partitions meet (partition r and round k meet in r >> k*log2(fan_in)) and are grouped by digest,
+keeping the smallest identifier, until one run, spread over all partitions by digest, is left.  A digest that a third of all rows share is one row
 per run from the first level on, and is never a group.
 """
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +73,42 @@ def one_space(text: Column) -> Column:
 def held_out(name: str) -> Column:
     """crc32 of the id as text, modulo 5, is 0: rows that no model learns from.  A null id counts as empty text."""
     return F.crc32(F.coalesce(col(name).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def blocks(data: bytes, size: int = 1 << 22, blank: bytes = b" ") -> Iterator[bytes]:
+    """``data`` in slices of about ``size`` bytes that end at a blank, so that no word is cut."""
+    at = 0
+    while len(data) - at > size:
+        end = data.find(blank, at + size)
+        if end < 0:
+            break
+        yield data[at:end]
+        at = end + 1
+    yield data[at:] if at else data
+
+
+def spare_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, parts: int) -> DataFrame:
+    """``df`` with ``name``: 1, 2, 3... along ``order``, with no task that holds all rows.
+
+    Rows are range-partitioned and sorted within partitions; a row's number is its place in its partition plus the
+    rows of the partitions before.  Only one count per partition reaches the driver.
+    """
+    placed = durable(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                     .withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}),
+                     "numbered")
+    before, at = [], 0
+    for part, n in sorted(tuple(r) for r in placed.groupBy("__part").count().collect()):
+        before.append((part, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(before, "__part int, __before long")
+    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop(
+        "__part", "__at", "__before")

@@ -13,6 +13,7 @@ from cohortry.llm.licenses import scan_licenses
 from cohortry.llm.packing import pack
 from cohortry.llm.quality import score_quality, train_quality
 from cohortry.llm.registry import ORACLES, QUERIES, query, table
+from cohortry.llm.resample import importance_resample
 from cohortry.llm.secretscan import scan_secrets
 from cohortry.llm.simhash import simhash_components
 from cohortry.llm.warc import archive_pages
@@ -83,3 +84,8 @@ def op5(spark, sf_dir):
 @query("op6_simhash")
 def op6(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
+@query("op13_resample")
+def op13(spark, sf_dir):
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortry.llm.bpe import bpe_digests
 from cohortry.llm.common import held_out
 from cohortry.llm.decontaminate import contaminated
 from cohortry.llm.exact_dedup import exact_dedup
@@ -89,3 +90,8 @@ def op6(spark, sf_dir):
 @query("op13_resample")
 def op13(spark, sf_dir):
     return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_bpe")
+def op11(spark, sf_dir):
+    return bpe_digests(table(spark, sf_dir, "documents"))

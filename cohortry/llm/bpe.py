@@ -232,8 +232,8 @@ def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", rank
     known = known_words(df, tables, text_col, table, pattern, words)
 
     def looked_up(word: Column, often: Column) -> Column:
-        return let(_hash(word, BLOCKS * BLOCK), lambda at: F.element_at(
-            F.get(F.get(often, F.shiftright(at, BLOCK_BITS)), at.bitwiseAND(BLOCK - 1)), word))
+        at = _hash(word, BLOCKS * BLOCK)      # hashing twice costs less than binding the hash
+        return F.element_at(F.get(F.get(often, F.shiftright(at, BLOCK_BITS)), at.bitwiseAND(BLOCK - 1)), word)
 
     def ids(often: Column, t: Column) -> Column:
         return F.flatten(F.transform(words_of(text_of(text_col), pattern),

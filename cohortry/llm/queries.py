@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortry.llm.bpe import bpe_digests
+from cohortry.llm.collocations import collocations
 from cohortry.llm.common import held_out
 from cohortry.llm.decontaminate import contaminated
 from cohortry.llm.exact_dedup import exact_dedup
@@ -95,3 +96,27 @@ def op13(spark, sf_dir):
 @query("op11_bpe")
 def op11(spark, sf_dir):
     return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+runs AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) s(m)),
+f AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS p, m, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+cand AS (SELECT lang, p, m, f AS a, string_split(p, ' ') AS w FROM f WHERE m >= 2),
+cuts AS (SELECT lang, p, m, a, w, unnest(range(1, m)) AS k FROM cand),
+scored AS (
+  SELECT c.lang, c.p, c.a, x.f AS l, y.f AS r, k, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.p = array_to_string(c.w[1:k], ' ') AND x.m = k
+  JOIN f y ON y.lang = c.lang AND y.p = array_to_string(c.w[k + 1:c.m], ' ') AND y.m = c.m - k),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+parts AS (SELECT lang, w, m, a, s, unnest(range(1, m - s + 2)) AS i FROM cand, (VALUES (2), (3)) z(s) WHERE s < m),
+covers AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS p, max(a) AS longer FROM parts GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN covers c USING (lang, p) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""")
+def op12(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))

@@ -256,5 +256,5 @@ def bpe_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     ids = bpe_encode(df.select(col(id_col).alias("id"), col(text_col).alias("text")), "text", "ids", ranks)
     return ids.select(
         F.col("id").alias(id_col), F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.translate(F.col("ids").cast("string"), "[],", "").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(bpe_decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))

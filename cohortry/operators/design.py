@@ -20,6 +20,7 @@ from cohortry.operators.running import durable, hold
 
 DRIVER_BYTES = 64 << 20   # partial arrays up to this size are added on the driver
 ADD_PARTS = 64            # partial arrays that one group adds up
+PARTIAL = "slot int, part int, v binary"
 COUNT_BYTES = 64 << 20    # digit counts that one scan of the quantile search may hold
 
 
@@ -87,7 +88,12 @@ def scan(rows: DataFrame, columns: list[str], kernel: Callable[[Iterator], Itera
              pa.array([v.astype("float64").tobytes() for _, v in out], pa.binary())],
             names=["slot", "part", "v"])
 
-    partial = rows.select(*columns).mapInArrow(task, "slot int, part int, v binary")
+    return add_partials(rows.select(*columns).mapInArrow(task, PARTIAL), shape, parts)
+
+
+def add_partials(partial: DataFrame, shape: tuple[int, int], parts: int) -> np.ndarray:
+    """Sum of the arrays (slot, part, v) of ``parts`` tasks per slot, always in the order of the parts."""
+    slots, length = shape
     while parts * slots * length * 8 > DRIVER_BYTES and parts > 1:
         # ADD_PARTS arrays of a slot meet in one group, in partition order, level by level.
         def add(pdf):
@@ -98,7 +104,7 @@ def scan(rows: DataFrame, columns: list[str], kernel: Callable[[Iterator], Itera
             return pdf.head(1).assign(part=pdf["grp"].iloc[0], v=[total.tobytes()]).drop(columns="grp")
 
         partial = (partial.withColumn("grp", F.floor(F.col("part") / ADD_PARTS).cast("int"))
-                   .groupBy("slot", "grp").applyInPandas(add, "slot int, part int, v binary"))
+                   .groupBy("slot", "grp").applyInPandas(add, PARTIAL))
         parts = -(-parts // ADD_PARTS)
     total = np.zeros(shape)
     for r in sorted(partial.collect(), key=lambda r: (r.part, r.slot)):

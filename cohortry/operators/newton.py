@@ -7,19 +7,24 @@ driver, which solves the small systems.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.operators.design import Design, Prep, batch_matrix, scan
-from cohortry.operators.running import durable
+from cohortry.operators.design import PARTIAL, Design, Prep, add_partials, batch_matrix, scan
+from cohortry.operators.running import durable, hold
 
-COX_PARTITION_ROWS = 200_000   # rows per time partition
-COX_DRIVER_BYTES = 128 << 20   # models are taken in chunks whose partition totals fit in this
+COX_PARTITION_ROWS = 200_000   # most rows of a time partition
+COX_TASK_ROWS = 10_000         # rows worth a task of their own while cores are free
+COX_GROUP = 64                 # neighbouring partitions, or groups of them, that one task of the tree takes
+COX_GROUP_BYTES = 128 << 20    # models are taken in chunks whose sums of one such group fit in this
 
 
 @dataclass
@@ -59,10 +64,11 @@ def fold_models(d: Design, prep: Prep) -> list[Model]:
 
 
 def maximise(start: list[np.ndarray], evaluate: Callable, steps: int = 100,
-             tol: float = 1e-7) -> list[np.ndarray]:
+             tol: float = 1e-5) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
     """Newton ascent for many concave objectives; a step that worsens its objective is halved.
 
-    ``evaluate([(model, beta)])`` returns value, gradient and curvature (minus Hessian) for each.
+    ``evaluate([(model, beta)])`` returns value, gradient and curvature (minus Hessian) for each.  Returns
+    the maxima, and the curvature that each one's last step was taken with.
     A model is finished when its step is below ``tol``; that last step is still taken, which
     leaves an error of the order of its square.  A model that does not get there (a feature that
     separates the outcome, an objective that is not finite) gives NaN for every entry; the others go on.
@@ -71,10 +77,11 @@ def maximise(start: list[np.ndarray], evaluate: Callable, steps: int = 100,
     best = [None] * len(start)
     step = [np.zeros_like(b) for b in trial]
     done = [len(b) == 0 for b in trial]
+    curves: list[np.ndarray | None] = [None] * len(start)
     for _ in range(steps):
         todo = [m for m, d in enumerate(done) if not d]
         if not todo:
-            return trial
+            return trial, curves
         for m, (value, grad, curve) in zip(todo, evaluate([(m, trial[m]) for m in todo])):
             worse = not np.isfinite(value) or (
                 best[m] is not None and value < best[m][0] - 1e-10 * (1 + abs(best[m][0])))
@@ -86,14 +93,35 @@ def maximise(start: list[np.ndarray], evaluate: Callable, steps: int = 100,
                 trial[m] = best[m][1] + step[m]
                 done[m] = bool(np.max(np.abs(step[m])) < 1e-12)
                 continue
-            best[m] = (value, trial[m])
+            best[m], curves[m] = (value, trial[m]), curve
             try:
                 step[m] = np.linalg.solve(curve, grad)
             except np.linalg.LinAlgError:
                 step[m] = np.linalg.lstsq(curve, grad, rcond=None)[0]
             trial[m] = trial[m] + step[m]
             done[m] = bool(np.max(np.abs(step[m])) < tol)
-    return [b if d else np.full_like(b, np.nan) for b, d in zip(trial, done)]
+    return [b if d else np.full_like(b, np.nan) for b, d in zip(trial, done)], curves
+
+
+class Fitter:
+    """Fits models by Newton steps; ``evaluations`` counts the scans of the table.
+
+    ``objective(models, asked)`` gives value, gradient and curvature for each (number of a model, beta).
+    """
+
+    def __init__(self, objective: Callable, tail: int = 0):
+        self.objective, self.tail, self.evaluations = objective, tail, 0
+
+    def solve(self, models: list[Model], start: list[np.ndarray] | None = None):
+        """Coefficients and curvatures."""
+        def evaluate(asked):
+            self.evaluations += 1
+            return self.objective(models, asked)
+
+        return maximise(start or [np.zeros(len(m.cols) + self.tail) for m in models], evaluate)
+
+    def __call__(self, models: list[Model], start: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        return self.solve(models, start)[0]
 
 
 # --- logistic -----------------------------------------------------------------------------------
@@ -102,41 +130,36 @@ def logistic_fitter(d: Design, response: str, c: float = 1.0):
     """fit(models, start) for ridge logistic regression; the intercept (last entry) is penalised too."""
     p, width = len(d.features), max(1, len(d.seeds))
 
-    def fit(models: list[Model], start: list[np.ndarray] | None = None) -> list[np.ndarray]:
-        start = start or [np.zeros(len(m.cols) + 1) for m in models]
+    def evaluate(models, asked):
+        most = max(len(b) for _, b in asked)
+        length = 1 + most + most * most
+        jobs = [(models[m], b) for m, b in asked]
+
+        def kernel(batches):
+            total = np.zeros((len(jobs), length))
+            for b in batches:
+                x, y = batch_matrix(b.column(0), p), b.column(2).to_numpy(zero_copy_only=False)
+                folds = batch_matrix(b.column(1), width) if width and len(b.column(1).flatten()) \
+                    else np.zeros((len(y), 0), dtype=int)
+                for i, (model, beta) in enumerate(jobs):
+                    rows = model.training(folds)
+                    z = np.column_stack([model.matrix(x[rows]), np.ones(int(rows.sum()))])
+                    t, eta, q = y[rows], z @ beta, len(beta)
+                    mu = 1 / (1 + np.exp(-eta))
+                    total[i, 0] += np.sum(t * eta - np.logaddexp(0, eta))
+                    total[i, 1:1 + q] += z.T @ (t - mu)
+                    total[i, 1 + most:1 + most + q * q] += ((z * (mu * (1 - mu))[:, None]).T @ z).ravel()
+            yield from enumerate(total)
+
+        sums = scan(d.rows, ["x", "folds", response], kernel, (len(jobs), length), d.parts)
+        out = []
+        for (_, beta), s in zip(asked, sums):
+            q = len(beta)
+            out.append((s[0] - beta @ beta / (2 * c), s[1:1 + q] - beta / c,
+                        s[1 + most:1 + most + q * q].reshape(q, q) + np.eye(q) / c))
+        return out
 
-        def evaluate(asked):
-            most = max(len(b) for _, b in asked)
-            length = 1 + most + most * most
-            jobs = [(models[m], b) for m, b in asked]
-
-            def kernel(batches):
-                total = np.zeros((len(jobs), length))
-                for b in batches:
-                    x, y = batch_matrix(b.column(0), p), b.column(2).to_numpy(zero_copy_only=False)
-                    folds = batch_matrix(b.column(1), width) if width and len(b.column(1).flatten()) \
-                        else np.zeros((len(y), 0), dtype=int)
-                    for i, (model, beta) in enumerate(jobs):
-                        rows = model.training(folds)
-                        z = np.column_stack([model.matrix(x[rows]), np.ones(int(rows.sum()))])
-                        t, eta, q = y[rows], z @ beta, len(beta)
-                        mu = 1 / (1 + np.exp(-eta))
-                        total[i, 0] += np.sum(t * eta - np.logaddexp(0, eta))
-                        total[i, 1:1 + q] += z.T @ (t - mu)
-                        total[i, 1 + most:1 + most + q * q] += ((z * (mu * (1 - mu))[:, None]).T @ z).ravel()
-                yield from enumerate(total)
-
-            sums = scan(d.rows, ["x", "folds", response], kernel, (len(jobs), length), d.parts)
-            out = []
-            for (_, beta), s in zip(asked, sums):
-                q = len(beta)
-                out.append((s[0] - beta @ beta / (2 * c), s[1:1 + q] - beta / c,
-                            s[1 + most:1 + most + q * q].reshape(q, q) + np.eye(q) / c))
-            return out
-
-        return maximise(start, evaluate)
-
-    return fit
+    return Fitter(evaluate, tail=1)
 
 
 # --- Cox ----------------------------------------------------------------------------------------
@@ -145,38 +168,37 @@ def logistic_fitter(d: Design, response: str, c: float = 1.0):
 class TimeOrder:
     """Subjects range-partitioned by falling time; equal times may span partitions.
 
-    ``shared`` names, per partition, its edge times that a neighbour also holds.
+    ``shared`` names the partitions whose first or last time a neighbour also holds, and which of the two.
+    ``group`` is the number of children of a node in the tree that carries sums from partition to partition.
     """
     rows: DataFrame
     parts: int
     p: int
     width: int
-    edges: list[tuple[int, float, float]]
-    shared: dict[int, list[float]]
+    shared: dict[int, tuple[bool, bool]]
+    group: int
 
 
-def time_ordered(d: Design, event: str, time: str, partition_rows: int | None = None) -> TimeOrder:
+def time_ordered(d: Design, event: str, time: str, partition_rows: int | None = None, group: int | None = None) -> TimeOrder:
     """Sort once for all models: the order depends on time only.
 
     The id hash is part of the range key, so a time that many subjects share is cut into several
-    partitions like any other.
+    partitions like any other.  The rows of a range stay together in a cached layout by partition
+    number, which every step of a fit reads without a shuffle.
     """
-    wanted = math.ceil(d.n / (partition_rows or COX_PARTITION_ROWS))
-    parts = max(1, wanted)
+    cores = d.rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, math.ceil(d.n / (partition_rows or COX_PARTITION_ROWS)), min(cores, d.n // COX_TASK_ROWS))
     rows = d.rows.select("id", "x", "folds", F.col(event).cast("int").alias("event"),
                          (-F.col(time).cast("double")).alias("late"))
     if parts == 1:
-        placed = rows.repartition(1)
-    else:
-        placed = rows.repartitionByRange(parts, "late", F.xxhash64("id"))
-    placed = durable(placed.sortWithinPartitions("late").withColumn("part", F.spark_partition_id()))
-    edges, shared = [], {}
-    if parts > 1:
-        edges = [tuple(r) for r in placed.groupBy("part").agg(F.min("late"), F.max("late")).collect()]
-        edges.sort()
-        ties = {a[2] for a, b in zip(edges, edges[1:]) if a[2] == b[1]}
-        shared = {part: sorted({first, last} & ties) for part, first, last in edges}
-    return TimeOrder(placed, parts, len(d.features), len(d.seeds), edges, shared)
+        placed = hold(durable(rows.repartition(1).withColumn("part", F.lit(0)).sortWithinPartitions("late")))
+        return TimeOrder(placed, 1, len(d.features), len(d.seeds), {}, group or COX_GROUP)
+    ranged = durable(rows.repartitionByRange(parts, "late", F.xxhash64("id")).withColumn("part", F.spark_partition_id()))
+    placed = hold(ranged.repartition(parts, "part").sortWithinPartitions("part", "late"))
+    edges = sorted(tuple(r) for r in placed.groupBy("part").agg(F.min("late"), F.max("late")).collect())
+    ties = {a[2] for a, b in zip(edges, edges[1:]) if a[2] == b[1]}
+    shared = {part: (first in ties, last in ties) for part, first, last in edges if first in ties or last in ties}
+    return TimeOrder(placed, parts, len(d.features), len(d.seeds), shared, group or COX_GROUP)
 
 
 def _arrays(batches, p: int, width: int):
@@ -207,53 +229,143 @@ def _weights(model: Model, beta: np.ndarray, x: np.ndarray, folds: np.ndarray):
     return z, eta, np.where(train, np.exp(eta), 0.0), train
 
 
-def _cox_carries(order: TimeOrder, jobs, q: int):
-    """First pass: what each partition needs from the others.
+class _Segment(NamedTuple):
+    """Sums over neighbouring partitions, for each model.
 
-    Returns, per partition, the sums over all later times, and for a time shared with a neighbour
-    the complete risk-set sums, event sums, event count and how many of those events the
-    partitions before hold.
+    ``total`` is the risk-set sums of all rows.  ``head`` and ``tail`` are (risk sums, event sums, events) of the
+    first and the last time, None where no neighbour holds that time.
+    """
+    first: float
+    last: float
+    total: np.ndarray
+    head: np.ndarray | None
+    tail: np.ndarray | None
+
+    def then(self, other: "_Segment") -> "_Segment":
+        """This segment and the one that follows it."""
+        head, tail = self.head, other.tail
+        if self.last == other.first:
+            both = self.tail + other.head
+            head = both if self.first == self.last else head
+            tail = both if other.first == other.last else tail
+        return _Segment(self.first, other.last, self.total + other.total, head, tail)
+
+
+def _dump(*segments: _Segment | None) -> bytes:
+    """As plain tuples: executors need not be able to import the class."""
+    return pickle.dumps([s if s is None else tuple(s) for s in segments])
+
+
+def _load(data: bytes) -> list[_Segment | None]:
+    return [s if s is None else _Segment(*s) for s in pickle.loads(data)]
+
+
+def _neighbours(segments: list[_Segment], before: _Segment | None, after: _Segment | None):
+    """What comes before and after each of the segments, given that of all together."""
+    ahead = []
+    for s in segments:
+        ahead.append(before)
+        before = s if before is None else before.then(s)
+    behind = []
+    for s in reversed(segments):
+        behind.append(after)
+        after = s if after is None else s.then(after)
+    return list(zip(ahead, behind[::-1]))
+
+
+def _carry(own: _Segment, before: _Segment | None, after: _Segment | None):
+    """What one partition needs: the sums over all later times, and for times that it shares with others the
+    complete risk-set sums, event sums, events, and how many of those events the partitions before hold."""
+    size = own.total.shape[1]
+    start = np.zeros_like(own.total) if before is None else before.total
+    ties = {}
+
+    def tie(time, risk, held, earlier, later):
+        count = np.zeros(len(risk)) if earlier is None else earlier[:, 2 * size]
+        for part in (earlier, later):
+            held = held if part is None else held + part
+        ties[time] = (risk if later is None else risk + later[:, :size], held[:, size:2 * size], held[:, 2 * size], count)
+
+    later = after.head if after is not None and after.first == own.last else None
+    if own.head is not None:
+        earlier = before.tail if before is not None and before.last == own.first else None
+        tie(own.first, start + own.head[:, :size], own.head, earlier, later if own.first == own.last else None)
+    if own.tail is not None and own.first != own.last:
+        tie(own.last, start + own.total, own.tail, None, later)
+    return start, ties
+
+
+def _cox_carries(order: TimeOrder, jobs, q: int) -> DataFrame:
+    """One row (part, v) per time partition: its carry.
+
+    Partition sums climb a tree of ``order.group`` children a node; on the way down every node learns what comes
+    before and after it.  No task holds more than one node's children, and nothing reaches the driver.
     """
     size = 1 + q + q * q
-    p, width, shared = order.p, order.width, order.shared
-
-    def kernel(batches):
-        out = part = None
-        for x, folds, event, late, part in _arrays(batches, p, width):
-            ties = shared[part]
-            if out is None:
-                out = np.zeros((len(jobs), size + len(ties) * (2 * size + 1)))
+    p, width, shared, group = order.p, order.width, order.shared, order.group
+    schema = "part int, v binary"
+
+    def add_up(table):
+        part = table.column("part")[0].as_py()
+        want_head, want_tail = shared.get(part, (False, False))
+        late = table.column("late").to_numpy()
+        total = np.zeros((len(jobs), size))
+        edges = [np.zeros((len(jobs), 2 * size + 1)) if want else None for want in (want_head, want_tail)]
+        for x, folds, event, times, _ in _arrays(table.to_batches(), p, width):
             for i, (model, beta) in enumerate(jobs):
                 z, _, w, train = _weights(model, beta, x, folds)
-                out[i, :size] += _moments(z, w, q)
-                for e, t in enumerate(ties):
-                    rows, at = late == t, size + e * (2 * size + 1)
-                    died = rows & train & (event > 0)
-                    out[i, at:at + size] += _moments(z[rows], w[rows], q)
-                    out[i, at + size:at + 2 * size] += _moments(z[died], w[died], q)
-                    out[i, at + 2 * size] += np.count_nonzero(died)
-        if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()),
-                                              pa.array([out.tobytes()], pa.binary())], names=["part", "v"])
-
-    got = {r.part: np.frombuffer(r.v).reshape(len(jobs), -1) for r in order.rows.select(
-        "x", "folds", "event", "late", "part").mapInArrow(kernel, "part int, v binary").collect()}
-    carry, running = {}, np.zeros((len(jobs), size))
-    complete: dict[float, list] = {}
-    for part, _, last in order.edges:
-        carry[part] = running
-        for e, t in enumerate(order.shared[part]):
-            at = size + e * (2 * size + 1)
-            risk, died, count, holders = complete.setdefault(
-                t, [running.copy(), np.zeros((len(jobs), size)), np.zeros(len(jobs)), []])
-            holders.append((part, count.copy()))
-            risk += got[part][:, :size] if last == t else got[part][:, at:at + size]
-            died += got[part][:, at + size:at + 2 * size]
-            count += got[part][:, at + 2 * size]
-        running = running + got[part][:, :size]
-    ties = {(part, t): (risk, died, count, earlier)
-            for t, (risk, died, count, holders) in complete.items() for part, earlier in holders}
-    return carry, ties
+                total[i] += _moments(z, w, q)
+                for edge, t in zip(edges, (late[0], late[-1])):
+                    if edge is not None:
+                        rows = times == t
+                        died = rows & train & (event > 0)
+                        edge[i, :size] += _moments(z[rows], w[rows], q)
+                        edge[i, size:2 * size] += _moments(z[died], w[died], q)
+                        edge[i, 2 * size] += np.count_nonzero(died)
+        whole = _dump(_Segment(float(late[0]), float(late[-1]), total, *edges))
+        return pa.table({"part": pa.array([part], pa.int32()), "v": pa.array([whole], pa.binary())})
+
+    def node(column="part"):
+        return F.floor(F.col(column) / group).cast("int")
+
+    def join_up(rows):
+        whole = None
+        for v in rows.sort_values("part")["v"]:
+            one, = _load(v)
+            whole = one if whole is None else whole.then(one)
+        return pd.DataFrame({"part": [int(rows["grp"].iloc[0])], "v": [_dump(whole)]})
+
+    def hand_down(leaf):
+        def down(children, parent=None):
+            children = children.sort_values("part")
+            segments = [s for v in children["v"] for s in _load(v)]
+            around = (None, None) if parent is None else _load(parent["v"].iloc[0])
+            found = _neighbours(segments, *around)
+            out = [pickle.dumps(_carry(s, *f)) for s, f in zip(segments, found)] if leaf else [_dump(*f) for f in found]
+            return pd.DataFrame({"part": children["part"].to_numpy(), "v": out})
+
+        return down
+
+    def top(leaf):
+        return lambda rows: hand_down(leaf)(rows)
+
+    def below(leaf):
+        return lambda rows, parent: hand_down(leaf)(rows, parent)
+
+    levels = [order.rows.select("x", "folds", "event", "late", "part").groupBy("part").applyInArrow(add_up, schema)]
+    nodes = order.parts
+    while nodes > group:
+        levels.append(levels[-1].withColumn("grp", node()).groupBy("grp").applyInPandas(join_up, schema))
+        nodes = -(-nodes // group)
+    known = None
+    for k in range(len(levels) - 1, -1, -1):
+        children = levels[k].withColumn("grp", node())
+        if known is None:
+            known = children.groupBy("grp").applyInPandas(top(k == 0), schema)
+        else:
+            known = children.groupBy("grp").cogroup(known.withColumnRenamed("part", "grp").groupBy("grp")).applyInPandas(
+                below(k == 0), schema)
+    return known
 
 
 def _tie_sums(s0: float, d0: float, total: float, first: float, own: float, efron: bool):
@@ -368,27 +480,35 @@ class _Sweep:
 
 
 def _cox_evaluate(order: TimeOrder, jobs, q: int, efron: bool) -> np.ndarray:
-    """Second pass: log likelihood, gradient and curvature per model, summed over partitions."""
-    carry, ties = _cox_carries(order, jobs, q) if order.parts > 1 else ({}, {})
+    """Log likelihood, gradient and curvature per model, summed over partitions."""
     size, p, width = 1 + q + q * q, order.p, order.width
+    columns = ["x", "folds", "event", "late", "part"]
 
-    def kernel(batches):
-        sweeps = None
-        for x, folds, event, late, part in _arrays(batches, p, width):
-            if sweeps is None:
-                before = carry.get(part, np.zeros((len(jobs), size)))
-                sweeps = [_Sweep(q, len(beta), before[i], {
-                    t: (risk[i], dead[i], total[i], earlier[i])
-                    for (at, t), (risk, dead, total, earlier) in ties.items() if at == part}, efron)
-                    for i, (_, beta) in enumerate(jobs)]
+    def sweep(batches, before, ties):
+        sweeps = [_Sweep(q, len(beta), before[i], {t: tuple(v[i] for v in tie) for t, tie in ties.items()}, efron)
+                  for i, (_, beta) in enumerate(jobs)]
+        for x, folds, event, late, _ in _arrays(batches, p, width):
             starts = np.flatnonzero(np.append(True, late[1:] != late[:-1]))
-            for sweep, (model, beta) in zip(sweeps, jobs):
+            for s, (model, beta) in zip(sweeps, jobs):
                 z, eta, w, train = _weights(model, beta, x, folds)
-                sweep.add(z, eta, w, train & (event > 0), late, starts)
-        if sweeps is not None:
-            yield from ((i, s.total()) for i, s in enumerate(sweeps))
+                s.add(z, eta, w, train & (event > 0), late, starts)
+        return [s.total() for s in sweeps]
+
+    if order.parts == 1:
+        def whole(batches):
+            yield from enumerate(sweep(batches, np.zeros((len(jobs), size)), {}))
+        return scan(order.rows, columns, whole, (len(jobs), size), 1)
 
-    return scan(order.rows, ["x", "folds", "event", "late", "part"], kernel, (len(jobs), size), order.parts)
+    def one(table, carry):
+        found = sweep(table.to_batches(), *pickle.loads(carry.column("v")[0].as_py()))
+        part = table.column("part")[0].as_py()
+        return pa.table({"slot": pa.array(range(len(found)), pa.int32()), "part": pa.array([part] * len(found), pa.int32()),
+                         "v": pa.array([v.tobytes() for v in found], pa.binary())})
+
+    # The cached layout is hashed and sorted by ``part``: only the carries are shuffled.
+    partial = order.rows.select(*columns).groupBy("part").cogroup(
+        _cox_carries(order, jobs, q).groupBy("part")).applyInArrow(one, PARTIAL)
+    return add_partials(partial, (len(jobs), size), order.parts)
 
 
 def cox_fitter(order: TimeOrder, alpha: float = 0.05, ties: str = "breslow"):
@@ -396,39 +516,48 @@ def cox_fitter(order: TimeOrder, alpha: float = 0.05, ties: str = "breslow"):
     if ties not in ("breslow", "efron"):
         raise ValueError(f"unknown tie rule {ties!r}")
 
-    def fit(models: list[Model], start: list[np.ndarray] | None = None) -> list[np.ndarray]:
-        start = start or [np.zeros(len(m.cols)) for m in models]
+    def evaluate(models, asked):
+        q = max(len(b) for _, b in asked)
+        per_model = 8 * (1 + 4 * bool(order.shared)) * (1 + q + q * q)
+        # Few children a node where one model alone is large; then as many models as fit beside each other.
+        fan = max(2, min(order.group, COX_GROUP_BYTES // per_model))
+        tree = replace(order, group=fan)
+        chunk = max(1, COX_GROUP_BYTES // (fan * per_model))
+        out = []
+        for at in range(0, len(asked), chunk):
+            jobs = [(models[m], b) for m, b in asked[at:at + chunk]]
+            sums = _cox_evaluate(tree, jobs, q, ties == "efron")
+            for (_, beta), s in zip(jobs, sums):
+                have = len(beta)
+                curve = s[1 + q:].reshape(q, q)[:have, :have]
+                out.append((s[0] - alpha / 2 * beta @ beta, s[1:1 + have] - alpha * beta,
+                            curve + alpha * np.eye(have)))
+        return out
 
-        def evaluate(asked):
-            q = max(len(b) for _, b in asked)
-            most = max([len(t) for t in order.shared.values()], default=0)
-            per_model = 8 * order.parts * (1 + 2 * most) * (1 + q + q * q)
-            chunk = max(1, COX_DRIVER_BYTES // per_model)
-            out = []
-            for at in range(0, len(asked), chunk):
-                jobs = [(models[m], b) for m, b in asked[at:at + chunk]]
-                sums = _cox_evaluate(order, jobs, q, ties == "efron")
-                for (_, beta), s in zip(jobs, sums):
-                    have = len(beta)
-                    curve = s[1 + q:].reshape(q, q)[:have, :have]
-                    out.append((s[0] - alpha / 2 * beta @ beta, s[1:1 + have] - alpha * beta,
-                                curve + alpha * np.eye(have)))
-            return out
-
-        return maximise(start, evaluate)
-
-    return fit
+    return Fitter(evaluate)
 
 
 # --- recursive elimination ----------------------------------------------------------------------
 
-def eliminate(fit: Callable, models: list[Model], k_max: int, mandatory: int | None = None,
+def _without(beta: np.ndarray, curve: np.ndarray, drop: int) -> np.ndarray:
+    """The maximum of the last quadratic model with coefficient ``drop`` held at zero, without that entry.
+
+    Solving the curvature once for the dropped column gives the block inverse's update of all others.
+    """
+    column = np.linalg.lstsq(curve, np.eye(len(beta))[drop], rcond=None)[0]
+    moved = beta - column / column[drop] * beta[drop] if column[drop] > 0 else beta
+    return np.delete(moved, drop)
+
+
+def eliminate(fit: Fitter, models: list[Model], k_max: int, mandatory: int | None = None,
               intercept: bool = False) -> list[dict[int, tuple[list[int], np.ndarray]]]:
     """Drop the weakest column of every model, refit, and go on down to one column.
 
     Per model: number of features -> (columns, coefficients), for 1..k_max.  One path serves all
     sizes, since a drop does not depend on where the path stops.  ``mandatory`` comes first in the
-    column order and is never dropped; equal coefficients drop the first of them.
+    column order and is never dropped; equal coefficients drop the first of them.  A refit starts where
+    the last curvature puts the maximum without the dropped column, usually so near that two or three
+    scans settle it; how far a model goes on is decided by its own step, as in any fit.
     """
     tail = 1 if intercept else 0
     state = []
@@ -442,9 +571,9 @@ def eliminate(fit: Callable, models: list[Model], k_max: int, mandatory: int | N
     start = [np.zeros(len(m.cols) + tail) for m in state]
     live = list(range(len(models)))
     while live:
-        betas = fit([state[i] for i in live], [start[i] for i in live])
+        betas, curves = fit.solve([state[i] for i in live], [start[i] for i in live])
         following = []
-        for i, beta in zip(live, betas):
+        for i, beta, curve in zip(live, betas, curves):
             cols = state[i].cols
             if np.isnan(beta).any():      # no fit, so nothing to choose by: the path ends here
                 for k in range(1, min(len(cols), k_max) + 1):
@@ -461,7 +590,7 @@ def eliminate(fit: Callable, models: list[Model], k_max: int, mandatory: int | N
             drop = int(np.argmin(weight))
             kept = [a for a in range(len(cols)) if a != drop]
             state[i] = state[i].take([cols[a] for a in kept])
-            start[i] = beta[kept + ([len(cols)] if intercept else [])]
+            start[i] = _without(beta, curve, drop)
             following.append(i)
         live = following
     return found

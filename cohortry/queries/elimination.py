@@ -183,9 +183,9 @@ def f5(spark, sf):
 
 @query("F5_rfe_three_partitioned", path_sql("event", cox_step, N, 0))
 def f5_partitioned(spark, sf):
-    """The same over time partitions of a few thousand subjects."""
+    """The same over time partitions of a few thousand subjects, their sums carried by a tree of two children a node."""
     d = folded(spark, sf, "event")
-    fit = newton.cox_fitter(newton.time_ordered(d, "event", "time", partition_rows=2_000), 0.05)
+    fit = newton.cox_fitter(newton.time_ordered(d, "event", "time", partition_rows=2_000, group=2), 0.05)
     return of_three(elimination_paths(spark, d, fit, newton.fold_models(d, design.learn_folds(d)), COLUMNS[0]))
 
 

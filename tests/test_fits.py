@@ -1,5 +1,7 @@
 """Selection, cross-validation and the survival report against plain NumPy on small random tables."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +211,102 @@ def test_score_symmetries(data):
     hot = train.withColumn("s", F.lit(1.0))
     assert index(F.lit(2.0)) == pytest.approx(0.5)
     assert scoring.roc_auc(hot, [], "s", "y").first().auc == pytest.approx(0.5)
+
+
+def test_carries_of_a_tree_are_those_of_a_scan():
+    """Random partitions, ties that span several of them, any number of children: each partition gets the sums of
+    all later times and whole sums of the times it shares."""
+    rng = np.random.default_rng(4)
+    q = 2
+    for _ in range(60):
+        n = int(rng.integers(2, 40))
+        late = np.sort(rng.integers(0, rng.integers(1, 12), n)).astype(float)
+        cuts = np.unique(rng.integers(1, n, rng.integers(1, 10))) if n > 1 else []
+        pieces = np.split(np.arange(n), cuts)
+        rows = rng.normal(size=(n, 1 + q + q * q))
+        died = rng.random(n) < 0.5
+
+        def edge(at):
+            return np.concatenate([rows[at].sum(0), rows[at][died[at]].sum(0), [died[at].sum()]])[None, :]
+
+        segments = [newton._Segment(late[p[0]], late[p[-1]], rows[p].sum(0)[None, :], edge(p[late[p] == late[p[0]]]),
+                                    edge(p[late[p] == late[p[-1]]])) for p in pieces]
+
+        def descend(level, around, fan):
+            if len(level) <= fan:
+                return newton._neighbours(level, *around)
+            groups = [level[k:k + fan] for k in range(0, len(level), fan)]
+            whole = []
+            for g in groups:
+                total = g[0]
+                for s in g[1:]:
+                    total = total.then(s)
+                whole.append(newton._load(newton._dump(total))[0])
+            return [f for g, a in zip(groups, descend(whole, around, fan)) for f in newton._neighbours(g, *a)]
+
+        for p, s, found in zip(pieces, segments, descend(segments, (None, None), int(rng.integers(2, 5)))):
+            start, ties = newton._carry(s, *found)
+            assert np.allclose(start[0], rows[:p[0]].sum(0))
+            assert set(ties) == {late[p[0]], late[p[-1]]}
+            for t, (risk, dead, count, earlier) in ties.items():
+                same = late == t
+                assert np.allclose(risk[0], rows[late <= t].sum(0)) and np.allclose(dead[0], rows[same & died].sum(0))
+                assert count[0] == (same & died).sum()
+                assert earlier[0] == ((same & died)[:p[0]].sum() if t == late[p[0]] else 0)
+
+
+def test_cox_over_many_partitions_equals_one(spark):
+    """400 time partitions, hot times across many of them, four levels of the tree: the fit of one partition."""
+    rng = np.random.default_rng(9)
+    n = 2_400
+    x = rng.normal(size=(n, 3))
+    time = np.where(rng.random(n) < 0.4, rng.integers(1, 4, n) * 5.0, np.round(rng.exponential(10, n), 1))
+    df = spark.createDataFrame([(k, *map(float, x[k]), int(rng.random() < 0.6), float(time[k])) for k in range(n)],
+                               "id long, a double, b double, c double, event int, time double")
+    d = design.design_table(df, "id", ["a", "b", "c"], ["event", "time"])
+    one = np.ones(3)
+    model = newton.Model(None, None, [0, 1, 2], -9 * one, 9 * one, 0 * one, one)
+    whole = newton.time_ordered(d, "event", "time")
+    cut = newton.time_ordered(d, "event", "time", partition_rows=6, group=5)
+    assert (whole.parts, cut.parts) == (1, 400) and len(cut.shared) > 100
+    for alpha, ties in ((.05, "breslow"), (0.0, "efron")):
+        fits = [newton._cox_evaluate(o, [(model, np.array([.3, -.2, .1]))], 3, ties == "efron") for o in (whole, cut)]
+        assert np.allclose(*fits, rtol=1e-10, atol=1e-10)
+    fits = [newton.cox_fitter(o, .05)([model])[0] for o in (whole, replace(cut, group=64))]
+    assert fits[0] == pytest.approx(fits[1], abs=1e-10)
+
+
+def test_carries_stay_off_the_driver_and_rows_in_place(spark):
+    """The plan of a step shuffles carries only; the rows are read from their cached layout."""
+    df = spark.createDataFrame([(k, k % 7 / 7, int(k % 3 == 0), float(k % 40)) for k in range(500)], "id long, a double, event int, time double")
+    d = design.design_table(df, "id", ["a"], ["event", "time"])
+    order = newton.time_ordered(d, "event", "time", partition_rows=50, group=4)
+    model = newton.Model(None, None, [0], np.array([-9.]), np.array([9.]), np.zeros(1), np.ones(1))
+    carries = newton._cox_carries(order, [(model, np.zeros(1))], 1)
+    step = order.rows.groupBy("part").cogroup(carries.groupBy("part")).applyInArrow(lambda a, b: a, order.rows.schema)
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    for block in plan.split("Exchange hashpartitioning(")[1:]:
+        assert "late" not in block.split("\n")[0]
+    below = [line for line in plan.split("\n") if "FlatMapCoGroupsInArrow" in line or "InMemoryTableScan" in line]
+    assert below[0].strip().startswith(("+- FlatMapCoGroupsInArrow", "FlatMapCoGroupsInArrow"))
+    first = plan[plan.index("FlatMapCoGroupsInArrow"):].split("\n")[1]
+    assert "InMemoryTableScan" in first      # neither a shuffle nor a sort stands between
+    assert newton._cox_carries.__code__.co_names.count("collect") == 0
+
+
+@pytest.mark.parametrize("outcome", ["y", "event"])
+def test_elimination_needs_few_scans(data, outcome):
+    """After the first fit a refit starts at the block-inverse update; the path is that of cold starts."""
+    train, _ = data
+    folded = split.stratified_kfold(train, "id", outcome, 3, [1, 2])
+    d = design.design_table(folded, "id", NAMES, [outcome] + (["time"] if outcome == "event" else []), [1, 2], 3)
+    models = newton.fold_models(d, design.learn_folds(d))
+    logistic = outcome == "y"
+    make = (lambda: newton.logistic_fitter(d, "y")) if logistic else (lambda: newton.cox_fitter(newton.time_ordered(d, "event", "time")))
+    fit, first, cold = make(), make(), make()
+    paths = newton.eliminate(fit, models, 4, None, logistic)
+    first(models)
+    assert fit.evaluations - first.evaluations <= 3 * (len(NAMES) - 1)
+    for model, path in zip(models, paths):
+        for cols, beta in path.values():
+            assert beta == pytest.approx(cold([model.take(cols)])[0], abs=1e-8)

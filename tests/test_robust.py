@@ -112,7 +112,7 @@ def test_newton_reports_models_that_fail():
         return [(-np.exp(-b[0]), np.array([np.exp(-b[0])]), np.array([[np.exp(-b[0])]])) if m == 0 else
                 (float("nan"), b, np.eye(1)) if m == 1 else (-(b[0] - 2) ** 2, np.array([4 - 2 * b[0]]), np.array([[2.0]])) for m, b in asked]
 
-    out = newton.maximise([np.zeros(1)] * 3, evaluate, steps=12)
+    out, _ = newton.maximise([np.zeros(1)] * 3, evaluate, steps=12)
     assert np.isnan(out[0]).all() and np.isnan(out[1]).all() and out[2][0] == pytest.approx(2)
 
 

@@ -14,19 +14,20 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import col, durable, one_space, text_of
+from cohortry.llm.common import col, durable, one_space, spare_name, text_of
 
 FAN_IN = 16
 HOT_GROUPS = 10_000     # at most so many groups of copies are broadcast: a group is hot above rows / HOT_GROUPS rows
 KEY = ["__dedup_sha", "__dedup_check", "__dedup_bytes"]
 
 
-def _digests(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds the digest of the normalised text, and an independent hash and the length that verify it."""
+def _digests(df: DataFrame, text_col: str, names: list[str] = KEY) -> DataFrame:
+    """Adds the digest of the normalised text, and an independent hash and the length that verify it, as ``names``."""
     text = one_space(text_of(text_col))
-    return (df.withColumn("__dedup_norm", text)
-            .withColumns({KEY[0]: F.unhex(F.sha2(F.col("__dedup_norm").cast("binary"), 256)), KEY[1]: F.xxhash64("__dedup_norm"),
-                          KEY[2]: F.octet_length("__dedup_norm")}).drop("__dedup_norm"))
+    norm = spare_name(df, "__dedup_norm")
+    return (df.withColumn(norm, text)
+            .withColumns({names[0]: F.unhex(F.sha2(F.col(norm).cast("binary"), 256)), names[1]: F.xxhash64(norm),
+                          names[2]: F.octet_length(norm)}).drop(norm))
 
 
 def merge_runs(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
@@ -78,17 +79,20 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     rows = _numbered(df, id_col, text_col)
     tree = merge_runs(rows, fan_in)
     kept = durable(tree.select(F.col("_who.id").alias("_id"), *KEY), "kept")
-    whole = _digests(df, text_col)
-    same = col(id_col).eqNullSafe(kept["_id"])
-    for k in KEY:
-        same = same & (whole[k] == kept[k])
-    out = whole.join(kept, same, "left_semi")
+    names = [spare_name(df, k) for k in KEY]
+    whole = _digests(df, text_col, names)
+
+    def same_as(left: DataFrame, right: DataFrame, id_name: str):
+        same = col(id_col).eqNullSafe(right[id_name])
+        for name, k in zip(names, KEY):
+            same = same & (left[name] == right[k])
+        return same
+
+    out = whole.join(kept, same_as(whole, kept, "_id"), "left_semi")
     repeated = rows.groupBy("_who.id", *KEY).count().where("count > 1").drop("count")
     if not repeated.isEmpty():     # the same identifier and text twice: only these rows need one of them picked
         repeated = durable(repeated.join(kept, KEY, "left_semi"), "repeated")
-        again = col(id_col).eqNullSafe(repeated["id"])
-        for k in KEY:
-            again = again & (out[k] == repeated[k])
+        again = same_as(out, repeated, "id")
         out = out.join(repeated, again, "left_anti").unionByName(
-            out.join(repeated, again, "left_semi").dropDuplicates([id_col, *KEY]))
-    return out.drop(*KEY)
+            out.join(repeated, again, "left_semi").dropDuplicates([id_col, *names]))
+    return out.drop(*names)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import col, durable
+from cohortry.llm.common import col, durable, spare_name
 
 TRAIN_ROWS = 6_000       # labelled rows per language that the model learns from, about
 WORDS = 60_000           # most frequent words kept per language
@@ -155,5 +155,6 @@ def identify_language(df: DataFrame, model: LanguageModel, text_col: str = "text
     that repeat are predicted alike; an empty table stays empty.
     """
     said = predictor(model)(col(text_col).cast("string"))
-    return (df.drop("lang_pred", "score", "__language").withColumn("__language", said)
-            .withColumns({"lang_pred": F.col("__language.lang_pred"), "score": F.col("__language.score")}).drop("__language"))
+    name = spare_name(df, "__language")
+    return (df.drop("lang_pred", "score").withColumn(name, said)
+            .withColumns({"lang_pred": F.col(name)["lang_pred"], "score": F.col(name)["score"]}).drop(name))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.llm.common import col, durable
+from cohortry.llm.common import col, durable, spare_name
 from cohortry.llm.components import connected_components
 
 SEED = 42
@@ -167,5 +167,6 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     found = simhash_components(df.select(col(id_col).alias("id"), col(text_col).alias("text")), "id", "text", words, radius)
     stay = found.groupBy("id").agg(F.max(F.col("id") == F.col("component_id")).alias("stays")).where("not stays")
-    gone = durable(stay.select(F.col("id").alias("__simhash_id")), "near-copies")
-    return df.join(gone, col(id_col) == F.col("__simhash_id"), "left_anti")
+    name = spare_name(df, "__simhash_id")
+    gone = durable(stay.select(F.col("id").alias(name)), "near-copies")
+    return df.join(gone, col(id_col) == F.col(name), "left_anti")

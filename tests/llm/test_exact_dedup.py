@@ -62,3 +62,19 @@ def test_registered_query(spark):
     assert not compare(connect(path), QUERIES["op10_exact_dedup"](spark, path), ORACLES["op10_exact_dedup"])
     plan = exact_dedup(spark.read.parquet(f"{path}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_stage_functions_keep_columns_of_any_name(spark):
+    from cohortry.llm.language import identify_language, train_language_model
+    from cohortry.llm.simhash import drop_near_copies
+    names = ["__dedup_sha", "__dedup_check", "__dedup_bytes", "__dedup_norm", "__simhash_id", "__language"]
+    rows = [(k, t, *[f"{c}{k}" for c in names]) for k, t in ((1, "one text of words"), (2, "one  text of words"), (3, None), (4, "another text"), (4, "another text"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = drop_copies(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, *[r[c] for c in names]) for r in kept.collect()) == sorted({(r[0], *r[2:]) for r in rows if r[0] != 2})
+    near = drop_near_copies(df)
+    assert near.columns == df.columns and {tuple(r) for r in near.collect()} <= set(rows)
+    model = train_language_model(spark.createDataFrame([("one text", "en"), ("ein wort", "de")], "text string, lang string").selectExpr("monotonically_increasing_id() doc_id", "*"))
+    said = identify_language(df, model)
+    assert set(said.columns) == {*df.columns, "lang_pred", "score"} and {r["__language"] for r in said.collect()} == {r[-1] for r in rows}

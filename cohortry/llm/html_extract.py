@@ -6,7 +6,8 @@ such an order become one group in which each is optional).  The expressions of a
 repeats, until one wrapper describes every page of the host.  Slots carry the elements they stand in and, over all
 pages of the host, how much text they held.  A page's main text is all of its text that does not stand in boilerplate:
 titles, leads and what follows stay beside an article or the container that holds most.  Of it the template's text goes:
-what outside article and main elements is the same in one slot of every page of the host that has the slot.
+what outside article and main elements is the same in one slot of every page of the host that has the slot, unless it
+stands on the page in a container beside text that varies: headings, table heads and labels stay.
 
 All pages take part in the wrapper of their host.  Equal expressions are counted before they are aligned, and a host
 with many different ones is aligned in rounds of bounded groups, so neither a large host nor an irregular one ends up
@@ -45,6 +46,9 @@ KNOWN = frozenset("a abbr acronym address applet area article aside audio b base
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
                    "span strike strong sub sup time tt u var wbr br img".split())
+# Elements of text: blocks, lists and tables.  What holds them is a container.
+TEXTUAL = frozenset("address blockquote caption center col colgroup dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre summary "
+                    "table tbody td tfoot th thead tr ul".split())
 # An element that opens closes these, when one is open and no element of the second list stands between.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -349,13 +353,15 @@ def templates(wrapper: list, constant: list[tuple[str, str]]) -> list[str]:
     return sorted(key for path, key in constant if path in slots)
 
 
-def page_blocks(page: str) -> list[tuple[str, list[tuple[str, str]]]]:
-    """The blocks of a page that hold text outside of what never is main text: path, and pieces of text with their paths."""
-    found, path, held = [], [], []
+def page_blocks(page: str) -> list[tuple[str, list[tuple[str, str]], list[int]]]:
+    """The blocks of a page that hold text outside of what never is main text: path, pieces of text with their paths, and the
+    containers around it, numbered over the page, from the outermost in."""
+    found, path, held, around = [], [], [], [0]
+    opened = 0
 
     def flush():
         if any(not t.isspace() for _, t in held):
-            found.append(("/".join(path), held[:]))
+            found.append(("/".join(path), held[:], sorted(set(around))))
         held.clear()
 
     for kind, value in walk(page):
@@ -365,12 +371,16 @@ def page_blocks(page: str) -> list[tuple[str, list[tuple[str, str]]]]:
                 held.append((here, html.unescape(value)))
             continue
         # An inline element that is boilerplate goes without cutting the block around it.
-        if value is None or value.split(".")[0] not in INLINE:
+        tag = None if value is None else value.split(".")[0]
+        if tag is None or tag not in INLINE:
             flush()
         if kind == "open":
+            opened += 1
             path.append(value)
+            around.append(around[-1] if tag in INLINE or tag in TEXTUAL else opened)
         elif kind == "close":
             path.pop()
+            around.pop()
     flush()
     return found
 
@@ -382,7 +392,7 @@ def text_key(path: str, pieces: list[tuple[str, str]]) -> str:
 
 def page_texts(page: str) -> tuple[list[tuple[str, str, int]], int]:
     """The different (path, key, characters) of a page's blocks outside article and main elements, and the characters of all."""
-    blocks = [(at, pieces, sum(len("".join(t.split())) for _, t in pieces)) for at, pieces in page_blocks(page)]
+    blocks = [(at, pieces, sum(len("".join(t.split())) for _, t in pieces)) for at, pieces, _ in page_blocks(page)]
     return sorted({(at, text_key(at, pieces), n) for at, pieces, n in blocks if not standing(at)[2]}), sum(n for _, _, n in blocks)
 
 
@@ -392,11 +402,15 @@ def extract(page: str, rules: dict[str, list]) -> str:
     One line per block, white space inside a block as one space.
     """
     found = page_blocks(page)
-    kept = spared([(here, t) for _, pieces in found for here, t in pieces], rules["heavy"])
+    kept = spared([(here, t) for _, pieces, _ in found for here, t in pieces], rules["heavy"])
+    lines = [(" ".join("".join(t for here, t in pieces if kept.issuperset(standing(here)[1])).split()), at, pieces, around) for at, pieces, around in found]
+    lines = [x for x in lines if x[0]]
     if rules["template"]:
-        found = [(at, pieces) for at, pieces in found if standing(at)[2] or text_key(at, pieces) not in rules["template"]]
-    lines = (" ".join("".join(t for here, t in pieces if kept.issuperset(standing(here)[1])).split()) for _, pieces in found)
-    return "\n".join(t for t in lines if t)
+        shared = set(rules["template"])
+        same = [not standing(at)[2] and text_key(at, pieces) in shared for _, at, pieces, _ in lines]
+        varied = {k for x, constant in zip(lines, same) if not constant for k in x[3]}
+        lines = [x for x, constant in zip(lines, same) if not constant or x[3][-1] in varied]
+    return "\n".join(x[0] for x in lines)
 
 
 def host_of(url):

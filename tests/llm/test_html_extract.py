@@ -3,7 +3,9 @@ import json
 import re
 from collections import Counter
 
-from cohortry.llm.html_extract import align, containers, extract, extract_main_text, fold, infer_wrappers, host_of, page_expression
+import pytest
+
+from cohortry.llm.html_extract import SEVERAL, align, containers, extract, extract_main_text, fold, infer_wrappers, host_of, page_expression
 from cohortry.llm.registry import QUERIES
 
 RICH = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>"</script></head><body class="post sidebar">
@@ -121,6 +123,18 @@ def test_text_of_the_template_goes(spark):
                                 f"Long text number {i} of this host, with many words of its own in every page."]
 
 
+@pytest.mark.parametrize("n", [4, 5, 8, 50])
+def test_headings_that_all_pages_share_stay(spark, n):
+    """Headings, table heads and labels beside text that varies are main text on hosts of any size; a strap of its own goes."""
+    page = ("<body><div>Follow us daily</div><div class='content'><h1>Title {0}</h1><h2>Ingredients</h2><ul><li>Salt</li><li>Flour {0}</li></ul>"
+            "<table><tr><th>Name</th><th>Grams</th></tr><tr><td>Sugar</td><td>{0}</td></tr></table><h2>Method</h2><p>Stir <b>well</b> {0} times and let it rest in a warm place until evening comes, then bake it until it is brown all over.</p></div></body>")
+    rows = [(i, "http://recipes.example/", page.format(i)) for i in range(n)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: t.removeprefix("Follow us daily\n") for k, t in got.items()} == {
+        i: f"Title {i}\nIngredients\nSalt\nFlour {i}\nName\nGrams\nSugar\n{i}\nMethod\nStir well {i} times and let it rest in a warm place until evening comes, then bake it until it is brown all over." for i in range(n)}
+    assert all(("Follow us daily" in t) == (n < SEVERAL) for t in got.values())
+
+
 def test_names_of_pages_do_not_grow_wrappers(spark):
     """Slugs, generated classes and made-up elements leave one expression per host; what a name must tell, it tells."""
     letters = ["".join(chr(97 + i // 26 ** k % 26) for k in range(3)) for i in range(60)]

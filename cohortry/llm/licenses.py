@@ -164,7 +164,20 @@ OGL-UK-1.0 OGL-UK-2.0 OGL-UK-3.0 OGTSL OLDAP-2.8 OpenSSL OSET-PL-2.1 OSL-1.0 OSL
 PHP-3.01 PolyForm-Noncommercial-1.0.0 PolyForm-Small-Business-1.0.0 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 RPL-1.1 RPL-1.5 RPSL-1.0 RSCPL
 Ruby SimPL-2.0 SISSL Sleepycat SPL-1.0 SSPL-1.0 TCL Unicode-DFS-2015 Unicode-DFS-2016 Unlicense UPL-1.0 Vim VSL-1.0 W3C W3C-19980720
 Watcom-1.0 WTFPL X11 Xnet XFree86-1.1 Xerox Zend-2.0 Zlib zlib-acknowledgement ZPL-2.0 ZPL-2.1""".split()
-SPDX_LEAD = "spdx license identifier (?:(?:[^ ]+ ){1,10}?(?:or|and|with) )?"      # an identifier may stand in an expression
+TAG = "spdx license identifier"
+OPERAND_WORDS = 10      # what stands between two operators of an expression has at most so many words; operators are not counted
+
+
+def spdx_lead(words: str) -> str:
+    """What stands before an identifier: the tag, and operands with their operators up to the identifier's first place.
+
+    An expression may have any number of operands.  Every repetition is possessive, so a text is walked once and Java
+    needs no stack for it.
+    """
+    operand = rf"(?:(?!(?:or|and|with|spdx) )[^ ]+ ){{1,{OPERAND_WORDS}}}+"
+    return rf"{TAG} (?:(?!{words} ){operand}(?:or|and|with) )*+"
+
+
 # How a name is stated, strongest first: what stands before it, weight.
 STATED = [
     (r"(?:spdx license identifier) ", 1.0),
@@ -184,7 +197,7 @@ PASSAGES = [
     Rule("mit", "the above copyright notice and this permission notice shall be included in all copies", "this permission notice", 0.9),
     Rule("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy", 1.0),
     Rule("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use", 0.95),
-    Rule("bsd-3-clause", "neither the name of (?:[^ ]+ ){1,12}?nor the names of its contributors", "neither the name of", 0.95),
+    Rule("bsd-3-clause", "nor the names of its contributors", "nor the names", 0.95),
     Rule("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "provided as is", 0.95),
     Rule("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 1.0),
     Rule("gpl", "this program is free software you can redistribute it and or modify it", "free software", 0.9),
@@ -205,7 +218,7 @@ PASSAGES = [
     Rule("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free", 1.0),
     Rule("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "permission to use copy", 1.0),
     Rule("hpnd", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:and without fee is hereby granted|is hereby granted without fee)", "permission to use copy", 0.95),
-    Rule("x11", "except as contained in this notice the names? of (?:[^ ]+ ){1,12}?shall not be used in advertising", "except as contained", 0.9),
+    Rule("x11", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software", "shall not be used", 0.9),
     Rule("json", "the software shall be used for good not evil", "the software shall", 1.0),
     Rule("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer", "if we meet", 1.0),
     Rule("bsl-1.0", "the copyright notices in the software and this entire statement including the above license grant", "the copyright notices", 1.0),
@@ -219,7 +232,7 @@ PASSAGES = [
     Rule("no-warranty", "(?:is )?provided as is without warrant(?:y|ies) of any kind", "provided as is", 0.4),
     Rule("proprietary", "(?:proprietary and confidential|confidential and proprietary)", "confidential", 0.7),
     Rule("proprietary", "(?:unauthorized|unauthorised) (?:copying|reproduction|distribution|use)(?: or distribution)? (?:of this [^ ]+ )?(?:is )?(?:strictly )?prohibited", "prohibited", 0.7),
-    Rule("proprietary", "may not be (?:reproduced|copied|distributed)(?: [^ ]+){0,6}? without (?:the )?(?:prior |express )?(?:written )?permission", "may not be", 0.6),
+    Rule("proprietary", "may not be (?:reproduced|copied|distributed)(?: (?!may |without )[^ ]+)*+ without (?:the )?(?:prior |express )?(?:written )?permission", "may not be", 0.6),
     Rule("copyright", "(?:copyright|copr)(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)?[0-9]{2})?", "copyright|copr", 0.3),
     Rule("copyright", "copyright (?:c )?by (?:the )?[^ ]+", "copyright", 0.3),
 ]
@@ -228,7 +241,7 @@ PASSAGES = [
 def signature_rules() -> list[Rule]:
     """All rules in order of priority: passages, identifiers, every license name in every way it is stated, short names."""
     ids = [(x.lower(), re.sub("[^a-z0-9]+", " ", x.lower())) for x in SPDX]
-    tagged = [Rule(label, f"{SPDX_LEAD}(?:{words}{'(?: only| or later)?' if re.match('[al]?gpl|gfdl', words) else ''})", "spdx license identifier", 1.0, lead=SPDX_LEAD)
+    tagged = [Rule(label, f"{spdx_lead(words)}(?:{words}{'(?: only| or later)?' if re.match('[al]?gpl|gfdl', words) else ''})", TAG, 1.0, lead=spdx_lead(words))
               for label, words in ids]
     named = [Rule(label, f"{lead}(?:{pattern})", keyword, weight, lead=lead)
              for lead, weight in STATED for label, pattern, keyword in NAMES]

@@ -137,3 +137,24 @@ def test_registered_query(spark):
     got = sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in QUERIES["op2_licenses"](spark, path).collect())
     assert got == sorted((r.doc_id, *base_of(r.text)) for r in docs)
     assert any(r[2] for r in got)
+
+
+def test_expressions_of_any_length(spark):
+    """Every identifier of an expression is found, however many stand before it; prose after the tag is not walked."""
+    ids = ["MIT", "BSD-2-Clause", "Apache-2.0", "Zlib", "ISC"]
+    many = " OR ".join(f"LicenseRef-{i}" for i in range(20_000))
+    texts = [f"SPDX-License-Identifier: ({' AND '.join(ids)})", "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 AND (Zlib OR MIT)",
+             f"SPDX-License-Identifier: {many} OR ISC", "SPDX-License-Identifier: MIT " + "some more words of prose here " * 4 + "and isc",
+             "SPDX-License-Identifier: or or or and SPDX-License-Identifier: Zlib"]
+    got = {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "apache-2.0,bsd-2-clause,isc,mit,zlib", 1: "gpl-2.0,mit,zlib", 2: "isc", 3: "mit", 4: "zlib"}
+
+
+def test_holders_of_any_length(spark):
+    holder = "a very long holder " * 30
+    texts = [f"Neither the name of the {holder} nor the names of its contributors may be used", f"Except as contained in this notice, the name of the {holder} "
+             "shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software",
+             "No part may be reproduced " + "in any form or by any means " * 2000 + "without prior written permission", "may not be copied " * 20_000]
+    texts[2] = texts[2].replace("No part may be", "This may not be")
+    got = {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "bsd-3-clause", 1: "x11", 2: "proprietary", 3: ""}

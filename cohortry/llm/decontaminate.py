@@ -18,15 +18,16 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NullType
 
-from cohortry.llm.common import col
+from cohortry.llm.common import col, durable
 
 SIMILARITY = 0.8          # 1 - edits / words of the item
 RECALL = 0.99             # of pairs at the allowed distance, for the number of tables
@@ -245,19 +246,18 @@ def build_index(items: list[tuple[object, str]], similarity: float = SIMILARITY,
 
 
 def hit_columns(items: DataFrame, id_col: str = "item_id", text_col: str = "text", similarity: float = SIMILARITY,
-                recall: float = RECALL, block: int = BLOCK) -> list:
-    """Column functions, one per block of at most about ``block`` items: text to its hits.
+                recall: float = RECALL, block: int = BLOCK) -> Iterator[tuple[Callable[[Column], Column], bool]]:
+    """Column functions, one per block of at most about ``block`` items, text to its hits, and whether more follow.
 
-    The item table is cut into blocks by a hash of the identifier; only one block's items are in memory at a time
-    on the driver, and each travels to the tasks with its function.  Whole numbers come out as long, other identifiers
-    as they are; items without identifier are looked for, too.
+    The item table is cut into blocks by a hash of the identifier.  A block is read, indexed and pickled only when it is
+    asked for; a caller that writes what one function found before it asks for the next holds one block at a time.
+    Whole numbers come out as long, other identifiers as they are; items without identifier are looked for, too.
     """
     plain = items.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     if isinstance(plain.schema["id"].dataType, (IntegralType, NullType)):
         plain = plain.withColumn("id", F.col("id").cast("long"))
     hit_type = HIT.format(plain.schema["id"].dataType.simpleString())
     blocks = max(1, -(-plain.count() // block))
-    out = []
     for b in range(blocks):
         part = plain.where(F.pmod(F.xxhash64("id", F.lit("block"), F.when(F.col("id").isNull(), F.col("text"))), F.lit(blocks)) == b) if blocks > 1 else plain
         index = build_index([(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()], similarity, recall)
@@ -270,35 +270,45 @@ def hit_columns(items: DataFrame, id_col: str = "item_id", text_col: str = "text
 
             return hits
 
-        out.append(make(index))
-    return out
+        hits = make(index)
+        del index
+        yield hits, b + 1 < blocks
+        del hits
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                 item_text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+                 item_text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """One row per document and item that occurs in it: ``id_col``, item_id, start_word, end_word, n_words (of the item), distance,
     similarity.
 
     An item occurs where a stretch of the document differs from it by at most ``(1 - similarity) * n_words`` word
     edits; the best stretch is reported, ties to the first.  Null and empty documents, items with null or empty text match
     nothing; items with text but no identifier are reported with a null item_id; repeated document rows give repeated hits, repeated items one hit.  Other columns are not touched; empty
-    tables give an empty result.
+    tables give an empty result.  A block of items is one pass over the documents; with several blocks its hits are
+    written before the next block is indexed.
     """
     found = None
-    for hits in hit_columns(items, item_col, item_text, similarity, recall):
+    for hits, more in hit_columns(items, item_col, item_text, similarity, recall, block):
         part = docs.select(col(id_col).alias("id"), F.explode(hits(col(text_col).cast("string"))).alias("hit")).select(
             F.col("id").alias(id_col), "hit.*")
+        if more or found is not None:
+            part = durable(part, "hits")
         found = part if found is None else found.unionByName(part)
+        del hits, part
     return found.withColumn("similarity", 1 - F.col("distance") / F.col("n_words"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-                      similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs`` in which no item occurs, with their columns and nothing else; no row moves.
+                      similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` in which no item occurs, with their columns and nothing else; no row is shuffled.
 
-    Identifiers of items do not matter, those without one count, too.
+    A block of items is one pass; between passes the rows still clean are written, so one block's index is held at a
+    time.  Identifiers of items do not matter, those without one count, too.
     """
     out = docs
-    for hits in hit_columns(items, item_col, item_text, similarity, recall):
+    for hits, more in hit_columns(items, item_col, item_text, similarity, recall, block):
         out = out.where(F.size(hits(col(text_col).cast("string"))) == 0)
+        if more:
+            out = durable(out, "clean")
+        del hits
     return out

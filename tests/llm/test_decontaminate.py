@@ -1,7 +1,10 @@
+import gc
 import random
+import weakref
 
 import numpy as np
 
+from cohortry.llm import decontaminate
 from cohortry.llm.decontaminate import (allowed, best_occurrence, build_index, contaminated, drop_contaminated, walks, words_of)
 from cohortry.llm.registry import QUERIES
 
@@ -137,3 +140,27 @@ def test_items_without_or_with_other_identifiers(spark):
     both = spark.createDataFrame([("one two three four five, six seven eight nine ten",)], "text string").selectExpr("1 AS doc_id", "text")
     items = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (5, texts[1])], "item_id long, text string")
     assert [(r.item_id, r.start_word) for r in contaminated(both, items).collect()] == [(5, 5), (None, 0), (None, 5)]
+
+
+def test_one_block_of_items_at_a_time(spark, monkeypatch):
+    """An index is gone before the next one is built, whatever the number of blocks, and the blocks together find the same."""
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choices(vocab, k=12))) for k in range(64)]
+    docs = [(k, " ".join(rng.choices(vocab, k=20)) + " " + (items[k][1] if k < 64 else "") + " " + " ".join(rng.choices(vocab, k=9))) for k in range(80)]
+    df, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    alive, most = [], []
+
+    def counted(*args):
+        gc.collect()
+        index = build_index(*args)
+        alive.append(weakref.ref(index))
+        most.append(sum(x() is not None for x in alive))
+        return index
+
+    monkeypatch.setattr(decontaminate, "build_index", counted)
+    for block in (100, 8):
+        most.clear()
+        assert sorted((r.doc_id, r.item_id) for r in contaminated(df, table, block=block).collect()) == [(k, k) for k in range(64)]
+        assert sorted(r.doc_id for r in drop_contaminated(df, table, block=block).collect()) == list(range(64, 80))
+        assert len(most) == (2 if block == 100 else 16) and max(most) == 1

@@ -1,10 +1,11 @@
-"""Exact dedup by a tree of digest runs, merged by hash grouping.
-
-Every input partition holds one run: its distinct digests, each with its smallest identifier and its number of
-rows.  Runs are not sorted; hash grouping stands in for the sorted merge.  In each round ``fan_in`` runs of
-neighbouring partitions meet (partition r and round k meet in r >> k*log2(fan_in)) and are grouped by digest,
-keeping the smallest identifier, until one run, spread over all partitions by digest, is left.  A digest that a third of all rows share is one row
-per run from the first level on, and is never a group.
+"""Exact dedup by a tree-merge of sorted digest runs.
+
+Every input partition sorts its digests into one run: each distinct digest once, with its smallest identifier and its
+number of rows.  In each round ``fan_in`` runs of neighbouring partitions meet (partition r and round k meet in
+r >> k*log2(fan_in)).  Runs are exchanged in slices, ranges of the digest, so that a task gets one range of the runs
+that meet; it sorts what it got and merges adjacent equal digests in a streamed, sorted aggregation, keeping the
+smallest identifier.  In the end one run is left, cut into its slices; their number grows with the rows.  A digest that
+a third of all rows share is one row per run from the first level on, and is never a group.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from cohortry.llm.common import col, durable, one_space, spare_name, text_of
 
 FAN_IN = 16
+SLICE_BITS = 6          # the range of digests is cut into 2^SLICE_BITS slices at least,
+SLICE_ROWS = 500_000    # and into so many that one has about this many rows
 HOT_GROUPS = 10_000     # at most so many groups of copies are broadcast: a group is hot above rows / HOT_GROUPS rows
 KEY = ["__dedup_sha", "__dedup_check", "__dedup_bytes"]
 
@@ -30,18 +33,34 @@ def _digests(df: DataFrame, text_col: str, names: list[str] = KEY) -> DataFrame:
                           names[2]: F.octet_length(norm)}).drop(norm))
 
 
+def merge_round(level: DataFrame, bits: int) -> DataFrame:
+    """One round: 2^bits neighbouring runs become one.  Its partitions come out sorted by slice, run and digest.
+
+    The smallest of a struct is kept by Spark's sorted aggregation, which needs this very order: the plan sorts once.
+    """
+    met = (level.withColumn("_run", F.shiftright("_run", bits)).repartition("_slice", "_run")
+           .sortWithinPartitions("_slice", "_run", *KEY))
+    return met.groupBy("_slice", "_run", *KEY).agg(F.min("_who").alias("_who"), F.sum("_n").alias("_n"))
+
+
+def sorted_runs(rows: DataFrame) -> DataFrame:
+    """The first level: the distinct digests of every run, sorted and combined before they leave their task."""
+    slice_bits = max(SLICE_BITS, math.ceil(math.log2(max(1, rows.count()) / SLICE_ROWS)))
+    lead = F.conv(F.hex(F.substring(KEY[0], 1, 4)), 16, 10).cast("long")
+    return (rows.withColumn("_slice", F.shiftright(lead, 32 - min(32, slice_bits)))
+            .groupBy("_slice", "_run", *KEY).agg(F.min("_who").alias("_who"), F.count(F.lit(1)).alias("_n")))
+
+
 def merge_runs(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """The tree: ``rows`` has _run, _who (orderable) and KEY; one row per distinct text comes out.
 
     A digest counts as the same text only where hash and length agree too, at every level.
     """
-    level = rows.groupBy("_run", *KEY).agg(F.min("_who").alias("_who"), F.count(F.lit(1)).alias("_n"))
+    level = sorted_runs(rows)
     runs = (rows.agg(F.max("_run")).first()[0] or 0) + 1
-    bits = int(math.log2(fan_in))
     for _ in range(max(1, math.ceil(math.log(max(runs, 2), fan_in)))):
-        level = (level.withColumn("_run", F.shiftright("_run", bits)).groupBy("_run", *KEY)
-                 .agg(F.min("_who").alias("_who"), F.sum("_n").alias("_n")))
-    return level.drop("_run")
+        level = merge_round(level, int(math.log2(fan_in)))
+    return level.drop("_slice", "_run")
 
 
 def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

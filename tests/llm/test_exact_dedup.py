@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from cohortry.llm.exact_dedup import drop_copies, exact_dedup, merge_runs
+from cohortry.llm.exact_dedup import KEY, drop_copies, exact_dedup, merge_round, merge_runs, sorted_runs
 from cohortry.llm.registry import ORACLES, QUERIES
 
 
@@ -78,3 +78,21 @@ def test_stage_functions_keep_columns_of_any_name(spark):
     model = train_language_model(spark.createDataFrame([("one text", "en"), ("ein wort", "de")], "text string, lang string").selectExpr("monotonically_increasing_id() doc_id", "*"))
     said = identify_language(df, model)
     assert set(said.columns) == {*df.columns, "lang_pred", "score"} and {r["__language"] for r in said.collect()} == {r[-1] for r in rows}
+
+
+def test_every_round_comes_out_sorted(spark):
+    """A round's partitions are sorted by slice, run and digest, hold whole runs of a slice, and have every digest once."""
+    rows = spark.range(3000).selectExpr(
+        "cast(id % 40 as int) AS _run", "named_struct('none', false, 'id', id, 'row', id) AS _who", "unhex(sha2(cast(id % 700 as string), 256)) AS __dedup_sha",
+        "xxhash64(id % 700) AS __dedup_check", "cast(3 as int) AS __dedup_bytes")
+    level = sorted_runs(rows)
+    for runs in (10, 3, 1):
+        level = merge_round(level, 2)
+        got = level.selectExpr("spark_partition_id() AS part", "monotonically_increasing_id() AS at", "_slice", "_run", *KEY, "_who", "_n").orderBy("at").collect()
+        parts, where = {}, {}
+        for r in got:
+            parts.setdefault(r.part, []).append((r["_slice"], r["_run"], bytes(r[KEY[0]])))
+            where.setdefault((r["_slice"], r["_run"]), set()).add(r.part)
+        assert all(p == sorted(set(p)) for p in parts.values()) and all(len(x) == 1 for x in where.values())
+        assert {r["_run"] for r in got} == set(range(runs)) and sum(r["_n"] for r in got) == 3000
+    assert level.count() == 700

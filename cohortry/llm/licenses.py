@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.common import ascii_lower, col, let, text_of
 
-BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"      # what stands between words
+# What stands between words, but for lone spaces, by far the most: they stay as they are.
+BETWEEN = r"[\x00-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F][\x00-\x2F\x3A-\x60\x7B-\x7F]*|\x20[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` matches whole words of the text in lower case; every match holds one of the ``|``-separated
-    keywords at the beginning of a word.  ``lead`` is the beginning of ``pattern`` that only introduces the rest."""
+    keywords: one whole word, the beginning of one if ``*`` follows, or several words of which the last may go on.
+    It also holds one of the words ``needs``, if there are any.  ``lead`` is the beginning of ``pattern`` that only
+    introduces the rest."""
 
     label: str
     pattern: str
@@ -36,6 +39,7 @@ class Rule:
     weight: float = 0.9
     base: bool = False
     lead: str = ""
+    needs: str = ""
 
 
 # The base phrases and their labels.
@@ -50,8 +54,8 @@ NAMES = [
     ("lgpl-2.1", "(?:gnu )?lesser general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2 1", "lesser general"),
     ("lgpl-2.0", "(?:gnu )?library general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?", "library general"),
     ("lgpl", "(?:gnu )?(?:lesser|library) general public license|lgpl(?: v?[0-9]+(?: [0-9])?)?", "lgpl|lesser general|library general"),
-    ("gpl-3.0", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?|(?:gnu )?gpl ?(?:version |v ?)?3(?: 0)?", "gpl|general public"),
-    ("gpl-2.0", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?|(?:gnu )?gpl ?(?:version |v ?)?2(?: 0)?(?! clause)", "gpl|general public"),
+    ("gpl-3.0", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?|(?:gnu )?gpl ?(?:version |v ?)?3(?: 0)?", "gpl*|general public"),
+    ("gpl-2.0", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?|(?:gnu )?gpl ?(?:version |v ?)?2(?: 0)?(?! clause)", "gpl*|general public"),
     ("gpl-1.0", "(?:gnu )?general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?1(?: 0)?", "general public"),
     ("apache-2.0", "apache (?:software )?(?:license|licence) (?:version |v ?)?2(?: 0)?(?! clause)|apache (?:version |v ?)?2(?: 0)?(?! clause)", "apache"),
     ("apache-1.1", "apache (?:software )?(?:license|licence) (?:version |v ?)?1 1", "apache"),
@@ -178,13 +182,14 @@ def spdx_lead(words: str) -> str:
     return rf"{TAG} (?:(?!{words} ){operand}(?:or|and|with) )*+"
 
 
-# How a name is stated, strongest first: what stands before it, weight.
+# How a name is stated, strongest first: what stands before it, weight, words one of which it holds.
 STATED = [
-    (r"(?:spdx license identifier) ", 1.0),
-    (r"(?:(?:re)?licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the |an? )?(?:terms (?:and conditions )?of (?:the )?)?", 0.95),
-    (r"(?:subject to|under|governed by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?", 0.9),
-    (r"(?:license|licence) (?:type )?(?:is )?(?:the )?", 0.85),
-    ("", 0.8),
+    (r"(?:spdx license identifier) ", 1.0, "spdx"),
+    (r"(?:(?:re)?licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the |an? )?(?:terms (?:and conditions )?of (?:the )?)?", 0.95,
+     "licensed|relicensed|released|distributed|available|published|provided|covered"),
+    (r"(?:subject to|under|governed by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?", 0.9, "subject|under|governed"),
+    (r"(?:license|licence) (?:type )?(?:is )?(?:the )?", 0.85, "license|licence"),
+    ("", 0.8, ""),
 ]
 SHORT_STATED = [
     (r"(?:(?:re)?licensed|released|distributed|available|published|provided|covered) under (?:the |an? )?(?:terms (?:and conditions )?of (?:the )?)?", 0.95,
@@ -243,9 +248,10 @@ def signature_rules() -> list[Rule]:
     ids = [(x.lower(), re.sub("[^a-z0-9]+", " ", x.lower())) for x in SPDX]
     tagged = [Rule(label, f"{spdx_lead(words)}(?:{words}{'(?: only| or later)?' if re.match('[al]?gpl|gfdl', words) else ''})", TAG, 1.0, lead=spdx_lead(words))
               for label, words in ids]
-    named = [Rule(label, f"{lead}(?:{pattern})", keyword, weight, lead=lead)
-             for lead, weight in STATED for label, pattern, keyword in NAMES]
-    short = [Rule(label, f"{lead}(?:{pattern})", keyword, weight, lead=lead)
+    named = [Rule(label, f"{lead}(?:{pattern})", keyword, weight, lead=lead, needs=needs)
+             for lead, weight, needs in STATED for label, pattern, keyword in NAMES]
+    # A short name is introduced by the keyword and needs its own first word beside it.
+    short = [Rule(label, f"{lead}(?:{pattern})", keyword, weight, lead=lead, needs="|".join(re.findall(r"(?:^|\|)(\w+)", pattern)))
              for lead, weight, keyword in SHORT_STATED for label, pattern in SHORT]
     return [*PASSAGES, *tagged, *named, *short]
 
@@ -275,27 +281,50 @@ def _places(words: Column, rule: Column) -> Column:
             s["start"].alias("start"), s["core"].alias("core"), s["end"].alias("end"), rule["rank"].alias("rank"), rule["label"].alias("label"),
             rule["weight"].alias("weight"), rule["base"].alias("base")))
 
-    marked = F.split(F.regexp_replace(words, rule["regex"], F.lit("\x01$1\x03$2\x02")), " ")
-    placed = F.filter(F.transform(marked, lambda w, i: F.struct(
-        i.cast("long").alias("at"), w.startswith("\x01").alias("opens"), w.contains("\x03").alias("cored"),
-        w.endswith("\x02").alias("closes"))), lambda p: p["opens"] | p["cored"] | p["closes"])
-    return F.when(F.regexp_like(words, rule["regex"]), let(placed, spans)).otherwise(F.array().cast(SPAN))
+    def read(marked: Column) -> Column:
+        placed = F.filter(F.transform(F.split(marked, " "), lambda w, i: F.struct(
+            i.cast("long").alias("at"), w.startswith("\x01").alias("opens"), w.contains("\x03").alias("cored"),
+            w.endswith("\x02").alias("closes"))), lambda p: p["opens"] | p["cored"] | p["closes"])
+        return F.when(marked.contains("\x01"), let(placed, spans)).otherwise(F.array().cast(SPAN))
+
+    return let(F.regexp_replace(words, rule["regex"], F.lit("\x01$1\x03$2\x02")), read)
+
+
+def _texts(values) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def _keywords_there(words: Column, present: Column, keywords: Sequence[str]) -> Column:
+    """The keywords that a text holds, told from ``present``, its words among the rules' words.
+
+    The text is searched only for keywords of several words whose first is there, and for beginnings of words.
+    """
+    several = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(k.split(" ")[0]).alias("first")) for k in keywords if " " in k])
+    opening = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(k[:-1]).alias("stem")) for k in keywords if k.endswith("*")])
+    parts = [F.array_intersect(present, _texts(k for k in keywords if " " not in k and not k.endswith("*")))]
+    if any(" " in k for k in keywords):
+        parts.append(F.filter(several, lambda k: F.array_contains(present, k["first"]) & words.contains(F.concat(F.lit(" "), k["key"])))["key"])
+    if any(k.endswith("*") for k in keywords):
+        parts.append(F.filter(opening, lambda k: words.contains(F.concat(F.lit(" "), k["stem"])))["key"])
+    return F.concat(*parts)
 
 
 def _found(words: Column, rules: Sequence[Rule]) -> Column:
-    """All detections in a text.  Keywords are looked for first; a text without any costs only that."""
+    """All detections in a text.  Its words are looked up once among those of keywords; a text without any costs only that."""
     keywords = sorted({k for r in rules for k in r.keyword.split("|")})
+    needed = {w for r in rules for w in r.needs.split("|") if w}
     listed = F.array(*[F.struct(
         F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(f"(?<= )({r.lead})({r.pattern.removeprefix(r.lead)})(?= )").alias("regex"),
-        F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base"),
-        F.array(*[F.lit(k) for k in r.keyword.split("|")]).alias("keys")) for i, r in enumerate(rules)])
-    there = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: words.contains(F.concat(F.lit(" "), k)))
+        F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base"), _texts(r.keyword.split("|")).alias("keys"),
+        _texts(w for w in r.needs.split("|") if w).alias("needs")) for i, r in enumerate(rules)])
+    known = sorted({k.split(" ")[0] for k in keywords if not k.endswith("*")} | needed)
 
-    def run(there: Column) -> Column:
-        gated = F.filter(listed, lambda r: F.arrays_overlap(r["keys"], there))
+    def run(present: Column, there: Column) -> Column:
+        gated = F.filter(listed, lambda r: F.arrays_overlap(r["keys"], there) & ((F.size(r["needs"]) == 0) | F.arrays_overlap(r["needs"], present)))
         return F.when(F.size(there) > 0, F.flatten(F.transform(gated, lambda r: _places(words, r)))).otherwise(F.array().cast(SPAN))
 
-    return let(there, run)
+    return let(F.array_intersect(F.split(words, " "), _texts(known)),
+               lambda present: let(_keywords_there(words, present, keywords), lambda there: run(present, there)))
 
 
 def _settled(members: Column) -> Column:

@@ -1,3 +1,4 @@
+import dataclasses
 import random
 import re
 
@@ -127,6 +128,22 @@ def test_every_rule_holds_its_keyword():
         assert r.keyword
 
 
+def test_gate_loses_nothing(spark):
+    """With keywords and needed words that every text holds, each rule runs on each text: the same detections."""
+    texts = ["under the GPLv3", "GPL2, MIT", "governed by the Apache License, Version 2.0", "License type is the ISC", "covered under an expat",
+             "relicensed under the terms of the OFL 1.1; licence: artistic", "zzz GNU GPL", "MS PL, MS-PL", "cc-by-nc 4.0 all  rights\treserved.",
+             "SPDX-License-Identifier: GPL-3.0-only OR (MIT AND X11)", "(c) by no one", "", " ", "beerware beer ware", "CC BY", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = signature_rules()
+    open_rules = [dataclasses.replace(r, keyword="*", needs="") for r in rules]
+
+    def rows(rules):
+        return sorted(map(tuple, detections(df, rules=rules).drop("row").collect()), key=str)
+
+    assert rows(rules) == rows(open_rules) and len(rows(rules)) > len(texts)
+    assert all(w.isalnum() for r in rules for w in r.needs.split("|") if w)
+
+
 def test_empty(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -13,6 +13,7 @@ that overlap, and each group is settled in order of priority.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -265,6 +266,7 @@ def _spaces(text: Column) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
+RULES = "array<struct<rank:bigint,label:string,regex:string,weight:double,base:boolean,keys:array<string>,needs:array<string>>>"
 SPAN = "array<struct<start:bigint,core:bigint,end:bigint,rank:int,label:string,weight:double,base:boolean>>"
 
 
@@ -313,10 +315,10 @@ def _found(words: Column, rules: Sequence[Rule]) -> Column:
     """All detections in a text.  Its words are looked up once among those of keywords; a text without any costs only that."""
     keywords = sorted({k for r in rules for k in r.keyword.split("|")})
     needed = {w for r in rules for w in r.needs.split("|") if w}
-    listed = F.array(*[F.struct(
-        F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(f"(?<= )({r.lead})({r.pattern.removeprefix(r.lead)})(?= )").alias("regex"),
-        F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base"), _texts(r.keyword.split("|")).alias("keys"),
-        _texts(w for w in r.needs.split("|") if w).alias("needs")) for i, r in enumerate(rules)])
+    # One literal, read once when the query is planned, instead of thousands of expressions.
+    listed = F.from_json(F.lit(json.dumps([{
+        "rank": i, "label": r.label, "regex": f"(?<= )({r.lead})({r.pattern.removeprefix(r.lead)})(?= )", "weight": r.weight, "base": r.base,
+        "keys": r.keyword.split("|"), "needs": [w for w in r.needs.split("|") if w]} for i, r in enumerate(rules)])), RULES)
     known = sorted({k.split(" ")[0] for k in keywords if not k.endswith("*")} | needed)
 
     def run(present: Column, there: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortry.plans.survival_report import survival_report
-from cohortry.queries.modelling import BREAKS, EFRON_STEP, MEDIAN_SQL, W, chained, km_sql, survival_sides
+from cohortry.queries.modelling import BREAKS, EFRON_STEP, KM_OUT, MEDIAN_SQL, W, chained, km_sql, survival_sides
 from cohortry.queries.registry import query, rounded
 from cohortry.queries.subjects import FEATURES, split_sql, unpivot_sql
 
@@ -53,6 +53,10 @@ FROM pr JOIN th USING (model_no, eval_set) JOIN wd USING (model_no, eval_set) JO
 RISK_SQL = f"""{SCORED} SELECT '{MARKER}' AS biomarker, model_no, eval_set, grp, CAST(brk AS DOUBLE) AS brk, count(*) FILTER (WHERE time >= brk) AS n_risk
 FROM g CROSS JOIN (VALUES {', '.join(f'({b})' for b in BREAKS)}) AS v(brk) GROUP BY ALL"""
 
+CURVES_SQL = f"""{SCORED}, {km_sql('g', "model_no || '|' || eval_set || '|' || grp")}
+SELECT '{MARKER}' AS biomarker, CAST(split_part(k, '|', 1) AS INT) AS model_no, split_part(k, '|', 2) AS eval_set, split_part(k, '|', 3) AS grp,
+  {KM_OUT} FROM km"""
+
 
 def report_of_one(spark, sf):
     ready = survival_sides(spark, sf)
@@ -68,3 +72,10 @@ def g5_one(spark, sf):
 @query("G5_risk_one_marker", RISK_SQL)
 def g5_risk_one(spark, sf):
     return report_of_one(spark, sf).risk.select("biomarker", "model_no", "eval_set", F.col("grp"), "brk", "n_risk")
+
+
+@query("G5_curves_one_marker", CURVES_SQL)
+def g5_curves_one(spark, sf):
+    return rounded(report_of_one(spark, sf).curves.select(
+        "biomarker", "model_no", "eval_set", "grp", "time", "n_risk", "n_event", "n_censor", "surv", "se", "lower", "upper"),
+        "surv", "se", "lower", "upper")

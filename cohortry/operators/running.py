@@ -24,6 +24,7 @@ BROADCAST_ROWS = 100_000      # tables of keys up to this many rows are broadcas
 BROADCAST_CELLS = 500_000     # tables of values up to this many rows are broadcast
 HOT_SHARE = 1000              # a value is hot when it fills more than 1/HOT_SHARE of the rows
 PARTITION_ROWS = 1_000_000    # rows per range partition above that
+RANGE_PARTS = 200             # partitions of fewer rows are made only up to this many: each sends its metrics to the driver
 
 # What the running analysis has cached; threads and nested analyses have lists of their own.
 _held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
@@ -135,7 +136,8 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], sums: list[
     if largest <= window_rows:
         return df.withColumns(before(*by))
     # A key is cut where range partitions end; no piece of it is larger than a partition.
-    ranged = durable(df.repartitionByRange(max(2, math.ceil(n / partition_rows)), *by, *[col(o) for o in order])
+    parts = max(2, min(math.ceil(n / partition_rows), max(RANGE_PARTS, math.ceil(n / PARTITION_ROWS))))
+    ranged = durable(df.repartitionByRange(parts, *by, *[col(o) for o in order])
                      .withColumn("_part", F.spark_partition_id()))
     local = ranged.withColumns(before(F.col("_part"), *by))
     pieces = ranged.groupBy("_part", *by).agg(*[F.sum(col(c)).alias(c) for c in sums])

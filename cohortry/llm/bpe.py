@@ -1,38 +1,36 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-A text is cut by the tokenizer's pattern; a word is taken as the array of its bytes and a fold merges, step by step,
-the neighbours whose joined bytes have the lowest rank.  Ranks come from a map that is a literal of the plan, keyed
-by the two pieces.  Words are counted over all documents; the most frequent ones, a fixed number at most, are folded
-once each and looked up from then on.  Rarer words are folded where they stand, so nothing but the word counts is
-shuffled and texts never move.  Decoding looks up the bytes of every id and joins them.
+A text is cut by the tokenizer's pattern, and a batch of texts goes to Python as arrays of words.  Each different
+word of a batch is merged once: step by step, the neighbours whose joined bytes have the lowest rank.  Ids of words
+are remembered within a task, a bounded number of them; Arrow puts them in the words' places.  Nothing is counted,
+shuffled or collected beforehand, so neither the plan nor the driver holds anything that grows with the corpus.
+Decoding looks up the bytes of every id and joins them.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
+import numpy as np
 import public_tokenizers
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import col, durable, let, spare_name, text_of
+from cohortry.llm.common import col, let, text_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-PAIR_BUCKETS = 1 << 17       # the rank map is cut by hash into so many small arrays
-WORDS = 1 << 20              # at most so many frequent words are encoded beforehand
-BLOCK_BITS = 10
-BLOCK, BLOCKS = 1 << BLOCK_BITS, 1 << 10     # they are kept in so many small maps
-WORD_BYTES = 64              # and no longer than this
-LONG_WORD = 64               # bytes from which a fold step merges every place of a pair
-STEP = 64                    # grades of word counts in a doubling
-ID_BITS, RANK_AT = 17, 42    # ids and ranks are below 2^17, and a short word has fewer bytes than 2^25
-NONE = 1 << 18               # rank of neighbours that do not merge
-
-Rank = Callable[[Column, Column], Column]
+WORDS = 1 << 19              # a task remembers at most so many words
+WORD_CHARS = 64              # and none longer than this
+ROWS = 2000                  # texts whose words are looked up together
+LONG_WORD = 128              # bytes from which possible merges wait in a heap
+NONE = 1 << 31               # rank of neighbours that do not merge
 
 
 def read_ranks(path: str = RANKS) -> dict[bytes, int]:
@@ -41,42 +39,6 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _hash(key: Column, buckets: int) -> Column:
-    return F.xxhash64(key).bitwiseAND(F.lit(buckets - 1)).cast("int")
-
-
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: pieces a and b to the rank of their joined bytes, for every cut of every token.
-
-    An array of small maps by hash of the key.  Spark folds the text to a constant.
-    """
-    maps: list[dict] = [{"k": [], "v": []} for _ in range(PAIR_BUCKETS)]
-    for token, rank in ranks.items():
-        for k in range(1, len(token)):
-            a, b = ranks.get(token[:k]), ranks.get(token[k:])
-            if a is not None and b is not None:
-                key = (a << ID_BITS) + b
-                at = maps[xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42) & (PAIR_BUCKETS - 1)]
-                at["k"].append(key)
-                at["v"].append(rank)
-    parsed = F.from_json(F.lit(json.dumps(maps)), "array<struct<k:array<bigint>,v:array<bigint>>>")
-    return F.transform(parsed, lambda m: F.map_from_arrays(m["k"], m["v"]))
-
-
-def ranker(maps: Column) -> Rank:
-    """Looks up the rank of two neighbours, NONE where they do not merge."""
-    def rank(a: Column, b: Column) -> Column:
-        key = F.shiftleft(a, ID_BITS) + b
-        return F.coalesce(F.element_at(F.get(maps, _hash(key, PAIR_BUCKETS)), key), F.lit(NONE))
-
-    return rank
-
-
-def byte_table(ranks: dict[bytes, int]) -> Column:
-    """The literal table of the ids of the 256 bytes."""
-    return F.from_json(F.lit(json.dumps([ranks.get(bytes([b])) for b in range(256)])), "array<bigint>")
-
-
 def piece_table(ranks: dict[bytes, int]) -> Column:
     """The literal table of the bytes of every id, a character U+0000 to U+00FF for each."""
     table = [""] * (max(ranks.values(), default=-1) + 1)
@@ -90,132 +52,100 @@ def words_of(text: Column, pattern: str = PATTERN) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
 
-def byte_ids(word: Column, table: Column) -> Column:
-    """The ids of a word's UTF-8 bytes."""
-    plain = F.when(F.octet_length(word) == F.char_length(word), word).otherwise(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"))
-    return F.transform(F.split(plain, ""), lambda c: F.get(table, F.ascii(c)))
-
-
-def fold(pieces: Column, rank: Rank) -> Column:
-    """The ids of a word given as ids of its bytes: the lowest-ranked neighbours merge, leftmost first.
-
-    The state is one number a piece: the rank of its merge with the next piece, its first byte, its id.  The least
-    number is the next merge; only the two ranks beside it change.  The first number is no piece, so every piece has
-    one before it.
-    """
-    own, start = F.lit((1 << ID_BITS) - 1), F.lit((1 << RANK_AT) - (1 << ID_BITS))
-
-    def packed(r: Column, rest: Column) -> Column:
-        return F.shiftleft(r, RANK_AT).bitwiseOR(rest)
-
-    first = F.transform(pieces, lambda a, i: packed(rank(a, F.get(pieces, i + 1)), F.shiftleft(i.cast("long") + 1, ID_BITS).bitwiseOR(a)))
-
-    def merged(s: Column, low: Column, at: Column) -> Column:
-        return let(F.struct(F.shiftright(low, RANK_AT).alias("new"), F.get(s, at - 2).alias("before"), at.alias("at")), lambda x: F.concat(
-            F.slice(s, F.lit(1), x["at"] - 2),
-            F.array(packed(rank(x["before"].bitwiseAND(own), x["new"]), x["before"].bitwiseAND(F.lit((1 << RANK_AT) - 1))),
-                    packed(rank(x["new"], F.get(s, x["at"] + 1).bitwiseAND(own)), low.bitwiseAND(start).bitwiseOR(x["new"]))),
-            F.slice(s, x["at"] + 2, F.lit(1 << 30))))
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a word: the lowest-ranked neighbours merge, leftmost first, until none are a token.
 
-    def step(s: Column, _: Column) -> Column:
-        return let(F.array_min(s), lambda low: F.when(low >= F.lit(NONE << RANK_AT), s).otherwise(
-            let(place(s, low.bitwiseAND(start)), lambda at: merged(s, low, at))))
-
-    def place(s: Column, bound: Column) -> Column:
-        """Numbers stand in the order of their first bytes."""
-        return F.size(F.filter(s, lambda x: x.bitwiseAND(start) < bound)) + 1
-
-    head = F.array(F.lit((NONE << RANK_AT) + (1 << ID_BITS) - 1))
-    return F.aggregate(F.sequence(F.lit(2), F.size(pieces)), F.concat(head, first), step,
-                       lambda s: F.transform(F.slice(s, F.lit(2), F.lit(1 << 30)), lambda x: x.bitwiseAND(own).cast("int")))
-
-
-def fold_long(pieces: Column, rank: Rank) -> Column:
-    """What :func:`fold` gives, for words of many bytes: a step merges all places of the lowest pair.
-
-    That is done where it is what single merges would come to: no other pair has this rank, and no pair that a merge
-    makes has a lower one.  Else the leftmost place alone is merged.  The state is the pieces and the ranks.
+    ``cuts`` are the ends of pieces, ``low`` the ranks of the merges of each piece with the next.
     """
-    def state(value: Column) -> Column:
-        return let(value, lambda p: F.struct(p.alias("p"), F.transform(
-            F.slice(p, F.lit(1), F.size(p) - 1), lambda a, i: rank(a, F.get(p, i + 1))).alias("r")))
-
-    def mark(*ids: Column) -> Column:
-        return F.concat(*[x for i in ids for x in (F.lit("<"), i.cast("string"), F.lit(">"))])
-
-    def single(s: Column, low: Column, at: Column) -> Column:
-        return state(F.concat(F.slice(s["p"], F.lit(1), at - 1), F.array(low), F.slice(s["p"], at + 2, F.lit(1 << 30))))
-
-    def several(s: Column, low: Column, at: Column) -> Column:
-        left, right = F.get(s["p"], at - 1), F.get(s["p"], at)
-        text = F.concat(F.lit("<"), F.array_join(s["p"].cast("array<string>"), "><"), F.lit(">"))
-        text = F.replace(text, mark(left, right), mark(low))
-        pieces = F.split(F.substr(text, F.lit(2), F.char_length(text) - 2), "><").cast("array<bigint>")
-        other = F.array_contains(F.transform(s["r"], lambda r, k: (r == low) & (F.get(s["p"], k) != left)), F.lit(True))
-        return let(state(pieces), lambda new: F.when(
-            other | (rank(low, left) <= low) | (F.coalesce(F.array_min(new["r"]), F.lit(NONE)) <= low), single(s, low, at)).otherwise(new))
-
-    def step(s: Column, _: Column) -> Column:
-        return let(F.coalesce(F.array_min(s["r"]), F.lit(NONE)), lambda low: F.when(low == NONE, s).otherwise(
-            let(F.array_position(s["r"], low).cast("int"), lambda at: several(s, low, at))))
-
-    return F.aggregate(F.sequence(F.lit(2), F.size(pieces)), state(pieces), step, lambda s: s["p"].cast("array<int>"))
-
-
-def encode_word(word: Column, tables: Column) -> Column:
-    """Ids of a word that is no token itself; ``tables`` holds the rank map and the ids of bytes."""
-    rank = ranker(tables["ranks"])
-    return let(byte_ids(word, tables["bytes"]), lambda pieces: F.when(
-        F.size(pieces) >= LONG_WORD, fold_long(pieces, rank)).otherwise(fold(pieces, rank)))
+    if len(word) >= LONG_WORD:
+        return merged_long(word, ranks)
+    rank = ranks.get
+    cuts = list(range(len(word) + 1))
+    low = [rank(word[i:i + 2], NONE) for i in cuts[:-2]]
+    while low:
+        least = min(low)
+        if least == NONE:
+            break
+        i = low.index(least)
+        del cuts[i + 1], low[i]
+        if i:
+            low[i - 1] = rank(word[cuts[i - 1]:cuts[i + 1]], NONE)
+        if i < len(low):
+            low[i] = rank(word[cuts[i]:cuts[i + 2]], NONE)
+    return [ranks[word[a:b]] for a, b in pairwise(cuts)]
 
 
-def with_scalar(df: DataFrame, one: DataFrame, stem: str) -> tuple[DataFrame, str]:
-    """``df`` and the name of a new column, the single value of ``one``.
+def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """What :func:`merged` gives, in little more than linear time.
 
-    The value is written once and used by every task as a constant.  A subquery may not stand in a higher-order
-    function, so it is named first; used once, it is put in its place by the optimizer and copied to no row.
+    A possible merge waits in a heap as rank, start and end; it stands for as long as two pieces fill its place.
     """
-    name = spare_name(df, stem)
-    return df.withColumn(name, one.scalar()), name
-
-
-def known_words(df: DataFrame, tables: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str, words: int = WORDS) -> DataFrame:
-    """One row holding small maps, word to ids, by hash: all tokens, and the ``words`` most frequent other words.
-
-    Frequencies are counted over all documents; how many words there are from a count on is told by a histogram
-    of counts, and no word longer than WORD_BYTES is taken, so the row is bounded at any size of the corpus.
+    n = len(word)
+    ends = list(range(1, n + 1))         # end of the piece at a start; n where no piece starts any more
+    starts = list(range(-1, n))          # start of the piece before the one at a start
+    waiting = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
+    heapify(waiting)
+    while waiting:
+        _, i, end = heappop(waiting)
+        at = ends[i]
+        if at == n or ends[at] != end:
+            continue
+        ends[i], ends[at] = end, n
+        starts[end] = i
+        for a, b in ((starts[i], end), (i, ends[end] if end < n else n + 1)):
+            if a >= 0 and b <= n and (r := ranks.get(word[a:b])) is not None:
+                heappush(waiting, (r, a, b))
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[word[i:ends[i]]])
+        i = ends[i]
+    return ids
+
+
+def encoder(ranks: dict[bytes, int], words: int = WORDS) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """Arrays of words to arrays of ids, batch by batch.
+
+    The ids of at most ``words`` words are remembered, as bytes: half of them at most are the latest that were met,
+    the others are those met before them.
     """
-    spark = df.sparkSession
-    whole = []
-    for token, rank in ranks.items():
-        try:
-            whole.append((token.decode(), [rank]))
-        except UnicodeDecodeError:      # a part of a character, never a word
-            pass
-    tokens = spark.createDataFrame(whole, "word string, ids array<int>")
-    found = durable(df.select(F.explode(words_of(text_of(text_col), pattern)).alias("word")).groupBy("word")
-                    .agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= WORD_BYTES))
-                    .join(F.broadcast(tokens), "word", "left_anti").withColumn("grade", F.floor(F.log2("n") * STEP)), "words")
-    line, total = None, 0
-    for g, n in sorted(map(tuple, found.groupBy("grade").count().collect()), reverse=True):
-        total += n
-        if total > words:
-            break
-        line = g
-    often = found.where(F.col("grade") >= line) if line is not None else found.limit(0)
-    often, name = with_scalar(often, tables, "__tables")
-    known = often.select("word", let(F.col(name), lambda t: encode_word(F.col("word"), t)).alias("ids")).unionByName(tokens)
-    maps = known.groupBy(_hash(F.col("word"), BLOCKS * BLOCK).alias("at")).agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("m"))
-
-    def in_order(entries: Column) -> Column:
-        """Values by key, for the keys 0, 1, 2..."""
-        return F.transform(F.array_sort(entries, lambda x, y: x["at"] - y["at"]), lambda x: x["m"])
-
-    high = F.shiftright("at", BLOCK_BITS).alias("high")
-    return durable(spark.range(BLOCKS * BLOCK).select(F.col("id").cast("int").alias("at")).join(maps, "at", "left")
-                   .groupBy(high).agg(in_order(F.collect_list(F.struct("at", "m"))).alias("m"))
-                   .agg(in_order(F.collect_list(F.struct(F.col("high").alias("at"), "m"))).alias("maps")), "known")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        latest: dict[str, bytes] = {}
+        earlier: dict[str, bytes] = {}
+
+        def ids_of(word: str) -> bytes:
+            nonlocal latest, earlier
+            ids = latest.get(word)
+            if ids is None:
+                ids = earlier.get(word)
+                if ids is None:
+                    data = word.encode()
+                    whole = ranks.get(data)
+                    ids = array("i", merged(data, ranks) if whole is None else [whole]).tobytes()
+                if words > 1 and len(word) <= WORD_CHARS:
+                    if len(latest) >= words // 2:
+                        latest, earlier = {}, latest
+                    latest[word] = ids
+            return ids
+
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                some = batch.slice(at, ROWS)
+                found = some.flatten().dictionary_encode()
+                lists = [ids_of(w) for w in found.dictionary.to_pylist()]
+                sizes = np.fromiter(map(len, lists), np.int32, len(lists)) // 4
+                table = pa.ListArray.from_arrays(offsets(sizes), np.frombuffer(b"".join(lists), np.int32))
+                bounds = some.offsets.to_numpy()
+                yield pa.ListArray.from_arrays(offsets(sizes[found.indices.to_numpy()])[bounds - bounds[0]],
+                                               table.take(found.indices).flatten())
+
+    return encode
+
+
+def offsets(sizes: np.ndarray) -> np.ndarray:
+    """Where lists of these sizes begin, one after the other, and where the last ends."""
+    out = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=out[1:])
+    return out
 
 
 def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", ranks: str = RANKS, pattern: str = PATTERN,
@@ -226,23 +156,8 @@ def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", rank
     Repeated rows and any other columns stay as they are; an empty table stays empty.  A text's words are held
     in memory together.
     """
-    table = read_ranks(ranks)
-    tables = durable(df.sparkSession.range(1).select(
-        F.struct(rank_map(table).alias("ranks"), byte_table(table).alias("bytes")).alias("t")), "ranks")
-    known = known_words(df, tables, text_col, table, pattern, words)
-
-    def looked_up(word: Column, often: Column) -> Column:
-        at = _hash(word, BLOCKS * BLOCK)      # hashing twice costs less than binding the hash
-        return F.element_at(F.get(F.get(often, F.shiftright(at, BLOCK_BITS)), at.bitwiseAND(BLOCK - 1)), word)
-
-    def ids(often: Column, t: Column) -> Column:
-        return F.flatten(F.transform(words_of(text_of(text_col), pattern),
-                                     lambda w: F.coalesce(looked_up(w, often), encode_word(w, t))))
-
-    out, often_col = with_scalar(df, known, "__often")
-    out, tables_col = with_scalar(out, tables, "__tables")
-    return out.withColumn(ids_col, let(F.col(often_col), lambda often: let(F.col(tables_col), lambda t: ids(often, t)))).drop(
-        *{often_col, tables_col} - {ids_col})
+    encode = F.arrow_udf(encoder(read_ranks(ranks), words), "array<int>")
+    return df.withColumn(ids_col, encode(words_of(text_of(text_col), pattern)))
 
 
 def bpe_decode(ids: Column, ranks: str = RANKS) -> Column:

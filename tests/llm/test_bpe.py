@@ -1,11 +1,15 @@
 import hashlib
+import os
 import random
+from urllib.parse import urlparse
 
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from cohortry.llm import bpe
 from cohortry.llm.bpe import bpe_decode, bpe_digests, bpe_encode, read_ranks
+from cohortry.llm.common import shared_dir
 from cohortry.llm.registry import QUERIES
 
 
@@ -56,6 +60,40 @@ def test_ties_of_one_rank_go_to_the_leftmost(spark):
         assert r.ids == plain.encode_ordinary(r.text), r.text
 
 
+def test_neither_plan_nor_driver_holds_words(spark, plain):
+    """Words of the corpus are not counted, written or put in the plan beforehand: one scan without a subquery."""
+    df = spark.range(4000).selectExpr("concat_ws(' ', hex(id * 7919), hex(id * 7919), 'zq', hex(id)) AS text").repartition(3)
+    folder = urlparse(shared_dir(spark)).path
+    before = set(os.listdir(folder))
+    out = bpe_encode(df)
+    assert all(r.ids == plain.encode_ordinary(r.text) for r in out.collect())
+    assert set(os.listdir(folder)) == before
+    assert "ubquery" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("words", [0, 1, 4, 1 << 19])
+def test_few_remembered_words_change_nothing(plain, monkeypatch, words):
+    monkeypatch.setattr(bpe, "ROWS", 7)
+    cut = [[w for w in (t or "").split("b") if w] for t in texts()]
+    batch = pa.array([[]] * 2 + cut * 2, pa.list_(pa.string()))
+    got = [ids for part in bpe.encoder(read_ranks(), words)(iter([batch.slice(1), batch.slice(0, 0), batch.slice(0, 2)]))
+           for ids in part.to_pylist()]
+    want = [[i for w in c for i in plain._core_bpe.encode_single_piece(w.encode())] for c in cut]
+    assert got == [[], *want, *want, [], []]
+
+
+def test_a_long_word_without_repeats(spark, plain):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäß東") for _ in range(n)) for n in (127, 128, 129, 60_000)]
+    for r in bpe_encode(spark.createDataFrame([(w,) for w in words], "text string")).collect():
+        assert r.ids == plain.encode_ordinary(r.text)
+
+
+def test_only_empty_texts(spark):
+    df = spark.createDataFrame([("",), (None,)], "text string").coalesce(1)
+    assert [r.ids for r in bpe_encode(df).collect()] == [[], []]
+
+
 def test_empty(spark):
     assert bpe_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -55,3 +55,19 @@ def test_checkpoints_of_a_scratch_analysis_go(spark):
         made[:] = [df for df in made if df is not kept]
     later = running.durable(spark.range(3))
     assert not os.path.isdir(files[0]) and os.path.isdir(files[1]) and os.path.isdir(file(later)) and kept.count() == 20
+
+
+def test_a_run_leaves_its_files_only(spark, monkeypatch, tmp_path):
+    """Caches and checkpoints of one run of a run matrix are gone before the next begins."""
+    from cohortry.plans import runs
+    made = []
+
+    def body(*args):
+        made.extend([running.hold(spark.range(5)), running.durable(spark.range(7))])
+        return "files"
+
+    monkeypatch.setattr(runs, "_survival_run", body)
+    assert runs.survival_run(spark, {}, None) == "files"
+    cached, checkpoint = made
+    file = checkpoint._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert not cached.is_cached and not os.path.isdir(file)
